@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,23 @@ def lookup_salted(left: DataFrame, right: DataFrame, key: str, spread: Column, h
     b = right.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     b = b.withColumn("_salt", F.explode(F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot_key", "_is_hot")
     return a.join(b, [key, "_salt"], "left").drop("_salt")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of every executor, once per application, wherever it was imported from."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="docquarry-"), "docquarry.zip")
+    with zipfile.ZipFile(out, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("docquarry", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(out)
