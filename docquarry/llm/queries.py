@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.cohesion import piece_rows, recut
 from docquarry.llm.confusables import lookalike_pairs, one_form
+from docquarry.llm.neardup import Covering, duplicate_groups, duplicate_pairs, near_duplicates
 from docquarry.llm.splits import entity_components, entity_name, grouped_splits, records_with_component
 from docquarry.sources.tables import table
 
@@ -43,6 +44,30 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_splits(asked, "row_id", "tie", "category").withColumnRenamed("row_id", "doc_id")
 
 
+#: Field, kind and size of shingles, limit, and masks that lose a pair at the limit with a chance of 4e-4 and 6e-4.
+NEAR = (
+    ("raw_text", "knowledge_documents", "kd_id", "content.raw_text", "words", 3, 0.6, Covering(15, (2, 2, 1))),
+    ("title", "documents", "doc_id", "title", "letters", 3, 0.7, Covering(18, (3, 3, 2))),
+)
+
+
+def _near(spark: SparkSession, sf_dir: str, result) -> DataFrame:
+    out = None
+    for field, name, row, text, *how in NEAR:
+        part = result(*near_duplicates(table(spark, sf_dir, name), row, text, *how))
+        part = part.select(F.lit(field).alias("field_name"), *(F.col(c).cast("long").alias(c) for c in part.columns))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir, duplicate_pairs)
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir, duplicate_groups)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
 
@@ -51,7 +76,7 @@ def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", one_form(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p8_found, p8_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p4_found, p4_groups, p8_found, p8_text)}
 
 _P1 = """
 WITH p AS (
