@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.cohesion import piece_rows, recut
 from docquarry.llm.confusables import lookalike_pairs, one_form
 from docquarry.llm.neardup import Covering, duplicate_groups, duplicate_pairs, near_duplicates
+from docquarry.llm.neighbours import nearest_vectors
 from docquarry.llm.splits import entity_components, entity_name, grouped_splits, records_with_component
 from docquarry.sources.tables import table
 
@@ -68,6 +69,15 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, duplicate_groups)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = nearest_vectors(table(spark, sf_dir, "chunk_vectors"), "point_id", "vector", least=0.85)
+    return near.select(F.least("id", "neighbour").alias("point_id_a"), F.greatest("id", "neighbour").alias("point_id_b")).distinct()
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "chunk_vectors"), "point_id", "vector").withColumnRenamed("id", "point_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
 
@@ -76,7 +86,7 @@ def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", one_form(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p4_found, p4_groups, p8_found, p8_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p4_found, p4_groups, p5_found, p5_nearest, p8_found, p8_text)}
 
 _P1 = """
 WITH p AS (
