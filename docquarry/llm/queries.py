@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.cohesion import piece_rows, recut
 from docquarry.llm.confusables import lookalike_pairs, one_form
+from docquarry.llm.mixing import mix_sources
 from docquarry.llm.neardup import Covering, duplicate_groups, duplicate_pairs, near_duplicates
 from docquarry.llm.neighbours import nearest_vectors
+from docquarry.llm.packing import fill_report, pack
 from docquarry.llm.splits import entity_components, entity_name, grouped_splits, records_with_component
 from docquarry.sources.tables import table
 
@@ -78,6 +80,26 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "chunk_vectors"), "point_id", "vector").withColumnRenamed("id", "point_id")
 
 
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "container_specs"), "spec_id", "capacity_tokens").withColumnRenamed("row_id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p6_packing(spark, sf_dir), table(spark, sf_dir, "container_specs"), "spec_id", "capacity_tokens")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"), "source", "target_share", "max_repeats")
+
+
+def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("row_id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
 
@@ -86,7 +108,7 @@ def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", one_form(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p4_found, p4_groups, p5_found, p5_nearest, p8_found, p8_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p4_found, p4_groups, p5_found, p5_nearest, p6_packing, p6_fill, p7_uses, p7_shares, p8_found, p8_text)}
 
 _P1 = """
 WITH p AS (
