@@ -20,8 +20,8 @@ class PermutationIndex:
 
     pivots: pivots_per_root times the root of the number of vectors, within least and most; they are a
     sample of the vectors by hash of their id, the only thing fitted on a sample. order: nearest pivots
-    that stand for a vector. posted: how many of them it is posted under. shelf: neighbouring pivots
-    whose inverted files are kept together, so that a vector posted under several of them is sent
+    that stand for a vector. posted: how many of them it is posted under. shelf: neighbouring pivots, at
+    most, whose inverted files are kept together, so that a vector posted under several of them is sent
     there once. reranked: candidates of the least footrule distance that are reranked in each inverted
     file. block: vectors of one shelf in one task; larger shelves are worked off in pairs of blocks,
     all of them.
@@ -34,7 +34,11 @@ class PermutationIndex:
     posted: int = 5
     shelf: int = 16
     reranked: int = 128
-    block: int = 8192
+    block: int = 32768
+
+    def shelves(self, n: int, pivots: int) -> int:
+        """Enough of them that one shelf's vectors fit a block, as long as there are pivots for it."""
+        return min(pivots, math.ceil(max(pivots / self.shelf, n * self.posted / self.block)))
 
     def pivots(self, n: int) -> int:
         return max(1, min(n, self.most, max(self.least, math.ceil(self.pivots_per_root * math.sqrt(n)))))
@@ -183,7 +187,7 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 5, dimensi
     if not drawn.num_rows:
         return points.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).where("false")
     pivots = _matrix(drawn.column("vector"), dimension)
-    shelf = np.argmax(pivots @ pivots[: math.ceil(len(pivots) / index.shelf)].T, axis=1).astype(np.int16)
+    shelf = np.argmax(pivots @ pivots[: index.shelves(n, len(pivots))].T, axis=1).astype(np.int16)
     ordered = leaders.mapInArrow(_ordered(pivots, dimension, index.order, index.posted, shelf), "id bigint, vector array<float>, ranks array<smallint>, shelves array<smallint>")
     large = []
     if n > index.block:
