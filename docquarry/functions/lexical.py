@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docquarry.functions.text import STOPWORDS, TOKEN, escape_regex
+from docquarry.functions.text import STOPWORDS, TOKEN, escape_regex, tokens
 
 # What a match in each field counts.
 TITLE, DESCRIPTION, BODY = 1.0, 0.95, 0.9
@@ -77,18 +79,40 @@ def body_credit(body: Column, term: str, prefix: bool = True) -> Column:
     return F.when(whole_word(body, term), 1.0).when(start, BODY_PREFIX).otherwise(0.0)
 
 
+@F.pandas_udf(T.DoubleType())
+def _best_typo(candidates: pd.Series, term: pd.Series) -> pd.Series:
+    from docquarry.operators.edits import swaps_adjacent
+
+    def best(words, own: str) -> float:
+        allowed = 0 if len(own) <= 3 else 1 if len(own) <= 5 else 2
+        found = [1.0 - d / max(len(w), len(own)) for w in words if (d := swaps_adjacent(own, w)) <= allowed]
+        return max(found, default=0.0)
+
+    return pd.Series([0.0 if c is None or not len(c) else best(c, t) for c, t in zip(candidates, term, strict=True)])
+
+
 def field_credit(text: Column, term: str, fuzzy: bool) -> Column:
-    """Credit of one term in one field without typing errors: whole word, or the best word it begins."""
+    """Credit of one term in one field: 1 for the whole word, else the best of words it begins and words it misspells.
+
+    Words go to Python only where a built-in distance bound leaves a candidate.
+    """
     whole = whole_word(text, term)
-    if not fuzzy or len(term) < MIN_PREFIX:
+    if not fuzzy:
         return F.when(whole, 1.0).otherwise(0.0)
-    begun = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1)), lambda t: t.startswith(term) & (F.length(t) > len(term)))
-    shortest = F.array_min(F.transform(begun, lambda t: F.length(t)))
-    return F.when(whole, 1.0).otherwise(F.coalesce(0.5 + 0.5 * len(term) / shortest, F.lit(0.0)))
+    own = tokens(text)
+    best = F.lit(0.0)
+    if len(term) >= MIN_PREFIX:
+        begun = F.filter(own, lambda t: t.startswith(term) & (F.length(t) > len(term)))
+        best = F.coalesce(0.5 + 0.5 * len(term) / F.array_min(F.transform(begun, lambda t: F.length(t))), F.lit(0.0))
+    allowed = 0 if len(term) <= 3 else 1 if len(term) <= 5 else 2
+    if allowed:
+        near = F.filter(own, lambda t: (F.abs(F.length(t) - len(term)) <= allowed) & (F.levenshtein(t, F.lit(term)) <= 2 * allowed))
+        best = F.greatest(best, _best_typo(F.when(~whole, near), F.lit(term)))
+    return F.when(whole, 1.0).otherwise(best)
 
 
 def lexical_match(query: str, title: Column, description: Column, body: Column | None = None, fuzzy: bool = False) -> Column:
-    """struct(score, fuzzy, matched, total) of a document for one query; typing errors are the search plan's business.
+    """struct(score, fuzzy, matched, total) of a document for one query.
 
     The best phrase score stands when it is the title's exact one, when there are no terms, or when it
     is at least the coverage score. A field takes a term over only with strictly more credit.
