@@ -99,14 +99,13 @@ def field_credit(text: Column, term: str, fuzzy: bool) -> Column:
     whole = whole_word(text, term)
     if not fuzzy:
         return F.when(whole, 1.0).otherwise(0.0)
-    own = tokens(text)
+    allowed = 0 if len(term) <= 3 else 1 if len(term) <= 5 else 2
     best = F.lit(0.0)
     if len(term) >= MIN_PREFIX:
-        begun = F.filter(own, lambda t: t.startswith(term) & (F.length(t) > len(term)))
+        begun = F.filter(tokens(text), lambda t: t.startswith(term) & (F.length(t) > len(term)))
         best = F.coalesce(0.5 + 0.5 * len(term) / F.array_min(F.transform(begun, lambda t: F.length(t))), F.lit(0.0))
-    allowed = 0 if len(term) <= 3 else 1 if len(term) <= 5 else 2
     if allowed:
-        near = F.filter(own, lambda t: (F.abs(F.length(t) - len(term)) <= allowed) & (F.levenshtein(t, F.lit(term)) <= 2 * allowed))
+        near = F.filter(tokens(text), lambda t: (F.abs(F.length(t) - len(term)) <= allowed) & (F.levenshtein(t, F.lit(term)) <= 2 * allowed))
         best = F.greatest(best, _best_typo(F.when(~whole, near), F.lit(term)))
     return F.when(whole, 1.0).otherwise(best)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ STOPWORDS = (
 MIN_TERM_LENGTH = 2
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise(c: Column) -> Column:
     """Lower case, outer blanks gone, runs of white space as one blank."""
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
@@ -55,10 +61,13 @@ def chunks(c: Column, size: int = 180, overlap: int = 40) -> Column:
     """Array of passages of size words that share overlap words with the one before; empty for blank text."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and under the size")
-    w = words(c)
-    n = chunk_count(F.size(w), size, overlap)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, size), " "))
+
+    def cut(w: Column) -> Column:
+        n = chunk_count(F.size(w), size, overlap)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, size), " "))
+
+    return let(words(c), cut)
 
 
 def chunk_id(doc: Column, position: Column) -> Column:
