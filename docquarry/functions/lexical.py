@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.functions.text import STOPWORDS, TOKEN, escape_regex, tokens
+from docquarry.functions.text import STOPWORDS, TOKEN, escape_regex, let, tokens
 
 # What a match in each field counts.
 TITLE, DESCRIPTION, BODY = 1.0, 0.95, 0.9
@@ -52,12 +50,13 @@ def phrase_fit(text: Column, phrase: str, partial: bool) -> tuple[Column, Column
     """(exact, partial): the phrase at word boundaries; or only begun in its last word, of three letters at least."""
     low = F.lower(F.coalesce(text, F.lit("")))
     body = escape_regex(phrase)
-    exact = low.rlike(rf"(^|{EDGE}){body}($|{EDGE})")
+    # a plain search first: the pattern runs only where the phrase stands at all
+    exact = low.contains(phrase) & low.rlike(rf"(^|{EDGE}){body}($|{EDGE})")
     import regex
 
     last = regex.findall(TOKEN, phrase)
     begun = partial and bool(last) and len(last[-1]) >= MIN_PREFIX
-    return exact, (~exact & low.rlike(rf"(^|{EDGE}){body}")) if begun else F.lit(False)
+    return exact, (~exact & low.contains(phrase) & low.rlike(rf"(^|{EDGE}){body}")) if begun else F.lit(False)
 
 
 def _phrase(text: Column, phrase: str, weight: float, partial: bool) -> tuple[Column, Column]:
@@ -66,11 +65,13 @@ def _phrase(text: Column, phrase: str, weight: float, partial: bool) -> tuple[Co
 
 
 def whole_word(text: Column, term: str) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(rf"(^|{EDGE}){escape_regex(term)}($|{EDGE})")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return low.contains(term) & low.rlike(rf"(^|{EDGE}){escape_regex(term)}($|{EDGE})")
 
 
 def word_start(text: Column, term: str) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(rf"(^|{EDGE}){escape_regex(term)}")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return low.contains(term) & low.rlike(rf"(^|{EDGE}){escape_regex(term)}")
 
 
 def body_credit(body: Column, term: str, prefix: bool = True) -> Column:
@@ -124,20 +125,29 @@ def lexical_match(query: str, title: Column, description: Column, body: Column |
     in_title, title_begun = _phrase(title, phrase, TITLE, fuzzy)
     in_description, description_begun = _phrase(description, phrase, DESCRIPTION, fuzzy)
     in_body = F.when(phrase_fit(body, phrase, False)[0], BODY).otherwise(0.0) if body is not None else F.lit(0.0)
-    best_phrase = F.greatest(in_title, in_description, in_body)
-    inexact = (best_phrase > 0) & (best_phrase > in_body) & F.when(in_title >= in_description, title_begun).otherwise(description_begun)
     if not wanted:
-        return F.struct(best_phrase.alias("score"), inexact.alias("fuzzy"), F.lit(0).alias("matched"), F.lit(0).alias("total"))
-    best, loose = [], []
+        return let(F.greatest(in_title, in_description, in_body), lambda p: F.struct(p.alias("score"), F.lit(False).alias("fuzzy"), F.lit(0).alias("matched"), F.lit(0).alias("total")))
+    credits = []
     for term in wanted:
-        a, b = field_credit(title, term, fuzzy), DESCRIPTION * field_credit(description, term, fuzzy)
         c = BODY * body_credit(body, term, fuzzy) if body is not None else F.lit(0.0)
-        top = F.when(b > a, b).otherwise(a)
-        best.append(F.when(c > top, c).otherwise(top))
-        loose.append(F.when(c > top, c < BODY).when(b > a, b < DESCRIPTION).otherwise((a > 0) & (a < 1.0)))
-    total = reduce(lambda x, y: x + y, best)
-    matched = reduce(lambda x, y: x + y, [(x > 0).cast("int") for x in best])
-    any_loose = reduce(lambda x, y: x | y, [(x > 0) & y for x, y in zip(best, loose, strict=True)])
-    coverage = CEILING * (total / n)
-    by_phrase = (best_phrase == TITLE) | (best_phrase >= coverage)
-    return F.struct(F.when(by_phrase, best_phrase).otherwise(coverage).alias("score"), F.when(by_phrase, inexact).otherwise(any_loose).alias("fuzzy"), F.when(by_phrase, n).otherwise(matched).alias("matched"), n.alias("total"))
+        credits.append(F.struct(field_credit(title, term, fuzzy).alias("a"), (DESCRIPTION * field_credit(description, term, fuzzy)).alias("b"), c.alias("c")))
+    # every pattern is worked out once, however often the rules below name it
+    evidence = F.struct(in_title.alias("title"), title_begun.alias("title_begun"), in_description.alias("description"), description_begun.alias("description_begun"), in_body.alias("body"), F.array(*credits).alias("credits"))
+    return let(evidence, lambda e: _judged(e, n))
+
+
+def _judged(e: Column, n: Column) -> Column:
+    def winner(x: Column) -> Column:
+        top = F.greatest(x["a"], x["b"])
+        best = F.greatest(top, x["c"])
+        loose = F.when(x["c"] > top, x["c"] < BODY).when(x["b"] > x["a"], x["b"] < DESCRIPTION).otherwise(x["a"] < TITLE)
+        return F.struct(best.alias("best"), loose.alias("loose"))
+
+    def decided(p: Column) -> Column:
+        found = F.filter(p["terms"], lambda t: t["best"] > 0)
+        coverage = CEILING * (F.aggregate(p["terms"], F.lit(0.0), lambda s, t: s + t["best"]) / n)
+        inexact = (p["phrase"] > 0) & (p["phrase"] > e["body"]) & F.when(e["title"] >= e["description"], e["title_begun"]).otherwise(e["description_begun"])
+        by_phrase = (p["phrase"] == TITLE) | (p["phrase"] >= coverage)
+        return F.struct(F.when(by_phrase, p["phrase"]).otherwise(coverage).alias("score"), F.when(by_phrase, inexact).otherwise(F.exists(found, lambda t: t["loose"])).alias("fuzzy"), F.when(by_phrase, n).otherwise(F.size(found)).alias("matched"), n.alias("total"))
+
+    return let(F.struct(F.greatest(e["title"], e["description"], e["body"]).alias("phrase"), F.transform(e["credits"], winner).alias("terms")), decided)

@@ -96,6 +96,34 @@ def sweep(df: DataFrame, ks: Sequence[int], seed: int = 7) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
+def radius_pairs(df: DataFrame, row_id: str, vector: str, radius: float, block: int = 4096) -> DataFrame:
+    """(a, b), a < b: all pairs within a cosine distance, exactly.
+
+    Rows fall into blocks by hash, and each task compares two blocks as one matrix product: the work is
+    quadratic, its memory isn't. Vectors must be of one dimension and not zero.
+    """
+    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    posts = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    posts = posts.select("id", "v", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        ids, m = part["id"].to_numpy(), np.stack(part["v"])
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        left = np.flatnonzero(part["own"].to_numpy() == key[0])
+        right = np.flatnonzero(part["own"].to_numpy() == key[1])
+        found = []
+        for low in range(0, left.size, 1024):
+            i, j = np.nonzero(1 - m[left[low : low + 1024]] @ m[right].T <= radius)
+            found.append(np.stack([ids[left[i + low]], ids[right[j]]]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        keep = a < b if key[0] == key[1] else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    return posts.groupBy("x", "y").applyInPandas(run, "a bigint, b bigint")
+
+
 def dbscan(links: DataFrame, nodes: DataFrame, a: str, b: str, node: str, least: int = 5) -> DataFrame:
     """(node, cluster): links join nodes within the radius, each once; a node is core with least others and itself; noise has -1.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import STOPWORDS, let, tokens
 from docquarry.operators.evaluation import weight_of
+from docquarry.session import materialise
 
 
 def grams(text: Column, longest: int = 2) -> Column:
@@ -15,8 +16,8 @@ def grams(text: Column, longest: int = 2) -> Column:
     def runs(own: Column) -> Column:
         parts = [own]
         for n in range(2, longest + 1):
-            starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(own, i, n), " ")))
+            shorter = F.slice(parts[-1], F.lit(1), F.greatest(F.size(own) - n + 1, F.lit(0)))
+            parts.append(F.zip_with(shorter, F.slice(own, F.lit(n), F.size(shorter)), lambda a, b: F.concat(a, F.lit(" "), b)))
         return F.concat(*parts)
 
     return let(F.filter(tokens(text), lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS)), runs)
@@ -43,10 +44,10 @@ def weighted(counted: DataFrame, doc: str, weights: DataFrame) -> DataFrame:
 def tfidf_run(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query", longest: int = 2, least_df: int = 2) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query, scores above 0.
 
-    Queries are the small side: only their terms' postings are joined, so the corpus' weights are
-    pruned to them before anything is multiplied.
+    Terms are counted once and written: document frequencies, lengths and postings all read that table.
+    Only the postings of the queries' terms are multiplied.
     """
-    counted = counted_terms(docs, doc, text, longest)
+    counted = materialise(counted_terms(docs, doc, text, longest), "counted")
     weights = idf(counted, doc, docs.agg(F.count(F.lit(1)).alias("n")), least_df)
     asked = weighted(counted_terms(queries, query, query_text, longest), query, weights).withColumnRenamed("w", "q")
     held = weighted(counted, doc, weights)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
-from docquarry.functions.vectors import cosine
 from docquarry.operators import evaluation as E
 from docquarry.operators import graphs as G
 from docquarry.operators import learning as L
@@ -15,7 +14,7 @@ from docquarry.operators import strings as S
 from docquarry.operators.tfidf import counted_terms, distinctive_terms, idf, tfidf_run, weighted
 from docquarry.plans import textquery
 from docquarry.plans.search import title_has
-from docquarry.sources.tables import table
+from docquarry.sources.tables import table, text_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -158,7 +157,7 @@ def g27_reservoir_per_type(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "topic_key", "text")
+    d = text_table(spark, sf, "documents").where("text is not null").select("doc_id", "topic_key", "text")
     q = table(spark, sf, "topics").select(F.col("topic_id").alias("query_id"), F.regexp_replace(F.concat_ws(" ", "title", F.array_join("keywords", " ")), r"\{year\}", "").alias("query"), "topic_key")
     rels = d.join(F.broadcast(q.select("query_id", "topic_key")), "topic_key").select("query_id", "doc_id")
     return d.select("doc_id", "text"), q.select("query_id", "query"), rels
@@ -270,10 +269,7 @@ def m10_sweep_and_knee(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def m14_dbscan(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    a, b = (e.select(F.col("vec_id").alias(x), F.col("embedding").alias(f"v_{x}")) for x in "ab")
-    # exact pairs of the small table of embeddings; vectors at scale go through an index
-    near = a.join(F.broadcast(b), F.col("a") < F.col("b")).where(1 - cosine(F.col("v_a"), F.col("v_b")) <= 0.3).select("a", "b")
-    return L.dbscan(near, e, "a", "b", "vec_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return L.dbscan(L.radius_pairs(e, "vec_id", "embedding", 0.3), e, "a", "b", "vec_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -284,7 +280,7 @@ def m15_principal_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def m18_distinctive_terms(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("text is not null and category_id is not null").select("doc_id", "category_id", "text")
+    d = text_table(spark, sf, "documents").where("text is not null and category_id is not null").select("doc_id", "category_id", "text")
     counted = counted_terms(d, "doc_id", "text", 1)
     held = weighted(counted, "doc_id", idf(counted, "doc_id", d.agg(F.count(F.lit(1)).alias("n"))))
     return distinctive_terms(held, d.select("doc_id", "category_id"), "doc_id", "category_id", 5)

@@ -51,8 +51,9 @@ def keyword_leg(documents: DataFrame, spec: SearchSpec) -> DataFrame:
     """(doc_id, keyword_score, is_fuzzy) of the documents that cover enough of the query. One scan of title, description and text."""
     fuzzy = spec.mode == "FUZZY"
     match = lexical_match(spec.query, F.col("title"), F.col("description"), F.col("text"), fuzzy)
-    scored = documents.select("doc_id", match.alias("m")).select("doc_id", "m.*")
-    kept = scored.where(covers_enough(F.col("score"), F.col("matched"), F.col("total")) | ((F.col("total") == 0) & (F.col("score") > 0)))
+    # a generator keeps the gate where the match is worked out: as a filter it would be pushed below and the match done twice
+    passed = F.filter(F.array(match), lambda m: covers_enough(m["score"], m["matched"], m["total"]) | ((m["total"] == 0) & (m["score"] > 0)))
+    kept = documents.select("doc_id", F.explode(passed).alias("m")).select("doc_id", "m.*")
     return kept.select("doc_id", (F.col("score") * spec.credit).alias("keyword_score"), (F.col("fuzzy") | F.lit(spec.credit < 1)).alias("is_fuzzy"))
 
 

@@ -11,7 +11,7 @@ from docquarry.functions.vectors import calibrated, cosine, norm
 from docquarry.operators.edits import damerau_distance, global_alignment, identity, local_alignment, osa_distance, similarity
 from docquarry.operators.vocabulary import correct_query, fuzzy_matches, prefix_matches, vocabulary
 from docquarry.plans.search import SearchSpec, batched_search, filtered_points, merge_ranges, ranked_chunks, search, snippets, top_points
-from docquarry.sources.tables import table
+from docquarry.sources.tables import table, text_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return table(spark, sf, "documents"), table(spark, sf, "document_permissions"), table(spark, sf, "categories")
+    return text_table(spark, sf, "documents"), table(spark, sf, "document_permissions"), table(spark, sf, "categories")
 
 
 def first_vector(points: DataFrame, dimension: int = 64) -> list[float]:
@@ -213,7 +213,7 @@ n AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, CAST(ceil((
 c AS (SELECT doc_id, w, CAST(unnest(range(0, k)) AS INT) AS position FROM n)
 SELECT doc_id, position, CAST(len(w[position * 140 + 1 : position * 140 + 180]) AS INT) AS token_count, array_to_string(w[position * 140 + 1 : position * 140 + 180], ' ') AS text FROM c""")
 def x05_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("position", "text"))
+    c = text_table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("position", "text"))
     return c.select("doc_id", "position", X.word_count(F.col("text")).alias("token_count"), "text")
 
 
@@ -256,7 +256,7 @@ _VOCABULARY = "SELECT w AS word, count(*) AS n_docs FROM (SELECT unnest(list_dis
 
 @query(_VOCABULARY)
 def a07_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary(table(spark, sf, "documents"), "title", "description", "text")
+    return vocabulary(text_table(spark, sf, "documents"), "title", "description", "text")
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,13 +268,13 @@ _TERM_SQL = f"t AS (SELECT DISTINCT unnest(list_filter({_TOKENS.format('title')}
 
 @query()
 def j25_fuzzy_vocabulary_join(spark: SparkSession, sf: str) -> DataFrame:
-    v = vocabulary(table(spark, sf, "documents"), "title", "description", "text")
+    v = vocabulary(text_table(spark, sf, "documents"), "title", "description", "text")
     return fuzzy_matches(_terms(spark, sf), v).select("term", "word", "n_docs", "distance", F.round("credit", 6).alias("credit"))
 
 
 @query(f"WITH v AS ({_VOCABULARY}), {_TERM_SQL} SELECT term, word, n_docs, round(0.5 + 0.5 * len(term) / len(word), 6) AS credit FROM t JOIN v ON starts_with(word, term) AND len(word) > len(term) WHERE len(term) >= 3")
 def j26_prefix_vocabulary_join(spark: SparkSession, sf: str) -> DataFrame:
-    v = vocabulary(table(spark, sf, "documents"), "title", "description", "text")
+    v = vocabulary(text_table(spark, sf, "documents"), "title", "description", "text")
     return prefix_matches(_terms(spark, sf), v).withColumn("credit", F.round("credit", 6))
 
 

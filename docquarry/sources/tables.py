@@ -10,3 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one table; Catalyst prunes its columns and pushes filters down."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are worked on: a scan of fewer partitions than there are cores is spread over them.
+
+    At scale a scan has many more partitions than cores, and nothing is shuffled.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
