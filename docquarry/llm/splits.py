@@ -42,7 +42,7 @@ def records_with_component(records: DataFrame, row_id: str, key: str, components
 
 
 def _place(weights: list[tuple[str, int, list[str]]], targets: dict[str, float]) -> dict[str, str]:
-    """Components to splits: first one of every category to each split, then the heaviest to the emptiest split."""
+    """Components to splits: first one of every category to each split, then the heaviest to the split with most room."""
     room, placed = dict(targets), {}
     by_category: dict[str, list[tuple[int, str]]] = {}
     for component, n, categories in weights:
@@ -65,7 +65,7 @@ def _place(weights: list[tuple[str, int, list[str]]], targets: dict[str, float])
                     put((fitting[-1] if fitting else free[0])[1], split)
     for component, n, _ in sorted(weights, key=lambda x: (-x[1], x[0])):
         if component not in placed:
-            put(component, max(SPLITS, key=lambda s: room[s] / targets[s]))
+            put(component, max(SPLITS, key=lambda s: room[s]))
     return placed
 
 
