@@ -55,7 +55,7 @@ def orphan_references(refs: DataFrame, ref_key: str, ref_time: str, row_id: str,
     bits = filter_bits(live.count(), max_bits)
     words = F.broadcast(bloom_words(live, "k", bits))
     asked = refs.select(F.col(row_id).alias("row_id"), F.col(ref_key).cast("long").alias("k"), F.col(ref_time).alias("at")).where("k is not null")
-    # one row on the right: the filter travels with the plan, not through the driver's Python
+    # the filter is one row: this broadcast join adds a column and multiplies nothing
     tested = asked.join(words, F.lit(True), "cross").select("row_id", "k", "at", _may_hold(F.col("words"), F.col("k"), bits).alias("may"))
     absent = tested.where("not may").select("row_id", "at", F.lit("absent").alias("reason"))
     first = live.groupBy("k").agg(F.when(F.count("born") < F.count(F.lit(1)), F.lit(None)).otherwise(F.min("born")).alias("born"), F.lit(True).alias("found"))

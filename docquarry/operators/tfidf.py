@@ -31,7 +31,7 @@ def counted_terms(docs: DataFrame, doc: str, text: str, longest: int = 2) -> Dat
 def idf(counted: DataFrame, doc: str, n_docs: DataFrame, least_df: int = 2) -> DataFrame:
     """(term, idf) = ln((1 + n) / (1 + df)) + 1 for terms in enough documents; n_docs has one row and column n."""
     df = counted.groupBy("term").agg(F.count(doc).alias("df")).where(F.col("df") >= least_df)
-    return df.join(F.broadcast(n_docs), F.lit(True), "cross").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.select("term", (F.log((1 + n_docs.scalar()) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weighted(counted: DataFrame, doc: str, weights: DataFrame) -> DataFrame:
@@ -62,6 +62,6 @@ def distinctive_terms(held: DataFrame, groups: DataFrame, doc: str, group: str,
     all_docs = groups.agg(F.count(F.lit(1)).alias("n_all"))
     overall = held.join(groups.select(doc), doc, "left_semi").groupBy("term").agg(F.sum("w").alias("s_all"))
     own = held.join(groups, doc).groupBy(group, "term").agg(F.sum("w").alias("s"))
-    lifted = own.join(F.broadcast(sizes), group).join(overall, "term").join(F.broadcast(all_docs), F.lit(True), "cross")
+    lifted = own.join(sizes, group).join(overall, "term").withColumn("n_all", all_docs.scalar())
     lifted = lifted.select(group, "term", F.round(F.col("s") / F.col("n_docs") - F.col("s_all") / F.col("n_all"), 9).alias("lift"))
     return lifted.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("lift"), "term"))).where(F.col("rank") <= n)

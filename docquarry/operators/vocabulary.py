@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.lexical import edits_allowed, prefix_credit, query_terms, typo_credit
 from docquarry.functions.text import tokens
-from docquarry.operators.edits import osa_within
+from docquarry.operators.edits import osa_distance, osa_within
 
 MIN_LENGTH = 4
 
@@ -20,22 +20,32 @@ def vocabulary(documents: DataFrame, *columns: str, least: int = MIN_LENGTH) ->
     return documents.select(F.explode(own).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+#: Terms compared with the vocabulary at once; more of them take several passes.
+TERMS_PER_PASS = 100_000
+
+
 def fuzzy_matches(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """(term, word, distance, credit): words within the edits a term allows. terms is the query side, a few rows, and broadcast."""
+    """(term, word, distance, credit): words within the edits a term allows, exactly.
+
+    terms is the asking side. Each pass broadcasts at most TERMS_PER_PASS of them, counted first; a
+    built-in distance bound goes before the alignment distance.
+    """
     t = terms.select(F.col("term"), edits_allowed(F.length("term")).alias("allowed")).where("allowed > 0")
+    passes = max(1, -(-t.count() // TERMS_PER_PASS))
     cheap, exact = osa_within(F.col("term"), F.col("word"), F.col("allowed"))
-    near = words.join(F.broadcast(t), cheap).where(exact)
-    from docquarry.operators.edits import osa_distance
-
-    near = near.withColumn("distance", osa_distance(F.col("term"), F.col("word")))
-    return near.withColumn("credit", typo_credit(F.col("distance"), F.col("term"), F.col("word"))).drop("allowed")
+    out = None
+    for i in range(passes):
+        block = t if passes == 1 else t.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i)
+        near = words.join(F.broadcast(block), cheap).where(exact)
+        out = near if out is None else out.unionByName(near)
+    out = out.withColumn("distance", osa_distance(F.col("term"), F.col("word")))
+    return out.withColumn("credit", typo_credit(F.col("distance"), F.col("term"), F.col("word"))).drop("allowed")
 
 
 def prefix_matches(terms: DataFrame, words: DataFrame) -> DataFrame:
     """(term, word, credit): longer words that a term of three letters begins. An equi-join on the first three letters."""
-    head = F.substring(F.col("term"), 1, 3)
-    t = terms.where(F.length("term") >= 3).select("term", head.alias("head"))
-    met = words.withColumn("head", F.substring("word", 1, 3)).join(F.broadcast(t), "head")
+    t = terms.where(F.length("term") >= 3).select("term", F.substring("term", 1, 3).alias("head"))
+    met = words.withColumn("head", F.substring("word", 1, 3)).join(t, "head")
     kept = met.where(F.col("word").startswith(F.col("term")) & (F.length("word") > F.length("term")))
     return kept.select("term", "word", "n_docs", prefix_credit(F.col("term"), F.col("word")).alias("credit"))
 

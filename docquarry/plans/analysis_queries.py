@@ -81,7 +81,7 @@ def g30_costs(spark: SparkSession, sf: str) -> DataFrame:
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     """Per month of ordering, which supplier delivers to which part's size class, and how much."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("graph"))
-    return table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_partkey") % 50).alias("v"), "l_quantity").join(F.broadcast(s), "l_suppkey").groupBy("graph", F.col("l_suppkey").alias("u"), "v").agg(F.sum("l_quantity").cast("long").alias("c"))
+    return table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_partkey") % 50).alias("v"), "l_quantity").join(s, "l_suppkey").groupBy("graph", F.col("l_suppkey").alias("u"), "v").agg(F.sum("l_quantity").cast("long").alias("c"))
 
 
 _EDGES = "e AS (SELECT CAST(s.s_nationkey AS BIGINT) AS graph, l.l_suppkey AS u, l.l_partkey % 50 AS v, CAST(sum(l_quantity) AS BIGINT) AS c FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey GROUP BY ALL)"

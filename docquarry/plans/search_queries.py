@@ -178,8 +178,8 @@ def v04_norms_of_usable_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) b")
 def v07_cosine_to_first(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    first = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("b"))
-    return e.join(F.broadcast(first), F.lit(True), "cross").select("vec_id", F.round(cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
+    first = e.orderBy("vec_id").limit(1).select("embedding").scalar()
+    return e.select("vec_id", F.round(cosine(F.col("embedding"), first), 6).alias("cosine"))
 
 
 @query("SELECT vec_id, round(greatest(0, least(0.95, (CAST(embedding[1] AS DOUBLE) - 0.10::DOUBLE) / 0.60::DOUBLE)), 6) AS server, round(greatest(0, least(1, (CAST(embedding[1] AS DOUBLE) + 1) / 2)), 6) AS caller FROM embeddings")
