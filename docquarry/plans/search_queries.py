@@ -178,7 +178,7 @@ def v04_norms_of_usable_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) b")
 def v07_cosine_to_first(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    first = e.orderBy("vec_id").limit(1).select("embedding").scalar()
+    first = F.array(*(F.lit(float(x)) for x in e.orderBy("vec_id").select("embedding").first()[0]))
     return e.select("vec_id", F.round(cosine(F.col("embedding"), first), 6).alias("cosine"))
 
 
