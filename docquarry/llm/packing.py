@@ -12,8 +12,8 @@ from docquarry.session import materialise
 
 #: Largest capacity for which recipes are made: it bounds the sizes that are counted.
 MAX_CAPACITY = 1 << 20
-#: Records of one size and container are numbered in this many parts, each part in one task.
-PARTS = 64
+#: Records of one size are numbered in parts, each by one task; there are as many as keep a part of a size that all records share under this.
+PART_ROWS = 100_000
 
 
 def recipes(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -71,7 +71,7 @@ def pack(df: DataFrame, row_id: str, text: str, specs: DataFrame, spec_id: str,
     parts = F.greatest(F.ceil(F.col("n") / F.col("capacity")), F.lit(1))
     items = each.withColumn("piece", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).withColumn("token_start", F.col("piece") * F.col("capacity"))
     items = items.withColumn("token_end", F.least("n", F.col("token_start") + F.col("capacity"))).withColumn("size", F.col("token_end") - F.col("token_start"))
-    part = F.pmod(F.xxhash64("row_id", "piece"), F.lit(PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("row_id", "piece"), F.lit(-(-sized.count() // PART_ROWS) or 1)).cast("int")
     items = items.withColumn("part", part).select("spec_id", "size", "part", "row_id", "piece", "token_start", "token_end")
     counted = materialise(items.groupBy("spec_id", "size", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram: dict[int, dict[int, int]] = {}
