@@ -32,9 +32,9 @@ class PermutationIndex:
     most: int = 16384
     order: int = 10
     posted: int = 5
-    shelf: int = 16
+    shelf: int = 32
     reranked: int = 128
-    block: int = 32768
+    block: int = 65536
 
     def shelves(self, n: int, pivots: int) -> int:
         """Enough of them that one shelf's vectors fit a block, as long as there are pivots for it."""
@@ -60,6 +60,18 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     return exact / np.linalg.norm(exact, axis=1, keepdims=True)
 
 
+def arranged(pivots: np.ndarray, shelves: int, rounds: int = 8) -> np.ndarray:
+    """Each pivot's shelf: groups of like pivots around means, a few rounds, as vectors near one pivot are near its like."""
+    means = pivots[:shelves].copy()
+    for _ in range(rounds):
+        shelf = np.argmax(pivots @ means.T, axis=1)
+        sums = np.zeros_like(means)
+        np.add.at(sums, shelf, pivots)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        means = np.where(length > 0, sums / np.maximum(length, 1e-300), means)
+    return np.argmax(pivots @ means.T, axis=1).astype(np.int16)
+
+
 def _ordered(pivots: np.ndarray, dimension: int, order: int, posted: int, shelf: np.ndarray):
     table = pivots.astype(np.float32).T.copy()
 
@@ -187,7 +199,7 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 5, dimensi
     if not drawn.num_rows:
         return points.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).where("false")
     pivots = _matrix(drawn.column("vector"), dimension)
-    shelf = np.argmax(pivots @ pivots[: index.shelves(n, len(pivots))].T, axis=1).astype(np.int16)
+    shelf = arranged(pivots, index.shelves(n, len(pivots)))
     ordered = leaders.mapInArrow(_ordered(pivots, dimension, index.order, index.posted, shelf), "id bigint, vector array<float>, ranks array<smallint>, shelves array<smallint>")
     large = []
     if n > index.block:
