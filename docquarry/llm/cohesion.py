@@ -16,6 +16,7 @@ from docquarry.llm.grid import nonblank_table, slices, tokenise
 BLOCK = 40
 LEAST_LETTERS = 4
 _BLANKS = re.compile(r"[ \t\r\n]+")
+_WORD = re.compile(r"[^ \t\r\n]+")
 # Ends of sentences, and what may close after them.
 _ENDERS, _CLOSERS = ".!?…。！？؟", "\"'”’»)]}"
 
@@ -117,6 +118,36 @@ def bad_pieces(text: str | None, chunks: list[dict] | None, limit: int, overlap:
     return bad
 
 
+def kept_pieces(chunks: list[dict] | None) -> list[dict]:
+    """Stored pieces that have a position, in its order."""
+    return sorted((x for x in chunks or () if x is not None and x["position"] is not None), key=lambda x: x["position"])
+
+
+def fit_pieces(text: str | None, chunks: list[dict] | None, limit: int, overlap: int) -> bool:
+    """Whether stored pieces that break no rule of bad_pieces may stay: none ends off a paragraph or sentence end while one lies in reach.
+
+    In reach are, as for cuts, the ends after the piece before and at most limit words from the
+    piece's first word. The text's own end is always one.
+    """
+    spans = [m.span() for m in _WORD.finditer(text or "")]
+    words = [text[a:b] for a, b in spans]
+    start = end = 0
+    inner = []
+    for x in kept_pieces(chunks):
+        own = words_of(x["text"])
+        fresh, start = end, max(start, end - overlap)
+        end = start + len(own)
+        if words[start:end] != own:
+            break
+        if end < len(words):
+            inner.append((fresh, start, end))
+    if not inner:
+        return True
+    gaps = boundaries(text, *np.array(spans, dtype=np.int64).T)
+    at = set(gaps.tolist())
+    return all(end in at or not np.any((gaps > fresh) & (gaps <= start + limit)) for fresh, start, end in inner)
+
+
 def split_batch(texts: list[str | None], limit: int, overlap: int) -> list[list[tuple[int, int]]]:
     """For each text, its pieces as character ranges."""
     out: list[list[tuple[int, int]]] = []
@@ -151,8 +182,8 @@ def _recut(limit: int, overlap: int):
             texts = batch.column("text").to_pylist()
             chunks = batch.column("chunks").to_pylist()
             bad = [bad_pieces(t, c, limit, overlap) for t, c in zip(texts, chunks, strict=True)]
-            # texts whose stored pieces are all good keep them
-            cut = [k for k in range(len(texts)) if bad[k] or not chunks[k]]
+            # texts whose stored pieces are all good and fit keep them
+            cut = [k for k in range(len(texts)) if bad[k] or not chunks[k] or not fit_pieces(texts[k], chunks[k], limit, overlap)]
             pieces: list = [None] * len(texts)
             for k, found in zip(cut, split_batch([texts[k] for k in cut], limit, overlap), strict=True):
                 pieces[k] = [{"start": a, "end": b} for a, b in found]
@@ -162,11 +193,11 @@ def _recut(limit: int, overlap: int):
 
 
 def recut(df: DataFrame, row_id: str, text: str, chunks: str | None = None, limit: int = 180, overlap: int = 40) -> DataFrame:
-    """(row_id, bad, pieces): verdict on the stored pieces and, where one is bad or none is stored, new pieces.
+    """(row_id, bad, pieces): verdict on the stored pieces and, where one is bad or unfit or none is stored, new pieces.
 
     bad holds the positions of stored pieces over the limit, without the overlap, or not standing in
     the text; pieces holds character ranges of the text, in order, or null where all stored pieces are
-    good. A null, empty or blank text gives no pieces. A text within the limit is one piece. A longer
+    good and none ends off a paragraph or sentence end with one in reach (fit_pieces). A null, empty or blank text gives no pieces. A text within the limit is one piece. A longer
     one is cut where word counts of the blocks around a paragraph or sentence end are least alike
     (the deepest valley in reach), each piece opening with the last overlap words before; where no
     such end lies in reach, at the limit. Whole texts are read, in one pass, without a shuffle; rows
@@ -204,8 +235,7 @@ def _piece_rows(limit: int, overlap: int):
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for row, text, old, new in zip(ids, texts, chunks, judged.column("pieces").to_pylist(), strict=True):
                 if new is None:
-                    kept = sorted((x for x in old if x is not None and x["position"] is not None), key=lambda x: x["position"])
-                    own = [x["text"] or "" for x in kept]
+                    own = [x["text"] or "" for x in kept_pieces(old)]
                 else:
                     own = [text[x["start"] : x["end"]] for x in new]
                 for k, piece in enumerate(own):

@@ -113,6 +113,20 @@ def test_recut_frame_cases(spark):
     assert {(r["row_id"], r["position"], r["text"]) for r in cohesion.piece_rows(df, "id", "text", "chunks").collect()} == {(1, 0, "a b."), (4, 0, "a b")}
 
 
+def test_stored_pieces_that_end_off_a_boundary_in_reach_are_cut_anew(spark):
+    w = [f"t{i}" + ("." if i in (154, 170) else "") for i in range(300)]
+    off = [(" ".join(w[:180]), 0), (" ".join(w[140:]), 1)]
+    on = [(" ".join(w[:171]), 0), (" ".join(w[131:]), 1)]
+    plain = [x.rstrip(".") for x in w]
+    rows = [(1, " ".join(w), off), (2, " ".join(w), on), (3, " ".join(plain), [(" ".join(plain[:180]), 0), (" ".join(plain[140:]), 1)])]
+    df = spark.createDataFrame(rows, "id int, text string, chunks array<struct<text:string,position:int>>")
+    got = {r["row_id"]: (r["bad"], r["pieces"]) for r in cohesion.recut(df, "id", "text", "chunks").collect()}
+    assert [got[i][0] for i in (1, 2, 3)] == [[], [], []]
+    assert got[1][1] is not None and got[2][1] is None and got[3][1] is None
+    ends = [r["text"].split()[-1] for r in cohesion.piece_rows(df.where("id = 1"), "id", "text", "chunks").orderBy("position").collect()]
+    assert all(e.endswith(".") for e in ends[:-1])
+
+
 # 2
 
 
