@@ -124,8 +124,10 @@ def kept_pieces(chunks: list[dict] | None) -> list[dict]:
 
 
 def fit_pieces(text: str | None, chunks: list[dict] | None, limit: int, overlap: int) -> bool:
-    """Whether stored pieces that break no rule of bad_pieces may stay: none ends off a paragraph or sentence end while one lies in reach.
+    """Whether stored pieces that break no rule of bad_pieces may stay.
 
+    Chained with their overlaps they must be the text's words from first to last, each piece with
+    new ones; and none may end off a paragraph or sentence end while one lies in reach.
     In reach are, as for cuts, the ends after the piece before and at most limit words from the
     piece's first word. The text's own end is always one.
     """
@@ -137,10 +139,12 @@ def fit_pieces(text: str | None, chunks: list[dict] | None, limit: int, overlap:
         own = words_of(x["text"])
         fresh, start = end, max(start, end - overlap)
         end = start + len(own)
-        if words[start:end] != own:
-            break
+        if end <= fresh or words[start:end] != own:
+            return False
         if end < len(words):
             inner.append((fresh, start, end))
+    if not words or end < len(words):
+        return False
     if not inner:
         return True
     gaps = boundaries(text, *np.array(spans, dtype=np.int64).T)
@@ -197,7 +201,7 @@ def recut(df: DataFrame, row_id: str, text: str, chunks: str | None = None, limi
 
     bad holds the positions of stored pieces over the limit, without the overlap, or not standing in
     the text; pieces holds character ranges of the text, in order, or null where all stored pieces are
-    good and none ends off a paragraph or sentence end with one in reach (fit_pieces). A null, empty or blank text gives no pieces. A text within the limit is one piece. A longer
+    good, cover every word, and none ends off a paragraph or sentence end with one in reach (fit_pieces). A null, empty or blank text gives no pieces. A text within the limit is one piece. A longer
     one is cut where word counts of the blocks around a paragraph or sentence end are least alike
     (the deepest valley in reach), each piece opening with the last overlap words before; where no
     such end lies in reach, at the limit. Whole texts are read, in one pass, without a shuffle; rows

@@ -127,6 +127,35 @@ def test_stored_pieces_that_end_off_a_boundary_in_reach_are_cut_anew(spark):
     assert all(e.endswith(".") for e in ends[:-1])
 
 
+def test_stored_pieces_that_lose_words_are_cut_anew(spark):
+    w = [f"t{i}" + ("." if i % 10 == 9 else "") for i in range(300)]
+    text = " ".join(w)
+    cut = lambda *ranges: [(" ".join(w[a:b]), k) for k, (a, b) in enumerate(ranges)]
+    stored = {
+        1: cut((0, 180), (140, 300)),
+        2: cut((0, 180), (140, 299)),  # stops early
+        3: cut((10, 180), (140, 300)),  # starts late
+        4: [None],
+        5: [("x", None)],
+        6: [(None, 0)],
+        7: [(" ", 0)],
+        8: cut((0, 180)),
+        9: [*cut((0, 180), (140, 300)), (None, 2)],
+    }
+    df = spark.createDataFrame([(i, text, x) for i, x in stored.items()] + [(10, "a b. a c.", [("a b.", 0), ("a b. a c.", 1)]), (11, "", [(" ", 0)]), (12, None, [None])], "id int, text string, chunks array<struct<text:string,position:int>>")
+    assert sorted(r["row_id"] for r in cohesion.recut(df, "id", "text", "chunks").where("pieces is null").collect()) == [1, 10]
+    got = defaultdict(list)
+    for r in cohesion.piece_rows(df, "id", "text", "chunks").orderBy("row_id", "position").collect():
+        got[r["row_id"]].append(r["text"].split())
+    assert set(got) == {*range(1, 11)}
+    for i in range(1, 10):
+        words = []
+        for p in got[i]:
+            assert p and (not words or p[:40] == words[-40:])
+            words += p[40 * bool(words) :]
+        assert words == w
+
+
 # 2
 
 
