@@ -38,15 +38,16 @@ def character_grams(c, low: int = 3, high: int = 5):
 
 
 def text_features(kind: str = "words", buckets: int = 1 << 14) -> Pipeline:
-    """grams column to a vector x of length 1: counted words with weights, or hashed ones."""
-    count = CountVectorizer(inputCol="grams", outputCol="tf", minDF=2, vocabSize=buckets) if kind == "words" else HashingTF(inputCol="grams", outputCol="tf", numFeatures=buckets)
+    """grams column to a vector x of length 1: all terms of at least two rows with weights, or terms hashed into buckets."""
+    # vocabSize is only a ceiling; as many terms are held as pass minDF
+    count = CountVectorizer(inputCol="grams", outputCol="tf", minDF=2, vocabSize=(1 << 31) - 1) if kind == "words" else HashingTF(inputCol="grams", outputCol="tf", numFeatures=buckets)
     return Pipeline(stages=[count, IDF(inputCol="tf", outputCol="w"), Normalizer(inputCol="w", outputCol="x")])
 
 
 def classify(train: DataFrame, test: DataFrame, text: str, label: str, model: str = "logistic", row_id: str = "doc_id") -> DataFrame:
-    """(row_id, label, predicted) of the test rows; everything is fitted on the train rows."""
+    """(row_id, label, predicted) of the test rows by words and word pairs; everything is fitted on the train rows."""
     index = StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip")
-    tr, te = (d.withColumn("grams", grams(F.col(text), 1)) for d in (train, test))
+    tr, te = (d.withColumn("grams", grams(F.col(text))) for d in (train, test))
     fitted = index.fit(tr)
     features = text_features().fit(tr)
     guess = MODELS[model]().fit(features.transform(fitted.transform(tr))).transform(features.transform(te))

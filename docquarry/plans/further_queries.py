@@ -179,7 +179,7 @@ def m06_models_compared(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def m09_calibration(spark: SparkSession, sf: str) -> DataFrame:
     """Bins of confidence against accuracy of a classifier whose margins go through a logistic curve."""
-    d = _labelled(spark, sf).withColumn("grams", grams(F.col("text"), 1))
+    d = _labelled(spark, sf).withColumn("grams", grams(F.col("text")))
     index = StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip").fit(d)
     train, test = (index.transform(x) for x in (d.where("fold <> 0"), d.where("fold = 0")))
     features = L.text_features().fit(train)

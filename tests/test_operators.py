@@ -268,6 +268,20 @@ def test_dbscan_and_radius_pairs(spark):
     assert sorted(learning.agglomerate(np.array([[0.0], [0.1], [5.0], [5.1]]), 2, "ward").tolist()) == [0, 0, 1, 1]
 
 
+def test_text_features_hold_every_term_of_two_rows(spark):
+    terms = [f"t{i}" for i in range((1 << 14) + 100)]
+    df = spark.createDataFrame([(terms,), (terms,), (["once"],)], "grams array<string>")
+    fitted = learning.text_features().fit(df)
+    assert sorted(fitted.stages[0].vocabulary) == sorted(terms)
+
+
+def test_classify_uses_word_pairs(spark):
+    # the same words in both labels; only their order differs
+    rows = [(i, *(("alpha beta", "x") if i % 2 else ("beta alpha", "y"))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label string")
+    assert all(r["label"] == r["predicted"] for r in learning.classify(df, df, "text", "label", "bayes").collect())
+
+
 # search
 
 
