@@ -72,12 +72,17 @@ def as_features(df: DataFrame, vector: str) -> DataFrame:
     return Normalizer(inputCol="_v", outputCol="x").transform(df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))).drop("_v")
 
 
-def principal_components(df: DataFrame, share: float = 0.9, most: int = 50) -> tuple[DataFrame, int]:
-    """Replaces x by its leading components, as many as hold the share of variance."""
-    model = PCA(k=most, inputCol="x", outputCol="pc").fit(df)
-    kept = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), share) + 1)
-    short = PCA(k=min(kept, most), inputCol="x", outputCol="pc").fit(df)
-    return short.transform(df).drop("x").withColumnRenamed("pc", "x"), min(kept, most)
+def principal_components(df: DataFrame, share: float = 0.9) -> tuple[DataFrame, int]:
+    """Replaces x by its leading components, as many as hold the share of variance; also their number. All rows have one dimension; an empty table is an error."""
+    first = df.select("x").first()
+    if first is None:
+        raise ValueError("no rows to find components of")
+    width = first["x"].size
+    model = PCA(k=width, inputCol="x", outputCol="pc").fit(df)
+    # rounding may leave the sum of all a little under 1
+    kept = min(int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), share) + 1), width)
+    short = PCA(k=kept, inputCol="x", outputCol="pc").fit(df)
+    return short.transform(df).drop("x").withColumnRenamed("pc", "x"), kept
 
 
 def k_means(df: DataFrame, k: int, seed: int = 7, mode: str = "k-means||") -> tuple[DataFrame, float, float]:

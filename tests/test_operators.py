@@ -282,6 +282,13 @@ def test_classify_uses_word_pairs(spark):
     assert all(r["label"] == r["predicted"] for r in learning.classify(df, df, "text", "label", "bayes").collect())
 
 
+def test_principal_components_beyond_fifty(spark):
+    # 64 directions of equal variance: 58 of them hold 90 %
+    rows = [([float(sign * (i == j)) for j in range(64)],) for i in range(64) for sign in (1, -1)]
+    short, kept = learning.principal_components(learning.as_features(spark.createDataFrame(rows, "v array<double>"), "v"))
+    assert kept == 58 and short.first()["x"].size == 58
+
+
 # search
 
 
