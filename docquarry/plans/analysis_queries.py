@@ -260,10 +260,14 @@ def m10_k_means_profile(spark: SparkSession, sf: str) -> DataFrame:
     return E.cluster_agreement(out, "cluster", "label")
 
 
+#: Numbers of clusters that are tried.
+CLUSTERS = range(2, 31)
+
+
 @query()
 def m10_sweep_and_knee(spark: SparkSession, sf: str) -> DataFrame:
-    x = L.as_features(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
-    return E.knee(L.sweep(x, range(2, 13, 2)), "k", "inertia")
+    x = L.as_features(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding").cache()
+    return E.knee(L.sweep(x, CLUSTERS), "k", "inertia")
 
 
 @query()

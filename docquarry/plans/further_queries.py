@@ -16,7 +16,7 @@ from docquarry.operators import learning as L
 from docquarry.operators import strings as S
 from docquarry.operators.randomised import MERSENNE_31, universal_text_hash
 from docquarry.operators.tfidf import grams, tfidf_run
-from docquarry.plans.analysis_queries import _judged, _labelled, _word_run
+from docquarry.plans.analysis_queries import CLUSTERS, _judged, _labelled, _word_run
 from docquarry.plans.search_queries import first_vector
 from docquarry.sources.tables import table, text_table
 
@@ -193,8 +193,10 @@ def m09_calibration(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def m11_starts_compared(spark: SparkSession, sf: str) -> DataFrame:
     x = L.as_features(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding").cache()
-    rows = [(mode, seed, L.k_means(x, 10, seed, mode)[1]) for mode in ("random", "k-means||") for seed in range(3)]
-    return spark.createDataFrame(rows, "start string, seed int, inertia double").groupBy("start").agg(F.round(F.avg("inertia"), 6).alias("mean"), F.round(F.stddev("inertia"), 6).alias("spread"))
+    # six categories, and the number of clusters with the best silhouette
+    best = L.sweep(x, CLUSTERS).orderBy(F.desc("silhouette"), "k").first()["k"]
+    rows = [(k, mode, seed, L.k_means(x, k, seed, mode)[1]) for k in sorted({6, best}) for mode in ("random", "k-means||") for seed in range(20)]
+    return spark.createDataFrame(rows, "k int, start string, seed int, inertia double").groupBy("k", "start").agg(F.round(F.avg("inertia"), 6).alias("mean"), F.round(F.stddev("inertia"), 6).alias("spread"))
 
 
 @query("WITH t AS (SELECT topic_id, lower(trim(category)) AS category, list_distinct(keywords) AS k FROM topics), p AS (SELECT a.category IS NOT DISTINCT FROM b.category AS same, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) AS j FROM t a JOIN t b ON a.topic_id < b.topic_id WHERE len(a.k) + len(b.k) > 0) SELECT same, count(*) AS pairs, round(avg(j), 6) AS mean FROM p GROUP BY same")

@@ -67,3 +67,21 @@ def test_plans(spark, small):
     assert "content:struct<word_count:int>" in scan
     keyword = plan(CORE["s01_keyword_search_all"](spark, small))
     assert "Python" not in keyword and "ArrowEval" not in keyword
+
+
+def test_every_number_of_clusters_and_start_is_tried(spark, small, monkeypatch):
+    from docquarry.operators import learning
+
+    asked = []
+
+    def k_means(df, k, seed=7, mode="k-means||"):
+        asked.append((k, seed, mode))
+        return df, 100.0 / k, -abs(k - 9.0)
+
+    monkeypatch.setattr(learning, "k_means", k_means)
+    CORE["m10_sweep_and_knee"](spark, small)
+    assert [k for k, _, _ in asked] == list(range(2, 31))
+    asked.clear()
+    got = CORE["m11_starts_compared"](spark, small).collect()
+    assert {(r["k"], r["start"]) for r in got} == {(k, m) for k in (6, 9) for m in ("random", "k-means||")}
+    assert {x for x in asked[29:]} == {(k, s, m) for k in (6, 9) for s in range(20) for m in ("random", "k-means||")}
