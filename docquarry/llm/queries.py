@@ -24,13 +24,13 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_rows(table(spark, sf_dir, "knowledge_documents"), "kd_id", "content.raw_text", "chunks").withColumnRenamed("row_id", "kd_id")
 
 
-def _topic_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with their topic's component, and topics with theirs."""
+def _topic_records(spark: SparkSession, sf_dir: str, former: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents with their topic's component, and topics with theirs; former: also documents under a former key that no topic has."""
     topics = table(spark, sf_dir, "topics")
     components = entity_components(topics, "topic_key", "former_key")
     known = topics.select("topic_id", F.trim(F.lower("category")).alias("category"), entity_name(F.col("topic_key")).alias("entity")).join(components, "entity")
     # a former key that no topic has ties topics together but is itself no topic
-    named = components.join(known.select("entity").distinct(), "entity", "left_semi")
+    named = components if former else components.join(known.select("entity").distinct(), "entity", "left_semi")
     return records_with_component(table(spark, sf_dir, "documents"), "doc_id", "topic_key", named), known
 
 
@@ -41,7 +41,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, known = _topic_records(spark, sf_dir)
+    records, known = _topic_records(spark, sf_dir, former=True)
     kinds = known.select("entity", "category").distinct()
     asked = records.join(F.broadcast(kinds), "entity", "left").withColumn("tie", F.coalesce("component", "entity"))
     return grouped_splits(asked, "row_id", "tie", "category").withColumnRenamed("row_id", "doc_id")

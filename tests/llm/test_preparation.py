@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import cohesion
+from docquarry.llm import cohesion, queries
 from docquarry.llm.confusables import lookalike_pairs, one_form, single_mapping, transducer
 from docquarry.llm.grid import alnum_table, slices, tokenise
 from docquarry.llm.mixing import allot, mix_sources, pivotal, source_name
@@ -170,6 +170,17 @@ def test_components_over_chains_and_cycles(spark):
     assert r == {(1, "a1"), (2, None), (3, None), (3, "y")}
 
 
+def test_documents_under_a_former_key_follow_the_renamed_topic(spark, tmp_path):
+    # no topic holds the keys old0 to old39 any more
+    topics = spark.createDataFrame([(i, f"new{i}", f"c{i % 2}", f"old{i}") for i in range(40)], "topic_id int, topic_key string, category string, former_key string")
+    docs = spark.createDataFrame([(2 * i + k, f"{('new', 'Old ')[k]}{i}") for i in range(40) for k in (0, 1)], "doc_id bigint, topic_key string")
+    topics.write.parquet(f"{tmp_path}/topics.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    split = {r["doc_id"]: r["split"] for r in queries.p2_splits(spark, str(tmp_path)).collect()}
+    assert len(split) == 80 and all(split[2 * i] == split[2 * i + 1] for i in range(40))
+    assert {r["doc_id"] for r in queries.p2_found(spark, str(tmp_path)).collect()} == {2 * i for i in range(40)}
+
+
 def test_splits_keep_groups_shares_and_categories(spark):
     rows = [(i, f"g{min(int(rng.paretovariate(0.8)), 300)}") for i in range(6000)]
     rows = [(i, g, f"c{int(g[1:]) % 4}" if int(g[1:]) % 9 else None) for i, g in rows] + [(10_000 + i, None, None) for i in range(300)]
