@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -16,13 +16,25 @@ from pyspark.sql import types as T
 from docquarry.session import materialise
 
 # Letters of other scripts with the shape of a Latin letter, and that letter.
-CYRILLIC = {
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W",
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ԝ": "w", "х": "x", "у": "y",
-}
-GREEK = {
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
+LOOKALIKES = {
+    "CYRILLIC": {
+        "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ӏ": "I", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
+        "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
+    },
+    "GREEK": {
+        "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+        "α": "a", "ι": "i", "ο": "o", "ρ": "p", "υ": "u", "ν": "v", "ϲ": "c", "ϳ": "j", "κ": "к", "τ": "т",
+    },
+    "ARMENIAN": {"Լ": "L", "Օ": "O", "Տ": "S", "Ս": "U", "ց": "g", "հ": "h", "յ": "j", "ո": "n", "օ": "o", "զ": "q", "ս": "u"},
+    "CHEROKEE": {
+        "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮍ": "Y", "Ꮓ": "Z",
+        "Ꮟ": "b", "Ꮷ": "d", "Ꮒ": "h", "Ꭵ": "i", "Ꭹ": "y",
+    },
+    "LISU": {
+        "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    },
+    "COPTIC": {"Ⲃ": "B", "Ⲥ": "C", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲧ": "T", "Ⲭ": "X", "ⲥ": "c", "ⲟ": "o", "ⲣ": "p"},
+    "LATIN": {"ɑ": "a", "ᴄ": "c", "ɡ": "g", "ı": "i", "ɩ": "i", "ȷ": "j", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ʙ": "в", "ĸ": "к", "ᴋ": "к", "ᴍ": "м", "ʜ": "н", "ᴛ": "т", "ᴙ": "я"},
 }
 # Format characters that are seen although Unicode counts them as formats, line ends among the controls.
 SEEN_FORMATS = "؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd"
@@ -40,8 +52,9 @@ def _points() -> Iterator[int]:
 def single_mapping() -> dict[str, str]:
     """Code point to replacement ('' for characters without width), built from rules and the look-alike tables.
 
-    Raises ValueError where two rules disagree or a replacement would itself be replaced, so that the
-    form is the same however often the mapping is applied.
+    Wide, narrow, joined and font forms stand for what they are made of; the result of a rule is looked
+    up again, so a mathematical alpha ends as the Latin a. Raises ValueError where two rules disagree or
+    a replacement would itself be replaced, so that the form is the same however often it is applied.
     """
     out: dict[str, str] = {}
 
@@ -49,6 +62,12 @@ def single_mapping() -> dict[str, str]:
         if out.setdefault(source, target) != target:
             raise ValueError(f"{source!r} is mapped to {out[source]!r} and {target!r}")
 
+    letters: dict[str, str] = {}
+    for table in LOOKALIKES.values():
+        for source, target in table.items():
+            if letters.setdefault(source, target) != target or target in letters:
+                raise ValueError(f"{source!r} is mapped twice")
+            add(source, target)
     for point in _points():
         c = chr(point)
         kind = unicodedata.category(c)
@@ -58,81 +77,148 @@ def single_mapping() -> dict[str, str]:
             add(c, " ")
         else:
             how, _, what = unicodedata.decomposition(c).partition(" ")
-            wide = how in ("<wide>", "<narrow>")
-            joined = how == "<compat>" and "LIGATURE" in unicodedata.name(c, "") and (point < 0x0200 or 0xFB00 <= point <= 0xFB17)
-            if wide or joined:
-                add(c, unicodedata.normalize("NFKD", "".join(chr(int(x, 16)) for x in what.split())))
-    for table in (CYRILLIC, GREEK):
-        for source, target in table.items():
-            add(source, target)
+            name = unicodedata.name(c, "")
+            joined = how == "<compat>" and (("LIGATURE" in name and (point < 0x0200 or 0xFB00 <= point <= 0xFB17)) or "ROMAN NUMERAL" in name)
+            if joined or how in ("<wide>", "<narrow>", "<font>"):
+                add(c, "".join(letters.get(x, x) for x in unicodedata.normalize("NFKD", "".join(chr(int(x, 16)) for x in what.split()))))
     for source, target in out.items():
         if any(x in out for x in target):
             raise ValueError(f"{source!r} becomes {target!r}, which is mapped again")
     return out
 
 
-class _Clusters(dict):
-    """Cluster to replacement; clusters met for the first time are worked out from the single mapping. Bounded."""
+class _Outputs(dict):
+    """Unit to output; units met for the first time go through the automaton. Bounded."""
 
-    def __init__(self, single: dict[int, str]) -> None:
-        self.single = single
+    MOST = 200_000
 
-    def __missing__(self, cluster: str) -> str:
-        if len(self) > 100_000:
+    def __init__(self, run: Callable[[str], str]) -> None:
+        self.run = run
+
+    def __missing__(self, unit: str) -> str:
+        if len(self) >= self.MOST:
             self.clear()
-        # apart, replaced, together again: a mark joins the replaced base
-        out = self[cluster] = unicodedata.normalize("NFC", unicodedata.normalize("NFD", cluster).translate(self.single))
+        out = self[unit] = self.run(unit)
         return out
 
 
 class Transducer:
-    """One pass over a text, longest match first: runs that hold whole grapheme clusters, each with its base, are replaced.
+    """One pass over a text, longest match first: each grapheme cluster is replaced by the automaton's output for it.
+
+    The automaton is compiled once. apart has, for every code point it concerns, the symbols that it
+    stands for: nothing for one without width, the look-alike Latin letter, base and marks of a composed
+    letter. arcs lead from a letter over a mark to the composed letter; a cluster's marks are taken in
+    canonical order and followed as far as arcs lead, the rest stays behind the letter.
 
-    A word that also holds letters only Cyrillic or only Greek has, and no letter only Latin has, is
-    spelled in that script. The rule looks at the replaced form alone, so equal looks stay equal.
+    The output of a word waits until its end: a word that also holds letters only one other script has,
+    and none only Latin has, is spelled in that script. The rule looks at the outputs alone, so equal
+    looks stay equal. Words that were met before are looked up (bounded).
     """
 
     def __init__(self) -> None:
         single = single_mapping()
-        self.clusters = _Clusters({ord(k): v for k, v in single.items()})
-        self.marks = {chr(c) for c in _points() if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) in ("Mn", "Mc")}
-        self.joins = self.marks | {k for k, v in single.items() if not v}
-        # every mapped code point lies in such a run, which holds whole clusters but for an ASCII base before its first mark
-        self.pattern = re.compile("[\\x00-\\x08\\x0e-\\x1b\\x7f-\\U0010ffff]+")
-        self.back = {name: {ord(latin): other for other, latin in reversed(table.items())} for name, table in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK))}
-        self.foreign, self.word = re.compile("[Ͱ-ԯ]"), re.compile(r"\w+")
-        self.words: dict[str, str] = {}
-
-    def _respell(self, match: re.Match) -> str:
-        word = match.group()
-        if word.isascii():
-            return word
-        if word not in self.words:
-            if len(self.words) > 100_000:
-                self.words.clear()
-            apart = unicodedata.normalize("NFD", word)
-            scripts = {unicodedata.name(c, "?").split()[0] for c in apart if c.isalpha() and ord(c) > 0x36F}
+        self.order = {chr(c): k for c in _points() if (k := unicodedata.combining(chr(c)))}
+        self.apart: dict[str, str] = {}
+        self.arcs: dict[tuple[str, str], str] = {}
+        for point in _points():
+            c = chr(point)
+            whole = unicodedata.normalize("NFD", c)
+            symbols = "".join(single.get(x, x) for x in (c if c in single else whole))
+            if symbols != c:
+                self.apart[c] = symbols
+            parts = unicodedata.decomposition(c)
+            if parts and parts[0] != "<" and " " in parts and unicodedata.normalize("NFC", c) == c:
+                a, b = (chr(int(x, 16)) for x in parts.split())
+                self.arcs[a, b] = c
+        # syllables of Hangul are composed by rule
+        for lead in range(19):
+            for vowel in range(21):
+                pair = chr(0xAC00 + (lead * 21 + vowel) * 28)
+                self.arcs[chr(0x1100 + lead), chr(0x1161 + vowel)] = pair
+                for tail in range(1, 28):
+                    self.arcs[pair, chr(0x11A7 + tail)] = chr(ord(pair) + tail)
+        self.marks = {c for c in map(chr, _points()) if unicodedata.category(c) in ("Mn", "Mc")} | {c for c, x in single.items() if not x}
+        # from a character of interest to the end of what may be its word
+        touched = "\\x00-\\x08\\x0e-\\x1b\\x7f-\\U0010ffff"
+        self.unit = re.compile(f"[{touched}][A-Za-z0-9_{touched}]*")
+        self.back = {script: {latin: other for other, latin in reversed(table.items())} for script, table in LOOKALIKES.items() if script != "LATIN"}
+        # letters that are the form of another script's letters prove no script, unless no other does
+        self.shared = {latin for table in LOOKALIKES.values() for latin in table.values()}
+        self.back["CYRILLIC"] |= {c: c for c in self.shared if c > "Ͱ"}
+        self.outputs = _Outputs(lambda unit: self.composed(self.spelled(self.symbols(unit))))
+
+    def symbols(self, unit: str) -> list[str]:
+        """What the characters stand for, marks in canonical order."""
+        out = list("".join(self.apart.get(c, c) for c in unit))
+        order = self.order
+        low = 0
+        while low < len(out):
+            if out[low] not in order:
+                low += 1
+                continue
+            high = low
+            while high < len(out) and out[high] in order:
+                high += 1
+            if high - low > 1:
+                out[low:high] = sorted(out[low:high], key=order.__getitem__)
+            low = high
+        return out
+
+    def composed(self, symbols: list[str]) -> str:
+        """Each letter with the marks that arcs lead over, longest match first; the other marks behind it."""
+        out: list[str] = []
+        base, before = -1, 0
+        for x in symbols:
+            k = self.order.get(x, 0)
+            if base >= 0 and (before < k or before == 0 and len(out) - 1 == base):
+                whole = self.arcs.get((out[base], x))
+                if whole is not None:
+                    out[base] = whole
+                    continue
+            out.append(x)
+            if k:
+                before = k
+            else:
+                base, before = len(out) - 1, 0
+        return "".join(out)
+
+    def spelled(self, symbols: list[str]) -> list[str]:
+        """The symbols, each word in the one script whose own letters it holds, where that script has all of its letters."""
+        if not any(x > "ͯ" for x in symbols):
+            return symbols
+        out, low = list(symbols), 0
+        while low < len(out):
+            high = low
+            while high < len(out) and (out[high].isalnum() or out[high] == "_" or unicodedata.category(out[high])[0] == "M"):
+                high += 1
+            letters = [x for x in out[low:high] if x.isalpha()]
+            own = [x for x in letters if x > "ͯ"]
+            scripts = {unicodedata.name(x, "?").split()[0] for x in own if x not in self.shared} or {"CYRILLIC" for _ in own}
             back = self.back.get(scripts.pop(), {}) if len(scripts) == 1 else {}
-            whole = back and all(ord(c) in back for c in apart if c.isalpha() and ord(c) <= 0x36F)
-            self.words[word] = unicodedata.normalize("NFC", apart.translate(back)) if whole else word
-        return self.words[word]
+            if back and all(x in back for x in letters if x <= "ͯ" or x in self.shared):
+                out[low:high] = [back.get(x, x) for x in out[low:high]]
+            low = max(high, low + 1)
+        return out
 
     def __call__(self, text: str | None) -> str | None:
-        if text is None:
-            return None
-        if text.isascii() and text.isprintable():
+        if text is None or text.isascii() and text.isprintable():
             return text
-        out, done = [], 0
-        for m in self.pattern.finditer(text):
-            start, end = m.span()
-            if start > done and text[start] in self.joins:
-                start -= 1  # the base that the marks stand on
+        out, done, outputs = [], 0, self.outputs
+        for hit in self.unit.finditer(text):
+            low, high = hit.span()
+            # back to the word's start, or to the base that marks stand on
+            start = text.rfind(" ", done, low) + 1 or done
+            if start < low and not text[start:low].isalnum():
+                start = low
+                while start > done and (text[start - 1].isalnum() or text[start - 1] == "_"):
+                    start -= 1
+            if start == low > done and text[low] in self.marks:
+                start -= 1
             out.append(text[done:start])
-            out.append(self.clusters[text[start:end]])
-            done = end
+            out.append(outputs[text[start:high]])
+            done = high
         out.append(text[done:])
-        whole = "".join(out)
-        return self.word.sub(self._respell, whole) if self.foreign.search(whole) else whole
+        return "".join(out)
 
 
 @lru_cache(maxsize=1)

@@ -394,8 +394,26 @@ def test_different_looks_stay_apart(a, b):
     assert transducer()(a) != transducer()(b)
 
 
+@pytest.mark.parametrize("a,b", [("Օօ", "Oo"), ("Ꭺ", "A"), ("Ꮃ", "W"), ("Ꮋ", "H"), ("ꓮꓐ", "AB"), ("Ⲥⲟ", "Co"), ("𝐛𝐨𝐥𝐝", "bold"), ("ℎ", "h"), ("Ⅰ", "I"), ("ⅴ", "v"), ("Ⅷ", "VIII"), ("𝛂", "a"), ("αρ", "ap"), ("υ", "u"), ("κτ", "кт"), ("ı", "i"), ("ꜱ", "s"), ("ё", "ë"), ("=\u0338", "≠"), ("х\u00a0—\u2003у", "x — y")])
+def test_looks_of_further_scripts_become_equal(a, b):
+    assert transducer()(a) == transducer()(b)
+
+
+def test_the_automaton_composes_like_the_standard():
+    f = transducer()
+    pool = [chr(c) for c in range(0x300, 0x370)] + list("aeioukхЕαｅ각각!") + ["\u200d", "\u09c7", "\u09be", "\u0323"]
+    for _ in range(5000):
+        s = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))
+        assert unicodedata.normalize("NFC", f(s)) == f(s) == f(f(s))
+    for _ in range(2000):
+        s = "".join(rng.choice("aeiu" + "".join(map(chr, range(0x300, 0x30D))) + "\u0323\u0327") for _ in range(rng.randrange(1, 6)))
+        assert f(s) == unicodedata.normalize("NFC", s)
+
+
 def test_words_of_another_script_keep_it():
-    assert transducer()("Приложение и вода") == "Приложение и вода"
+    for text in ("Приложение и вода", "кот", "Ռուսաստան", "ᏣᎳᎩ", "καλά", "Ёлка, Київ"):
+        assert transducer()(text) == text
+    assert transducer()("καλά") != transducer()("kaλá")
 
 
 def test_lookalike_pairs_cases(spark):
