@@ -5,43 +5,60 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.session import broadcast_if_small, materialise
+from docquarry.session import broadcast_if_small, lookup_salted, materialise
 
 
 @dataclass(frozen=True)
 class PermutationIndex:
     """Parameters of the index.
 
-    pivots: pivots_per_root times the root of the number of vectors, within least and most; they are a
-    sample of the vectors by hash of their id, the only thing fitted on a sample. order: nearest pivots
-    that stand for a vector. posted: how many of them it is posted under. shelf: neighbouring pivots, at
-    most, whose inverted files are kept together, so that a vector posted under several of them is sent
-    there once. reranked: candidates of the least footrule distance that are reranked in each inverted
-    file. block: vectors of one shelf in one task; larger shelves are worked off in pairs of blocks,
-    all of them.
+    order: nearest pivots that stand for a vector. posted: how many of them it is posted under. file:
+    vectors that an inverted file shall hold on average, at every size of the collection. least, most:
+    bounds of the number of pivots, which are a sample of the vectors by hash of their id, the only thing
+    fitted on a sample; pivots beyond most would make finding the nearest ones too dear. branch: how many
+    pivots share vectors with one pivot, a low guess. depth: pivots that name a file together (None: as
+    many as keep the candidates of a vector near posted * file). reranked: candidates of the least
+    footrule distance that are reranked in each file. shelf: vectors of the collection for each shelf;
+    files of like pivots stand on one shelf, so that a vector posted under several of them is sent there
+    once. block: vectors of one shelf in one task; larger shelves are worked off in pairs of blocks, all
+    of them.
     """
 
-    pivots_per_root: float = 2.0
+    order: int = 20
+    posted: int = 8
+    file: int = 512
     least: int = 16
-    most: int = 16384
-    order: int = 10
-    posted: int = 5
-    shelf: int = 32
-    reranked: int = 128
+    most: int = 4096
+    branch: int = 24
+    depth: int | None = None
+    reranked: int = 320
+    shelf: int = 8192
     block: int = 65536
 
-    def shelves(self, n: int, pivots: int) -> int:
-        """Enough of them that one shelf's vectors fit a block, as long as there are pivots for it."""
-        return min(pivots, math.ceil(max(pivots / self.shelf, n * self.posted / self.block)))
-
     def pivots(self, n: int) -> int:
-        return max(1, min(n, self.most, max(self.least, math.ceil(self.pivots_per_root * math.sqrt(n)))))
+        return max(1, min(n, self.most, max(self.least, math.ceil(n * self.posted / self.file))))
+
+    def pivots_of_a_file(self, n: int) -> int:
+        """1 up to most pivots, then as many as keep a vector's candidates from growing."""
+        if self.depth is not None:
+            return self.depth
+        m = self.pivots(n)
+        for d in range(1, self.posted):
+            if math.comb(self.posted, d) * (math.comb(self.posted, d) * n / (m * self.branch ** (d - 1))) <= 2 * self.posted * self.file:
+                return d
+        return self.posted
+
+    def shelves(self, n: int, pivots: int) -> tuple[int, int]:
+        """Groups of pivots, and parts of a group by the second pivot of a file, where files have one."""
+        groups = min(pivots, max(1, math.ceil(n / self.shelf)))
+        return groups, 1 if self.pivots_of_a_file(n) == 1 else max(1, math.ceil(n * self.posted / (2 * groups * self.block)))
 
 
 def usable(vector: Column, dimension: int) -> Column:
@@ -60,19 +77,41 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     return exact / np.linalg.norm(exact, axis=1, keepdims=True)
 
 
-def arranged(pivots: np.ndarray, shelves: int, rounds: int = 8) -> np.ndarray:
-    """Each pivot's shelf: groups of like pivots around means, a few rounds, as vectors near one pivot are near its like."""
-    means = pivots[:shelves].copy()
+def arranged(pivots: np.ndarray, groups: int, rounds: int = 8) -> np.ndarray:
+    """Each pivot's group: like pivots around means, a few rounds, as vectors near one pivot are near its like."""
+    means = pivots[:groups].copy()
     for _ in range(rounds):
-        shelf = np.argmax(pivots @ means.T, axis=1)
+        group = np.argmax(pivots @ means.T, axis=1)
         sums = np.zeros_like(means)
-        np.add.at(sums, shelf, pivots)
+        np.add.at(sums, group, pivots)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         means = np.where(length > 0, sums / np.maximum(length, 1e-300), means)
-    return np.argmax(pivots @ means.T, axis=1).astype(np.int16)
+    return np.argmax(pivots @ means.T, axis=1)
 
 
-def _ordered(pivots: np.ndarray, dimension: int, order: int, posted: int, shelf: np.ndarray):
+@dataclass(frozen=True)
+class Files:
+    """Which files a permutation is posted in, and on which shelf each stands."""
+
+    group: np.ndarray
+    parts: int
+    posted: int
+    depth: int
+
+    def of(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(file, shelf) of each vector's postings: files are named by every choice of depth of its posted pivots."""
+        held = np.sort(ranks[:, : self.posted].astype(np.int64), axis=1)
+        chosen = np.array(list(combinations(range(held.shape[1]), min(self.depth, held.shape[1]))))
+        file = np.zeros((held.shape[0], len(chosen)), np.int64)
+        for column in chosen.T:
+            file = file * 1_000_003 + held[:, column] + 1  # a chance collision only makes one file of two
+        shelf = self.group[held[:, chosen[:, 0]]] * self.parts
+        if chosen.shape[1] > 1:
+            shelf = shelf + held[:, chosen[:, 1]] % self.parts
+        return file, shelf
+
+
+def _ordered(pivots: np.ndarray, dimension: int, order: int, files: Files):
     table = pivots.astype(np.float32).T.copy()
 
     def lists(values: np.ndarray, keep: np.ndarray) -> pa.ListArray:
@@ -89,7 +128,7 @@ def _ordered(pivots: np.ndarray, dimension: int, order: int, posted: int, shelf:
                 found.append(np.take_along_axis(head, np.lexsort((head, np.take_along_axis(near, head, 1)), axis=1), 1))
             if found:
                 ranks = np.concatenate(found).astype(np.int16)
-                shelves = np.sort(shelf[ranks[:, :posted]], axis=1)
+                shelves = np.sort(files.of(ranks)[1].astype(np.int32), axis=1)
                 fresh = np.ones(shelves.shape, bool)
                 fresh[:, 1:] = shelves[:, 1:] != shelves[:, :-1]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), lists(ranks, np.ones(ranks.shape, bool)), lists(shelves, fresh)], names=["id", "vector", "ranks", "shelves"])
@@ -97,34 +136,36 @@ def _ordered(pivots: np.ndarray, dimension: int, order: int, posted: int, shelf:
     return run
 
 
-def footrules(asked: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Tables to add up for Spearman's footrule of truncated permutations, but for a constant of the held one.
+def overlaps(asked: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tables to add up for Spearman's footrule of truncated permutations.
 
-    A pivot at place j weighs order - j, one that isn't among the nearest weighs 0; the distance is the
-    sum of weight differences over all pivots. Returns the asked permutations in local numbers and, for
-    each place, a table (pivot, held) of what the asked pivot at that place adds.
+    A pivot at place j weighs order - j, one that isn't among the nearest weighs 0; the footrule, the sum
+    of weight differences over all pivots, is order * (order + 1) less twice the sum of the smaller
+    weights. Returns the asked permutations in local numbers and, for each place, a table (pivot, held)
+    of the smaller weight of the asked pivot at that place: the larger their sum, the less the footrule.
     """
     local, inverse = np.unique(np.concatenate([asked.ravel(), held.ravel()]), return_inverse=True)
     order = held.shape[1]
     own, other = inverse[: asked.size].reshape(asked.shape), inverse[asked.size :].reshape(held.shape)
-    weight = np.zeros((local.size, held.shape[0]), np.int8)
-    weight[other, np.arange(held.shape[0])[:, None]] = np.arange(order, 0, -1, dtype=np.int8)
-    return own, [np.abs(np.int8(order - j) - weight) - weight for j in range(order)]
+    weight = np.zeros((local.size, held.shape[0]), np.uint8 if order <= 22 else np.uint16)
+    weight[other, np.arange(held.shape[0])[:, None]] = np.arange(order, 0, -1, dtype=weight.dtype)
+    return own, [np.minimum(weight, weight.dtype.type(order - j)) for j in range(order)]
 
 
-def _rank(dimension: int, k: int, posted: int, reranked: int, least: float | None, shelf: np.ndarray):
+def _rank(dimension: int, k: int, reranked: int, least: float | None, files: Files):
     def best(ids_a: np.ndarray, exact_a: np.ndarray, ranks_a: np.ndarray, ids_b: np.ndarray, exact_b: np.ndarray, ranks_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        own, tables = footrules(ranks_a, ranks_b)
+        if ids_b.size > reranked:
+            own, tables = overlaps(ranks_a, ranks_b)
         small_a, small_b = exact_a.astype(np.float32), exact_b.astype(np.float32).T.copy()
         for low in range(0, ids_a.size, 256):
             rows = slice(low, min(low + 256, ids_a.size))
             cosine = small_a[rows] @ small_b
             if ids_b.size > reranked:
-                far = tables[0][own[rows, 0]]
+                shared = tables[0][own[rows, 0]]
                 for j in range(1, len(tables)):
-                    far = far + tables[j][own[rows, j]]
-                edge = np.partition(far, reranked, axis=1)[:, reranked : reranked + 1]
-                cosine[far > edge] = -2
+                    shared += tables[j][own[rows, j]]
+                edge = np.sort(shared, axis=1, kind="stable")[:, -reranked - 1 : -reranked]
+                cosine[shared < edge] = -2
             cosine[ids_a[rows][:, None] == ids_b[None, :]] = -2
             if least is not None:
                 at, held = np.nonzero(cosine >= least - 1e-4)
@@ -143,18 +184,22 @@ def _rank(dimension: int, k: int, posted: int, reranked: int, least: float | Non
                 keep &= value >= least
             yield ids_a[at[keep] + low], ids_b[held[keep]], value[keep]
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def unit(own: int, x: int, y: int, table: pa.Table) -> pa.RecordBatch:
         ids = table.column("id").to_numpy()
         exact = _matrix(table.column("vector"), dimension)
         ranks = np.asarray(table.column("ranks").combine_chunks().flatten()).reshape(ids.size, -1)
         block = table.column("block").to_numpy()
-        own, x, y = (part.as_py() for part in key)
+        file, shelf = files.of(ranks)
+        row, column = np.nonzero(shelf == own)
+        file = file[row, column]
+        # the inverted files of this shelf, one after the other
+        order = np.lexsort((row, file))
+        row, file = row[order], file[order]
+        edges = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1], [True])))
         found = []
-        for pivot in np.flatnonzero(shelf == own):
-            # the inverted file of one pivot
-            here = (ranks[:, :posted] == pivot).any(axis=1)
-            a = np.flatnonzero(here & (block == x))
-            b = np.flatnonzero(here & (block == y))
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            here = np.unique(row[low:high])
+            a, b = here[block[here] == x], here[block[here] == y]
             for p, q in ((a, b),) if x == y else ((a, b), (b, a)):
                 if p.size and q.size:
                     found.extend(best(ids[p], exact[p], ranks[p], ids[q], exact[q], ranks[q]))
@@ -166,11 +211,57 @@ def _rank(dimension: int, k: int, posted: int, reranked: int, least: float | Non
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         a, b, cosine = a[fresh], b[fresh], cosine[fresh]
         keep = np.arange(a.size) - np.searchsorted(a, a) < k
-        return pa.table([a[keep], b[keep], cosine[keep]], names=["a", "b", "cosine"])
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(cosine[keep])], names=["a", "b", "cosine"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a partition holds whole units, by its number mostly one
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            keys = np.stack([table.column(c).to_numpy() for c in ("shelf", "x", "y")])
+            for own, x, y in np.unique(keys, axis=1).T:
+                yield unit(own, x, y, table.filter(pa.array((keys == np.array([[own], [x], [y]])).all(axis=0))))
 
     return run
 
 
+#: Share of the vectors that tells which shelves are larger than a block; it sets how the work is cut, never what is compared.
+SIZED = 1 / 16
+
+
+def _units(ordered: DataFrame, leaders: DataFrame, n: int, files: Files, index: PermutationIndex, of) -> tuple[DataFrame, int]:
+    """(posts, number of units): each vector once on every shelf that it is posted on, with its unit of work.
+
+    A unit is a shelf, or a pair of blocks of a large one.
+    """
+    large = []
+    if n > index.block:
+        some = of(leaders.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(round(1 / SIZED))) == 0))
+        sizes = some.select(F.explode("shelves").alias("shelf")).groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / (index.block * SIZED)).cast("int").alias("blocks"))
+        large = [(x["shelf"], x["blocks"]) for x in sizes.where("blocks > 1").collect()]  # at most one row a shelf
+    first = (int(files.group.max()) + 1) * files.parts
+    rows = []
+    for shelf, blocks in large:
+        rows.append((shelf, blocks, first))
+        first += blocks * blocks
+    posts = ordered.withColumn("shelf", F.explode("shelves"))
+    if not rows:
+        zero = F.lit(0)
+        return posts.select(F.col("shelf").alias("unit"), "shelf", zero.alias("x"), zero.alias("y"), "id", "vector", "ranks", zero.alias("block")), first
+    blocks = ordered.sparkSession.createDataFrame(rows, "shelf int, blocks int, first int")
+    posts = posts.join(F.broadcast(blocks), "shelf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    posts = posts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    posts = posts.select("shelf", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "vector", "ranks", "block", "blocks", "first")
+    unit = F.coalesce(F.col("first") + F.col("x") * F.col("blocks") + F.col("y"), F.col("shelf"))
+    return posts.select(unit.alias("unit"), "shelf", "x", "y", "id", "vector", "ranks", "block"), first
+
+
+def _looked_up(left: DataFrame, right: DataFrame, key: str, spread: str, rows: int, row_bytes: int) -> DataFrame:
+    """Left join on a key that may be hot: a broadcast while right's counted rows are few, else with salts."""
+    small = broadcast_if_small(right, rows, row_bytes)
+    return left.join(small, key, "left") if small is not right else lookup_salted(left, right, key, F.col(spread))
+
+
 def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 5, dimension: int = 64, least: float | None = None, index: PermutationIndex = PermutationIndex()) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar vectors of each usable vector, rank from 1, ties by id.
 
@@ -179,10 +270,12 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 5, dimensi
     give fewer rows; an empty table gives none; other columns aren't read.
 
     Every vector is posted in the inverted files of its nearest pivots; each file ranks its members
-    for each other by footrule distance and reranks the nearest by cosine. Equal vectors are one
-    while searching: a copy takes part through the class's least k + 1 ids. Pivots are drawn from the
-    data, so dense regions have more of them; files that are large all the same are worked off in
-    pairs of blocks. Recall against brute force is measured in the tests.
+    for each other by footrule distance and reranks the nearest by cosine. The number of pivots grows
+    with the collection, and beyond the most pivots the number that name a file together does, so that
+    files keep their length and the work of a vector its amount. Equal vectors are one while searching:
+    a copy takes part through the class's least k + 1 ids, and looks its neighbours up with salts.
+    Pivots are drawn from the data, so dense regions have more of them; shelves that are large all the
+    same are worked off in pairs of blocks. Recall against brute force is measured in the tests.
     """
     points = df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col(vector), dimension))
     prints = [F.xxhash64("vector").alias("print_1"), F.xxhash64(F.lit(7), "vector").alias("print_2")]
@@ -199,28 +292,27 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 5, dimensi
     if not drawn.num_rows:
         return points.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).where("false")
     pivots = _matrix(drawn.column("vector"), dimension)
-    shelf = arranged(pivots, index.shelves(n, len(pivots)))
-    ordered = leaders.mapInArrow(_ordered(pivots, dimension, index.order, index.posted, shelf), "id bigint, vector array<float>, ranks array<smallint>, shelves array<smallint>")
-    large = []
-    if n > index.block:
-        sizes = ordered.select(F.explode("shelves").alias("shelf")).groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / index.block).cast("int").alias("blocks"))
-        large = [(x["shelf"], x["blocks"]) for x in sizes.where("blocks > 1").collect()]  # at most one row a shelf
-    blocks = df.sparkSession.createDataFrame(large, "shelf smallint, blocks int")
-    posts = ordered.withColumn("shelf", F.explode("shelves")).join(F.broadcast(blocks), "shelf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    posts = posts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    posts = posts.select("shelf", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "vector", "ranks", "block")
-    found = posts.groupBy("shelf", "x", "y").applyInArrow(_rank(dimension, k, index.posted, index.reranked, least, shelf), "a bigint, b bigint, cosine double")
+    groups, parts = index.shelves(n, len(pivots))
+    files = Files(arranged(pivots, groups), parts, index.posted, index.pivots_of_a_file(n))
+    schema = "id bigint, vector array<float>, ranks array<smallint>, shelves array<int>"
+    of = lambda frame: frame.mapInArrow(_ordered(pivots, dimension, index.order, files), schema)
+    posts, units = _units(of(leaders), leaders, n, files, index, of)
+    found = posts.repartitionById(units, F.col("unit")).mapInArrow(_rank(dimension, k, index.reranked, least, files), "a bigint, b bigint, cosine double")
     # one exchange serves both the distinct pairs and the ranking
     merged = found.repartition("a").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     merged = merged.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= k)
     if not n_copies:
         return merged.select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine", "rank")
-    # copies ask like their class, and answer for it by its least ids
-    member = broadcast_if_small(copies, n_copies, 32)
-    answer = copies.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("r") <= k + 1).select("id", "class")
-    answer = broadcast_if_small(answer, n_copies, 32)
-    asks = merged.join(member.select(F.col("id").alias("m"), F.col("class").alias("a")), "a", "left").select(F.coalesce("m", "a").alias("id"), "b", "cosine")
-    both = asks.join(answer.select(F.col("id").alias("m"), F.col("class").alias("b")), "b", "left").select("id", F.coalesce("m", "b").alias("neighbour"), "cosine")
-    own = copies.join(answer.select(F.col("id").alias("neighbour"), "class"), "class").where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
+    # copies ask like their class, and answer for it by its least ids; lists hold at most k + 1 of them
+    merged = materialise(merged.drop("rank"), "merged")
+    least_ids = copies.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("r") <= k + 1)
+    answers = least_ids.groupBy("class").agg(F.collect_list("id").alias("answers"))
+    held = merged.groupBy(F.col("a").alias("class")).agg(F.collect_list(F.struct("b", "cosine")).alias("held")).join(broadcast_if_small(classes.select("class"), n_copies, 16), "class", "left_semi")
+    rest = copies.where("id <> class")
+    asks = _looked_up(rest, held, "class", "id", n_copies, 32 + 24 * k).select("id", F.explode("held").alias("h")).select("id", "h.b", "h.cosine")
+    asks = merged.select(F.col("a").alias("id"), "b", "cosine").unionByName(asks)
+    both = _looked_up(asks, answers.select(F.col("class").alias("b"), "answers"), "b", "id", n_copies, 32 + 8 * k)
+    both = both.select("id", F.explode(F.coalesce("answers", F.array("b"))).alias("neighbour"), "cosine")
+    own = _looked_up(copies, answers, "class", "id", n_copies, 32 + 8 * k).select("id", F.explode("answers").alias("neighbour"), F.lit(1.0).alias("cosine")).where("id <> neighbour")
     every = both.unionByName(own).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
     return every.where(F.col("rank") <= k)

@@ -1,5 +1,6 @@
 """Small cases and brute force for every operator of the llm folder."""
 
+import math
 import random
 import re
 import unicodedata
@@ -14,7 +15,7 @@ from docquarry.llm.confusables import lookalike_pairs, one_form, single_mapping,
 from docquarry.llm.grid import alnum_table, slices, tokenise
 from docquarry.llm.mixing import allot, mix_sources, pivotal, source_name
 from docquarry.llm.neardup import Covering, duplicate_groups, duplicate_pairs, near_duplicates
-from docquarry.llm.neighbours import PermutationIndex, nearest_vectors
+from docquarry.llm.neighbours import PermutationIndex, nearest_vectors, overlaps
 from docquarry.llm.packing import fill_report, pack, recipes
 from docquarry.llm.splits import entity_components, grouped_splits, records_with_component
 from docquarry.llm.tokens import token_count
@@ -253,8 +254,8 @@ def test_covering_masks_guarantee_their_radius():
 # 5
 
 
-@pytest.mark.parametrize("block", [8192, 64])
-def test_nearest_vectors_recall_and_cases(spark, block):
+@pytest.mark.parametrize("index", [PermutationIndex(), PermutationIndex(block=64, shelf=200), PermutationIndex(file=64, shelf=100, reranked=40), PermutationIndex(file=64, most=48, branch=4, depth=2, shelf=60, block=90)])
+def test_nearest_vectors_recall_and_cases(spark, index):
     g = np.random.default_rng(3)
     centres = g.normal(size=(60, 16))
     x = (centres[g.integers(0, 60, 900)] + 0.25 * g.normal(size=(900, 16))).astype(np.float32) * g.uniform(0.1, 40, (900, 1)).astype(np.float32)
@@ -263,7 +264,7 @@ def test_nearest_vectors_recall_and_cases(spark, block):
     ok = dict(rows)
     rows += [(2000, None), (2001, []), (2002, [1.0] * 15), (2003, [0.0] * 16), (2004, [float("nan")] * 16), (2005, [float("inf")] * 16), (2006, [None] * 16), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "id bigint, v array<float>").withColumn("pivot", F.lit("x"))
-    got = nearest_vectors(df, "id", "v", 5, 16, index=PermutationIndex(block=block)).collect()
+    got = nearest_vectors(df, "id", "v", 5, 16, index=index).collect()
     ids = sorted(ok)
     m = np.array([ok[i] for i in ids], np.float64)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -277,12 +278,31 @@ def test_nearest_vectors_recall_and_cases(spark, block):
     hit = sum(ids[j] in mine[ids[k]] for k in range(len(ids)) for j in np.lexsort((ids, -c[k]))[:5])
     assert hit / (5 * len(ids)) >= 0.9
     assert set(mine[1003]) == {7, 1000, 1001, 1002, 1004}
-    near = nearest_vectors(df, "id", "v", 5, 16, least=0.95, index=PermutationIndex(block=block)).collect()
+    near = nearest_vectors(df, "id", "v", 5, 16, least=0.95, index=index).collect()
     assert all(r["cosine"] >= 0.95 for r in near)
     assert nearest_vectors(df.limit(0), "id", "v", 5, 16).count() == 0
     assert nearest_vectors(df.where("id < 1"), "id", "v", 5, 16).count() == 0
 
 
+def test_files_keep_their_length_as_the_collection_grows():
+    index = PermutationIndex()
+    for n in (10_000, 1_000_000, 100_000_000, 10**10, 10**12):
+        m, d = index.pivots(n), index.pivots_of_a_file(n)
+        files = math.comb(index.posted, d)
+        assert m <= index.most and (files * files * n / (m * index.branch ** (d - 1)) <= 2 * index.posted * index.file or d == index.posted)
+    assert [index.pivots_of_a_file(n) for n in (10_000, 200_000)] == [1, 1] and index.pivots_of_a_file(10**8) > 1
+
+
+def test_overlap_tables_rank_like_the_footrule():
+    g = np.random.default_rng(5)
+    asked, held = (np.array([g.permutation(30)[:8] for _ in range(n)]) for n in (6, 40))
+    own, tables = overlaps(asked, held)
+    shared = sum(tables[j][own[:, j]].astype(int) for j in range(8))
+    weight = lambda ranks: np.array([[8 - list(r).index(p) if p in r else 0 for p in range(30)] for r in ranks])
+    footrule = np.abs(weight(asked)[:, None, :] - weight(held)[None, :, :]).sum(axis=2)
+    assert (footrule == 8 * 9 - 2 * shared).all()
+
+
 # 6
 
 
