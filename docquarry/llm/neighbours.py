@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from docquarry.session import broadcast_if_small, lookup_salted, materialise
 
 
+#: Vectors that ask at once.
+ASKED = 256
+
+
 @dataclass(frozen=True)
 class PermutationIndex:
     """Parameters of the index.
@@ -68,9 +72,23 @@ def usable(vector: Column, dimension: int) -> Column:
     return F.coalesce((F.size(vector) == dimension) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = np.asarray(array.flatten()).reshape(-1, dimension)
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as one binary value, which the JVM copies whole."""
+    width = rows.shape[1] * rows.itemsize
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The matrix of binary values of one width."""
+    array = column.combine_chunks()
+    array = array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
+    ends = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+    return np.frombuffer(array.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(array), -1)
+
+
+def _directions(flat: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
     exact = flat.astype(np.float64)
     largest = np.abs(exact).max(axis=1, keepdims=True)
     exact /= largest
@@ -111,6 +129,11 @@ class Files:
         return file, shelf
 
 
+def _values(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(array.flatten()).reshape(-1, dimension)
+
+
 def _ordered(pivots: np.ndarray, dimension: int, order: int, files: Files):
     table = pivots.astype(np.float32).T.copy()
 
@@ -120,9 +143,9 @@ def _ordered(pivots: np.ndarray, dimension: int, order: int, files: Files):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, values = [], _values(batch.column("vector"), dimension)
             for low in range(0, batch.num_rows, 1024):
-                near = -(_matrix(batch.column("vector").slice(low, 1024), dimension).astype(np.float32) @ table)
+                near = -(_directions(values[low : low + 1024]).astype(np.float32) @ table)
                 k = min(order, near.shape[1])
                 head = np.argpartition(near, k - 1, axis=1)[:, :k]
                 found.append(np.take_along_axis(head, np.lexsort((head, np.take_along_axis(near, head, 1)), axis=1), 1))
@@ -131,39 +154,43 @@ def _ordered(pivots: np.ndarray, dimension: int, order: int, files: Files):
                 shelves = np.sort(files.of(ranks)[1].astype(np.int32), axis=1)
                 fresh = np.ones(shelves.shape, bool)
                 fresh[:, 1:] = shelves[:, 1:] != shelves[:, :-1]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), lists(ranks, np.ones(ranks.shape, bool)), lists(shelves, fresh)], names=["id", "vector", "ranks", "shelves"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _packed(values), _packed(ranks), lists(shelves, fresh)], names=["id", "vector", "ranks", "shelves"])
 
     return run
 
 
-def overlaps(asked: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Tables to add up for Spearman's footrule of truncated permutations.
+def overlaps(asked: np.ndarray, held: np.ndarray) -> Iterator[np.ndarray]:
+    """For blocks of asked permutations, the overlap with each held one: the larger, the less Spearman's footrule.
 
     A pivot at place j weighs order - j, one that isn't among the nearest weighs 0; the footrule, the sum
     of weight differences over all pivots, is order * (order + 1) less twice the sum of the smaller
-    weights. Returns the asked permutations in local numbers and, for each place, a table (pivot, held)
-    of the smaller weight of the asked pivot at that place: the larger their sum, the less the footrule.
+    weights, which is the overlap.
     """
     local, inverse = np.unique(np.concatenate([asked.ravel(), held.ravel()]), return_inverse=True)
     order = held.shape[1]
     own, other = inverse[: asked.size].reshape(asked.shape), inverse[asked.size :].reshape(held.shape)
     weight = np.zeros((local.size, held.shape[0]), np.uint8 if order <= 22 else np.uint16)
     weight[other, np.arange(held.shape[0])[:, None]] = np.arange(order, 0, -1, dtype=weight.dtype)
-    return own, [np.minimum(weight, weight.dtype.type(order - j)) for j in range(order)]
-
-
-def _rank(dimension: int, k: int, reranked: int, least: float | None, files: Files):
+    for low in range(0, len(own), ASKED):
+        rows = own[low : low + ASKED]
+        shared = weight[rows[:, 0]]
+        smaller = np.empty_like(shared)
+        for j in range(1, order):
+            np.take(weight, rows[:, j], axis=0, out=smaller, mode="clip")
+            np.minimum(smaller, weight.dtype.type(order - j), out=smaller)
+            np.add(shared, smaller, out=shared)
+        yield shared
+
+
+def _rank(k: int, reranked: int, least: float | None, files: Files):
     def best(ids_a: np.ndarray, exact_a: np.ndarray, ranks_a: np.ndarray, ids_b: np.ndarray, exact_b: np.ndarray, ranks_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if ids_b.size > reranked:
-            own, tables = overlaps(ranks_a, ranks_b)
+        shared_of = overlaps(ranks_a, ranks_b) if ids_b.size > reranked else None
         small_a, small_b = exact_a.astype(np.float32), exact_b.astype(np.float32).T.copy()
-        for low in range(0, ids_a.size, 256):
-            rows = slice(low, min(low + 256, ids_a.size))
+        for low in range(0, ids_a.size, ASKED):
+            rows = slice(low, min(low + ASKED, ids_a.size))
             cosine = small_a[rows] @ small_b
-            if ids_b.size > reranked:
-                shared = tables[0][own[rows, 0]]
-                for j in range(1, len(tables)):
-                    shared += tables[j][own[rows, j]]
+            if shared_of is not None:
+                shared = next(shared_of)
                 edge = np.sort(shared, axis=1, kind="stable")[:, -reranked - 1 : -reranked]
                 cosine[shared < edge] = -2
             cosine[ids_a[rows][:, None] == ids_b[None, :]] = -2
@@ -186,8 +213,8 @@ def _rank(dimension: int, k: int, reranked: int, least: float | None, files: Fil
 
     def unit(own: int, x: int, y: int, table: pa.Table) -> pa.RecordBatch:
         ids = table.column("id").to_numpy()
-        exact = _matrix(table.column("vector"), dimension)
-        ranks = np.asarray(table.column("ranks").combine_chunks().flatten()).reshape(ids.size, -1)
+        exact = _directions(_unpacked(table.column("vector"), np.float32))
+        ranks = _unpacked(table.column("ranks"), np.int16)
         block = table.column("block").to_numpy()
         file, shelf = files.of(ranks)
         row, column = np.nonzero(shelf == own)
@@ -219,6 +246,9 @@ def _rank(dimension: int, k: int, reranked: int, least: float | None, files: Fil
         if held:
             table = pa.Table.from_batches(held)
             keys = np.stack([table.column(c).to_numpy() for c in ("shelf", "x", "y")])
+            if (keys == keys[:, :1]).all():
+                yield unit(*keys[:, 0], table)
+                return
             for own, x, y in np.unique(keys, axis=1).T:
                 yield unit(own, x, y, table.filter(pa.array((keys == np.array([[own], [x], [y]])).all(axis=0))))
 
@@ -291,13 +321,13 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 5, dimensi
     drawn = leaders.orderBy(F.xxhash64("id"), "id").limit(m).select("vector").toArrow()
     if not drawn.num_rows:
         return points.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).where("false")
-    pivots = _matrix(drawn.column("vector"), dimension)
+    pivots = _directions(_values(drawn.column("vector"), dimension))
     groups, parts = index.shelves(n, len(pivots))
     files = Files(arranged(pivots, groups), parts, index.posted, index.pivots_of_a_file(n))
-    schema = "id bigint, vector array<float>, ranks array<smallint>, shelves array<int>"
+    schema = "id bigint, vector binary, ranks binary, shelves array<int>"
     of = lambda frame: frame.mapInArrow(_ordered(pivots, dimension, index.order, files), schema)
     posts, units = _units(of(leaders), leaders, n, files, index, of)
-    found = posts.repartitionById(units, F.col("unit")).mapInArrow(_rank(dimension, k, index.reranked, least, files), "a bigint, b bigint, cosine double")
+    found = posts.repartitionById(units, F.col("unit")).mapInArrow(_rank(k, index.reranked, least, files), "a bigint, b bigint, cosine double")
     # one exchange serves both the distinct pairs and the ranking
     merged = found.repartition("a").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     merged = merged.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= k)
