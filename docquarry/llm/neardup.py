@@ -140,7 +140,34 @@ def _agreeing(a: Column, b: Column) -> Column:
     return F.lit(DIGEST // 2) - F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
 
 
-def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str = "words", size: int = 5, limit: float = 0.8, covering: Covering = Covering(15, (3, 3, 3))) -> tuple[DataFrame, DataFrame]:
+#: Members of a bucket that are compared with each other in one piece; buckets that a sample of the rows shows to be larger are cut into pairs of blocks.
+BUCKET = 4000
+SIZED = 1 / 16
+
+
+def _bucket_pairs(leaders: DataFrame, bucket: int, sized: float) -> DataFrame:
+    """(class_a, class_b), class_a < class_b: all pairs that share a bucket, each once.
+
+    A bucket of many different texts would be one task's work, quadratic in its size. Its members fall
+    into blocks by hash, and each pair of blocks is a join key of its own. The sample decides only how
+    the work is cut: every pair of blocks is joined.
+    """
+    spread = leaders.select("id", F.explode("marks").alias("mark"))
+    some = spread.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(round(1 / sized))) == 0)
+    hot = materialise(some.groupBy("mark").agg(F.ceil(F.count(F.lit(1)) / (bucket * sized)).cast("int").alias("blocks")).where("blocks > 1"), "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        a, b = (spread.select("mark", F.col("id").alias(f"class_{x}")) for x in "ab")
+        return a.join(b, "mark").where("class_a < class_b").select("class_a", "class_b").distinct()
+    posts = spread.join(broadcast_if_small(hot, n_hot, 48), "mark", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    posts = posts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    posts = posts.select("mark", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block")
+    a, b = (posts.select("mark", "x", "y", F.col("id").alias(f"class_{x}"), F.col("block").alias(f"block_{x}")) for x in "ab")
+    met = a.join(b, ["mark", "x", "y"]).where("class_a < class_b and (x = y or block_a <> block_b)")
+    return met.select("class_a", "class_b").distinct()
+
+
+def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str = "words", size: int = 5, limit: float = 0.8, covering: Covering = Covering(15, (3, 3, 3)), bucket: int = BUCKET, sized: float = SIZED) -> tuple[DataFrame, DataFrame]:
     """(members, links): classes of rows with equal shingle sets, and the similar pairs of classes.
 
     members has (id, class), class being the least id of its rows; links has (class_a, class_b,
@@ -152,8 +179,8 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str = "words",
     share is one row from then on. Classes that share a signature under any mask of the covering are
     candidates; a 128-bit digest that travels with the class drops those whose estimate lies more than
     DEVIATIONS standard deviations under the limit (a chance of 3e-7 for a pair at the limit); the
-    rest is verified on the whole sets. Buckets are joined, not gathered: adaptive execution splits
-    large ones. The chance of losing a pair at the limit is covering.miss(limit).
+    rest is verified on the whole sets. Buckets are joined, not gathered, large ones in pairs of
+    blocks. The chance of losing a pair at the limit is covering.miss(limit).
     """
     asked = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where("text is not null and text <> ''")
     of = asked.dtypes[0][1]
@@ -164,15 +191,13 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str = "words",
     copied = rows.select("id", *prints).join(least.where("copies > 1"), prints).select("id", "class").distinct()
     copied = materialise(copied, "copies")
     n_copied = copied.count()
-    rest = broadcast_if_small(copied.where("id <> class").select("id"), n_copied, 24)
+    rest = broadcast_if_small(copied.where("id <> class").select("id"), n_copied, 48)
     leaders = rows.join(rest, "id", "left_anti")
-    spread = leaders.select("id", F.explode("marks").alias("mark"))
-    a, b = spread.select("mark", F.col("id").alias("class_a")), spread.select("mark", F.col("id").alias("class_b"))
-    pairs = a.join(b, "mark").where("class_a < class_b").select("class_a", "class_b").distinct()
+    pairs = _bucket_pairs(leaders, bucket, sized)
     n_rows = rows.count()
     brief = rows.select("id", "n", "digest_1", "digest_2").dropDuplicates(["id"])
     for side in "ab":
-        pairs = pairs.join(broadcast_if_small(brief.select([F.col(c).alias(f"{'class' if c == 'id' else c}_{side}") for c in brief.columns]), n_rows, 64), f"class_{side}")
+        pairs = pairs.join(broadcast_if_small(brief.select([F.col(c).alias(f"{'class' if c == 'id' else c}_{side}") for c in brief.columns]), n_rows, 128), f"class_{side}")
     match = limit + (1 - limit) / 4
     floor = DIGEST * match - DEVIATIONS * (DIGEST * match * (1 - match)) ** 0.5
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(limit)
@@ -180,14 +205,14 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str = "words",
     likely = materialise(likely, "likely")
     n_likely = likely.count()
     involved = likely.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct()
-    sets = asked.join(broadcast_if_small(involved, 2 * n_likely, 24), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(kind, size), f"id {of}, elements array<bigint>")
+    sets = asked.join(broadcast_if_small(involved, 2 * n_likely, 48), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(kind, size), f"id {of}, elements array<bigint>")
     sets = materialise(sets, "sets")
     judged = likely.join(sets.select(F.col("id").alias("class_a"), F.col("elements").alias("elements_a")), "class_a").join(sets.select(F.col("id").alias("class_b"), F.col("elements").alias("elements_b")), "class_b")
     shared = F.size(F.array_intersect("elements_a", "elements_b"))
     links = judged.select("class_a", "class_b", "n_a", "n_b", shared.alias("shared")).select("class_a", "class_b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= limit)
     links = materialise(links, "similar")
     drop_materialised(sets)
-    members = rows.select("id").distinct().join(broadcast_if_small(copied, n_copied, 32), "id", "left").select("id", F.coalesce("class", "id").alias("class"))
+    members = rows.select("id").distinct().join(broadcast_if_small(copied, n_copied, 64), "id", "left").select("id", F.coalesce("class", "id").alias("class"))
     return members, links
 
 
