@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.grid import nonblank_table, slices, tokenise
+from docquarry.llm.grid import codes, nonblank_table, slices, tokenise
 
 #: Words of a block on either side of a boundary, and the shortest word that counts for cohesion.
 BLOCK = 40
@@ -19,6 +19,7 @@ _BLANKS = re.compile(r"[ \t\r\n]+")
 _WORD = re.compile(r"[^ \t\r\n]+")
 # Ends of sentences, and what may close after them.
 _ENDERS, _CLOSERS = ".!?…。！？؟", "\"'”’»)]}"
+_ENDER_CODES, _CLOSER_CODES = codes(_ENDERS), codes(_CLOSERS)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,42 +63,48 @@ def valley_depth(similar: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     s = similar[gaps]
     depth = np.zeros(gaps.size)
     for values, out in ((s, depth), (s[::-1], depth[::-1])):
-        peak = np.empty_like(values)
-        for k in range(values.size):
-            peak[k] = values[k] if k == 0 or values[k - 1] < values[k] else peak[k - 1]
-        out += peak - values
+        # the peak is where values stop to rise on the way back
+        starts = np.arange(values.size)
+        starts[1:][values[:-1] >= values[1:]] = 0
+        out += values[np.maximum.accumulate(starts)] - values
     return depth
 
 
-def cuts(n_words: int, gaps: np.ndarray, depth: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
+def cuts(n_words: int, tiers: Sequence[tuple[np.ndarray, np.ndarray]], limit: int, overlap: int) -> list[tuple[int, int]]:
     """Pieces (first word, end) of at most limit words that each open with the last overlap words before.
 
-    The cut is the deepest valley in the second half of the window, else the last boundary in the
-    window, else the window's end.
+    tiers has boundaries with their depths, the better ones first: the cut is the deepest valley of the
+    first tier in the second half of the window, else its last boundary in the window, else the same of
+    the next tier, else the window's end.
     """
     out, start, fresh = [], 0, 0
     while n_words - start > limit:
-        low, high = np.searchsorted(gaps, (fresh + 1, start + limit + 1))
-        middle = np.searchsorted(gaps, fresh + max(1, (start + limit - fresh) // 2))
-        if middle < high:
-            k = middle + int(np.argmax(depth[middle:high]))
-            end = int(gaps[k])
-        else:
-            end = int(gaps[high - 1]) if low < high else start + limit
+        end = start + limit
+        for gaps, depth in tiers:
+            low, middle, high = np.searchsorted(gaps, (fresh + 1, fresh + max(1, (start + limit - fresh) // 2), start + limit + 1))
+            if low < high:
+                end = int(gaps[middle + int(np.argmax(depth[middle:high]))] if middle < high else gaps[high - 1])
+                break
         out.append((start, end))
         fresh, start = end, max(0, end - overlap)
     out.append((start, n_words))
     return out
 
 
-def boundaries(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Words before which a paragraph or sentence begins."""
-    found = []
-    for k in range(1, starts.size):
-        gap = text[ends[k - 1] : starts[k]]
-        if gap.count("\n") > 1 or text[int(ends[k - 1]) - 1] in _ENDERS or (text[int(ends[k - 1]) - 1] in _CLOSERS and text[starts[k - 1] : ends[k - 1]].rstrip(_CLOSERS)[-1:] in _ENDERS) or "\n" in gap:
-            found.append(k)
-    return np.array(found, dtype=np.int64)
+def boundaries(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words before which a sentence or, after a blank line, a paragraph begins; and those before which any line does, too."""
+    c = codes(text)
+    lines = np.concatenate(([0], np.cumsum(c == 10)))
+    between = lines[starts[1:]] - lines[ends[:-1]]
+    last = ends[:-1] - 1
+    # what may close after the end of a sentence
+    for _ in range(int((ends - starts).max(initial=0))):
+        closing = np.isin(c[last], _CLOSER_CODES) & (last > starts[:-1])
+        if not closing.any():
+            break
+        last = last - closing
+    strong = (between > 1) | np.isin(c[last], _ENDER_CODES)
+    return np.flatnonzero(strong) + 1, np.flatnonzero(strong | (between > 0)) + 1
 
 
 def bad_pieces(text: str | None, chunks: list[dict] | None, limit: int, overlap: int) -> list[int]:
@@ -127,8 +134,8 @@ def fit_pieces(text: str | None, chunks: list[dict] | None, limit: int, overlap:
     """Whether stored pieces that break no rule of bad_pieces may stay.
 
     Chained with their overlaps they must be the text's words from first to last, each piece with
-    new ones; and none may end off a paragraph or sentence end while one lies in reach.
-    In reach are, as for cuts, the ends after the piece before and at most limit words from the
+    new ones; and none may end off a paragraph or sentence end while one lies in reach, or off a line's
+    end while there is only that. In reach are, as for cuts, the ends after the piece before and at most limit words from the
     piece's first word. The text's own end is always one.
     """
     spans = [m.span() for m in _WORD.finditer(text or "")]
@@ -147,9 +154,16 @@ def fit_pieces(text: str | None, chunks: list[dict] | None, limit: int, overlap:
         return False
     if not inner:
         return True
-    gaps = boundaries(text, *np.array(spans, dtype=np.int64).T)
-    at = set(gaps.tolist())
-    return all(end in at or not np.any((gaps > fresh) & (gaps <= start + limit)) for fresh, start, end in inner)
+    tiers = boundaries(text, *np.array(spans, dtype=np.int64).T)
+
+    def natural(fresh: int, start: int, end: int) -> bool:
+        for gaps in tiers:
+            low, high = np.searchsorted(gaps, (fresh + 1, start + limit + 1))
+            if low < high:
+                return end in gaps[low:high]
+        return True
+
+    return all(natural(*piece) for piece in inner)
 
 
 def split_batch(texts: list[str | None], limit: int, overlap: int) -> list[list[tuple[int, int]]]:
@@ -172,8 +186,8 @@ def split_batch(texts: list[str | None], limit: int, overlap: int) -> list[list[
             elif not long[k]:
                 out.append([(int(starts[a]), int(ends[b - 1]))])
             else:
-                gaps = boundaries(text, starts[a:b], ends[a:b])
-                pieces = cuts(int(b - a), gaps, valley_depth(similar[a:b], gaps), limit, overlap)
+                tiers = [(gaps, valley_depth(similar[a:b], gaps)) for gaps in boundaries(text, starts[a:b], ends[a:b])]
+                pieces = cuts(int(b - a), tiers, limit, overlap)
                 out.append([(int(starts[a + x]), int(ends[a + y - 1])) for x, y in pieces])
     return out
 
@@ -204,7 +218,7 @@ def recut(df: DataFrame, row_id: str, text: str, chunks: str | None = None, limi
     good, cover every word, and none ends off a paragraph or sentence end with one in reach (fit_pieces). A null, empty or blank text gives no pieces. A text within the limit is one piece. A longer
     one is cut where word counts of the blocks around a paragraph or sentence end are least alike
     (the deepest valley in reach), each piece opening with the last overlap words before; where no
-    such end lies in reach, at the limit. Whole texts are read, in one pass, without a shuffle; rows
+    such end lies in reach, at a line's end, and without one at the limit. Whole texts are read, in one pass, without a shuffle; rows
     are independent, so repeated rows are cut alike; other columns aren't read.
     """
     return _asked(df, row_id, text, chunks, limit, overlap).mapInArrow(_recut(limit, overlap), f"row_id {_type(df, row_id)}, bad array<int>, pieces array<struct<start:int,end:int>>")
