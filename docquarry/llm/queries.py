@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm import checked
 from docquarry.llm.cohesion import piece_rows, recut
 from docquarry.llm.confusables import lookalike_pairs, one_form
 from docquarry.llm.mixing import mix_sources
@@ -108,7 +109,7 @@ def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", one_form(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p4_found, p4_groups, p5_found, p5_nearest, p6_packing, p6_fill, p7_uses, p7_shares, p8_found, p8_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_splits, p4_found, p4_groups, p5_found, p5_nearest, p6_packing, p6_fill, p7_uses, p7_shares, p8_found, p8_text)} | checked.QUERIES
 
 _P1 = """
 WITH p AS (
@@ -134,4 +135,4 @@ SELECT d.doc_id, CAST(m.topic_id AS BIGINT) AS topic_id FROM documents d
 JOIN t ON t.k = regexp_replace(lower(d.topic_key), '[\\s\\p{Z}\\p{P}\\p{S}]+', '', 'g') JOIN m ON m.k = t.k
 """
 
-SQL = {"p1_found": _P1, "p2_found": _P2}
+SQL = {"p1_found": _P1, "p2_found": _P2, "p2_checked": f"SELECT topic_id, count(*) AS documents, CAST(1 AS BIGINT) AS splits FROM ({_P2}) GROUP BY topic_id"} | checked.SQL

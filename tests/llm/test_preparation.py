@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import cohesion, queries
+from docquarry.llm import checked, cohesion, queries
 from docquarry.llm.confusables import lookalike_pairs, one_form, single_mapping, transducer
 from docquarry.llm.grid import alnum_table, slices, tokenise
 from docquarry.llm.mixing import allot, mix_sources, pivotal, source_name
@@ -100,6 +100,18 @@ def test_cut_falls_where_the_topic_changes():
     assert len(text[: ranges[0][1]].split()) == 100
 
 
+def test_lines_end_pieces_only_without_better_ends():
+    w = [f"t{i}" for i in range(400)]
+    lines = "\n".join(" ".join(w[i : i + 20]) for i in range(0, 400, 20))
+    (ranges,) = cohesion.split_batch([lines], 180, 40)
+    assert all(lines[b : b + 1] in ("\n", "") for _, b in ranges)
+    mixed = lines.replace("t124 ", "t124. ").replace("t255 ", 't255.") ')
+    (ranges,) = cohesion.split_batch([mixed], 180, 40)
+    assert [mixed[:b].split()[-1] for _, b in ranges[:2]] == ["t124.", 't255.")']
+    (gaps, every) = cohesion.boundaries("a b. c\n\nd (e!)\nf g", *np.array([(0, 1), (2, 4), (5, 6), (8, 9), (10, 14), (15, 16), (17, 18)]).T)
+    assert gaps.tolist() == [2, 3, 5] and every.tolist() == [2, 3, 5]
+
+
 def test_text_without_boundaries_is_cut_at_the_limit():
     (ranges,) = cohesion.split_batch(["x " * 400], 180, 40)
     assert [len(("x " * 400)[a:b].split()) for a, b in ranges] == [180, 180, 120]
@@ -228,6 +240,8 @@ def test_near_duplicates_agree_with_brute_force(spark, kind, size, limit, coveri
     members, links = near_duplicates(df, "id", "text", kind, size, limit, covering)
     want = brute(texts, kind, size, limit)
     assert {tuple(r) for r in duplicate_pairs(members, links).collect()} == want
+    # buckets cut into pairs of blocks give the same
+    assert {tuple(r) for r in duplicate_pairs(*near_duplicates(df, "id", "text", kind, size, limit, covering, bucket=2, sized=1.0)).collect()} == want
     groups = {r["id"]: r["group"] for r in duplicate_groups(members, links).collect()}
     assert all(groups[a] == groups[b] for a, b in want)
     assert len(groups) == len([1 for _, t in texts if brute([(1, t), (2, t)], kind, size, limit)])
@@ -365,6 +379,26 @@ def test_pivotal_keeps_the_weighted_sum_and_each_chance():
     assert np.abs(total / 4000 - chance).max() < 0.03
 
 
+def test_mixing_in_a_tree_of_several_levels(spark, monkeypatch):
+    from docquarry.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    rows = [(i, ("web", "books")[i % 2], prose(rng.randrange(5, 60))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, source string, text string")
+    targets = spark.createDataFrame([("web", 0.3, 2), ("books", 0.7, 3)], "s string, w double, r int")
+    # 75 buckets a source, combined by four
+    uses = mixing.mix_sources(df, "id", "source", "text", targets, "s", "w", "r")[0].collect()
+    assert sorted(r["row_id"] for r in uses) == list(range(1200))
+    held, used, largest = Counter(), Counter(), Counter()
+    for r in uses:
+        held[r["source"]] += r["n"]
+        used[r["source"]] += r["n"] * r["copies"]
+        largest[r["source"]] = max(largest[r["source"]], r["n"])
+    want = allot(held, {"web": 0.3, "books": 0.7}, {"web": 2, "books": 3})
+    assert all(abs(used[s] - want[s]) <= largest[s] for s in held)
+
+
 def test_mixing_cases(spark):
     rows = [(i, rng.choice(["Web", " web ", "books", "mail_box"]), prose(rng.randrange(5, 60))) for i in range(900)] + [(2000, None, "x"), (2001, "web", None), (2002, "other", "y z"), (2003, "books", "same"), (2003, "books", "same")]
     df = spark.createDataFrame(rows, "id int, source string, text string").withColumn("copies", F.lit(7)).withColumn("n", F.lit(1))
@@ -446,12 +480,27 @@ def test_lookalike_pairs_cases(spark):
 # whole queries
 
 
-def test_every_query_runs(spark, small):
-    from docquarry.llm.queries import QUERIES
+def test_whole_results(spark, small):
+    rows = {n: queries.QUERIES[n](spark, small).collect() for n in ("p1_pieces", "p2_splits", "p5_nearest", "p6_packing", "p6_fill", "p7_uses", "p7_shares", "p8_text")}
+    n = spark.read.parquet(f"{small}/documents.parquet").count()
+    assert len({r["kd_id"] for r in rows["p1_pieces"]}) > 0.8 * spark.read.parquet(f"{small}/knowledge_documents.parquet").count()
+    assert len(rows["p2_splits"]) == len(rows["p7_uses"]) == len(rows["p8_text"]) == n
+    assert {r["split"] for r in rows["p2_splits"]} == {"train", "validation", "test"}
+    assert max(Counter(r["point_id"] for r in rows["p5_nearest"]).values()) == 5
+    assert len({(r["spec_id"], r["doc_id"]) for r in rows["p6_packing"]}) == 3 * n
+    assert all(0.8 < r["fill"] <= 1 for r in rows["p6_fill"])
+    assert sum(r["actual_share"] for r in rows["p7_shares"]) == pytest.approx(1)
+
 
-    for name, run in QUERIES.items():
-        df = run(spark, small)
-        assert df.columns and df.count() >= 0, name
+def test_a_check_sees_bad_pieces(spark):
+    w = [f"t{i}" + ("." if i in (100, 150) else "") for i in range(300)]
+    texts = spark.createDataFrame([(i, " ".join(w)) for i in range(4)], "id int, text string")
+    cut = lambda i, *ranges: [(i, k, " ".join(w[a:b])) for k, (a, b) in enumerate(ranges)]
+    pieces = cut(0, (0, 151), (111, 290), (250, 300)) + cut(1, (0, 180), (140, 300)) + cut(2, (0, 151), (110, 300)) + cut(3, (0, 101), (61, 299))
+    df = spark.createDataFrame(pieces, "row_id int, position int, text string")
+    got = {r["row_id"]: r for r in checked.pieces_checked(df, texts, "id", "text").collect()}
+    assert [(got[i]["n_long"], got[i]["n_unopened"], got[i]["n_unnatural"]) for i in range(4)] == [(0, 0, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1)]
+    assert got[0]["digest"] == got[1]["digest"] != got[3]["digest"] and got[3]["n_words"] == 299
 
 
 def test_sql_agrees(spark, small):
@@ -460,7 +509,7 @@ def test_sql_agrees(spark, small):
     from docquarry.llm.queries import QUERIES, SQL
 
     con = duckdb.connect()
-    for t in ("documents", "topics", "knowledge_documents"):
+    for t in ("documents", "topics", "knowledge_documents", "chunk_vectors", "container_specs", "mix_targets"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     for name, sql in SQL.items():
         got = con.execute(sql)
