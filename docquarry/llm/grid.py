@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters handled in one numpy pass: bounds a worker's memory whatever the batch holds. Longer texts are one pass of their own.
 SLICE_CHARS = 1 << 19
@@ -61,6 +63,19 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tu
         yield start, len(texts)
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of consecutive rows of at most limit bytes, or of one longer text: only they are Python strings at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > limit:
+            yield start, column.slice(start, i - start).to_pylist()
+            start, total = i, 0
+        total += n
+    if start < len(column):
+        yield start, column.slice(start).to_pylist()
+
+
 def tokenise(texts: Sequence[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of characters of the table: their text's index, start, end (in that text) and 64-bit hash of their characters."""
     plain = [t or "" for t in texts]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.grid import alnum_table, codes, distinct, mix, slices, tokenise
+from docquarry.llm.grid import alnum_table, codes, distinct, mix, text_slices, tokenise
 from docquarry.operators.components import connected_components
 from docquarry.session import broadcast_if_small, drop_materialised, materialise
 
@@ -102,9 +102,8 @@ def _sketches(kind: str, size: int, covering: Covering) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for low, high in slices(texts):
-                at, h = SHINGLES[kind](texts[low:high], size)
+            for low, texts in text_slices(batch.column("text")):
+                at, h = SHINGLES[kind](texts, size)
                 if not at.size:
                     continue
                 rows, first, counts = np.unique(at, return_index=True, return_counts=True)
@@ -115,7 +114,7 @@ def _sketches(kind: str, size: int, covering: Covering) -> Callable:
                 digest = [np.bitwise_or.reduce(half << shift, axis=0).view(np.int64) for half in (bits[: DIGEST // 2], bits[DIGEST // 2 :])]
                 marks = covering.signatures(sketch).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(rows.size + 1, dtype=np.int32) * marks.shape[1], pa.array(marks.ravel()))
-                columns = [batch.column("id").slice(low, high - low).take(pa.array(rows)), pa.array(counts.astype(np.int32)), *map(pa.array, prints), *map(pa.array, digest), lists]
+                columns = [batch.column("id").slice(low, len(texts)).take(pa.array(rows)), pa.array(counts.astype(np.int32)), *map(pa.array, prints), *map(pa.array, digest), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print_1", "print_2", "digest_1", "digest_2", "marks"])
 
     return run
@@ -124,12 +123,11 @@ def _sketches(kind: str, size: int, covering: Covering) -> Callable:
 def _sets(kind: str, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for low, high in slices(texts):
-                at, h = SHINGLES[kind](texts[low:high], size)
+            for low, texts in text_slices(batch.column("text")):
+                at, h = SHINGLES[kind](texts, size)
                 rows, first = np.unique(at, return_index=True)
                 lists = pa.ListArray.from_arrays(np.append(first, h.size).astype(np.int32), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low).take(pa.array(rows)), lists], names=["id", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, len(texts)).take(pa.array(rows)), lists], names=["id", "elements"])
 
     return run
 
