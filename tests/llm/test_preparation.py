@@ -514,4 +514,4 @@ def test_sql_agrees(spark, small):
     for name, sql in SQL.items():
         got = con.execute(sql)
         names = [c[0] for c in got.description]
-        assert sorted(map(tuple, QUERIES[name](spark, small).select(*names).collect())) == sorted(got.fetchall()), name
+        assert sorted(map(repr, map(tuple, QUERIES[name](spark, small).select(*names).collect()))) == sorted(map(repr, got.fetchall())), name
