@@ -68,11 +68,6 @@ def damerau_distance(a: Column, b: Column) -> Column:
     return _damerau(a, b)
 
 
-def osa_within(a: Column, b: Column, k: Column) -> tuple[Column, Column]:
-    """(cheap, exact) predicates for an alignment distance of at most k: a built-in bound first, as Levenshtein is at most twice as large."""
-    return (F.abs(F.length(a) - F.length(b)) <= k) & (F.levenshtein(a, b) <= 2 * k), osa_distance(a, b) <= k
-
-
 ALIGNMENT = T.StructType([T.StructField(n, T.StringType() if len(n) == 1 else T.IntegerType()) for n in ("a", "b", "score", "start_a", "end_a", "start_b", "end_b", "matches", "length")])
 
 

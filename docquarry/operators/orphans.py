@@ -65,5 +65,6 @@ def orphan_references(refs: DataFrame, ref_key: str, ref_time: str, row_id: str,
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Number of orphan references per table, month of the reference and reason; a null month stands for references without a time."""
-    return orphans.groupBy("ref_table", F.date_format(F.date_trunc("month", "at"), "yyyy-MM").alias("month"), "reason").agg(F.count(F.lit(1)).alias("n_orphans"))
+    """Number of orphan references per table, month of the reference in UTC and reason; a null month stands for references without a time."""
+    utc = F.to_utc_timestamp("at", F.current_timezone())
+    return orphans.groupBy("ref_table", F.date_format(utc, "yyyy-MM").alias("month"), "reason").agg(F.count(F.lit(1)).alias("n_orphans"))

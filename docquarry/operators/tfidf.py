@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import STOPWORDS, let, tokens
 from docquarry.operators.evaluation import weight_of
-from docquarry.session import materialise
+from docquarry.session import broadcast_if_small, materialise
 
 
 def grams(text: Column, longest: int = 2) -> Column:
@@ -23,9 +23,20 @@ def grams(text: Column, longest: int = 2) -> Column:
     return let(F.filter(tokens(text), lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS)), runs)
 
 
+def _counted(own: Column) -> Column:
+    """Distinct values of an array with how often each stands there: sorted, then cut where the value changes."""
+
+    def runs(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (i == 1) | (F.get(x, i - 1) != F.get(x, i - 2)))
+        after = lambda at: F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(x) + 1))
+        return let(starts, lambda at: F.zip_with(at, after(at), lambda i, j: F.struct(F.get(x, i - 1).alias("term"), (j - i).cast("long").alias("tf"))))
+
+    return let(F.array_sort(own), lambda x: F.when(F.size(x) > 0, runs(x)))
+
+
 def counted_terms(docs: DataFrame, doc: str, text: str, longest: int = 2) -> DataFrame:
-    """(doc, term, tf)."""
-    return docs.select(F.col(doc), F.explode(grams(F.col(text), longest)).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, term, tf) of documents that stand in one row each: counted within the row, nothing is shuffled."""
+    return docs.select(F.col(doc), F.explode(_counted(grams(F.col(text), longest))).alias("c")).select(doc, "c.term", "c.tf")
 
 
 def idf(counted: DataFrame, doc: str, n_docs: DataFrame, least_df: int = 2) -> DataFrame:
@@ -45,13 +56,18 @@ def tfidf_run(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id",
     """(query, doc, score, rank): the k best documents of each query, scores above 0.
 
     Terms are counted once and written: document frequencies, lengths and postings all read that table.
-    Only the postings of the queries' terms are multiplied.
+    Weights are broadcast when their counted number allows it, so that lengths need no shuffle of the
+    postings; only postings of terms that a query asks for are kept for scoring.
     """
     counted = materialise(counted_terms(docs, doc, text, longest), "counted")
-    weights = idf(counted, doc, docs.agg(F.count(F.lit(1)).alias("n")), least_df)
-    asked = weighted(counted_terms(queries, query, query_text, longest), query, weights).withColumnRenamed("w", "q")
-    held = weighted(counted, doc, weights)
-    scores = held.join(asked, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("w") * F.col("q")), 9).alias("score")).where("score > 0")
+    weights = materialise(idf(counted, doc, docs.agg(F.count(F.lit(1)).alias("n")), least_df), "weights")
+    weights = broadcast_if_small(weights, weights.count(), 96)
+    asked = materialise(weighted(counted_terms(queries, query, query_text, longest), query, weights).withColumnRenamed("w", "q"), "asked")
+    n_asked = asked.count()
+    raw = counted.join(weights, "term").select(doc, "term", (weight_of(F.col("tf")) * F.col("idf")).alias("w"))
+    lengths = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    met = raw.join(broadcast_if_small(asked, n_asked, 128), "term").groupBy(query, doc).agg(F.sum(F.col("w") * F.col("q")).alias("s"))
+    scores = met.join(lengths, doc).select(query, doc, F.round(F.col("s") / F.col("length"), 9).alias("score")).where("score > 0")
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.col(doc).cast("string"))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

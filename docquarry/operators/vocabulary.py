@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.lexical import edits_allowed, prefix_credit, query_terms, typo_credit
-from docquarry.functions.text import tokens
-from docquarry.operators.edits import osa_distance, osa_within
+from docquarry.functions.text import let, tokens
+from docquarry.operators.edits import osa_distance
+from docquarry.session import broadcast_if_small, materialise
 
 MIN_LENGTH = 4
 
@@ -20,26 +21,34 @@ def vocabulary(documents: DataFrame, *columns: str, least: int = MIN_LENGTH) ->
     return documents.select(F.explode(own).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-#: Terms compared with the vocabulary at once; more of them take several passes.
-TERMS_PER_PASS = 100_000
+def deletions(word: Column, most: Column | int) -> Column:
+    """The word and what is left of it after up to two deletions, at most most of them."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))))
+
+    def grown(one: Column) -> Column:
+        two = F.when(F.lit(most) >= 2, F.array_distinct(F.flatten(F.transform(one, less)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.array(word), one, two))
+
+    return let(F.array_distinct(less(word)), grown)
 
 
 def fuzzy_matches(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """(term, word, distance, credit): words within the edits a term allows, exactly.
+    """(term, word, n_docs, distance, credit): words within the edits a term allows, exactly.
 
-    terms is the asking side. Each pass broadcasts at most TERMS_PER_PASS of them, counted first; a
-    built-in distance bound goes before the alignment distance.
+    terms is the asking side. Each edit, a swap too, is undone by a deletion on either side: a term and a
+    word within k edits share what is left of each after at most k deletions. So they meet in an
+    equi-join on that, and the alignment distance is worked out once for each pair that met.
     """
-    t = terms.select(F.col("term"), edits_allowed(F.length("term")).alias("allowed")).where("allowed > 0")
-    passes = max(1, -(-t.count() // TERMS_PER_PASS))
-    cheap, exact = osa_within(F.col("term"), F.col("word"), F.col("allowed"))
-    out = None
-    for i in range(passes):
-        block = t if passes == 1 else t.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i)
-        near = words.join(F.broadcast(block), cheap).where(exact)
-        out = near if out is None else out.unionByName(near)
-    out = out.withColumn("distance", osa_distance(F.col("term"), F.col("word")))
-    return out.withColumn("credit", typo_credit(F.col("distance"), F.col("term"), F.col("word"))).drop("allowed")
+    t = terms.select(F.col("term"), edits_allowed(F.length("term")).alias("allowed")).where("allowed > 0").distinct()
+    left = t.select("term", "allowed", F.explode(deletions(F.col("term"), F.col("allowed"))).alias("rest"))
+    n = t.count()
+    # a small vocabulary would be worked off by one task, as its bytes say nothing of its deletions
+    words = materialise(words.select("word", "n_docs"), "words")
+    wide = words.repartition(max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "word")
+    right = wide.select("word", "n_docs", F.explode(deletions(F.col("word"), 2)).alias("rest"))
+    met = right.join(broadcast_if_small(left, n * 80, 96), "rest").where(F.abs(F.length("term") - F.length("word")) <= F.col("allowed"))
+    met = met.select("term", "word", "n_docs", "allowed").distinct().withColumn("distance", osa_distance(F.col("term"), F.col("word"))).where("distance <= allowed")
+    return met.withColumn("credit", typo_credit(F.col("distance"), F.col("term"), F.col("word"))).drop("allowed")
 
 
 def prefix_matches(terms: DataFrame, words: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def g27_reservoir_per_type(spark: SparkSession, sf: str) -> DataFrame:
 def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = text_table(spark, sf, "documents").where("text is not null").select("doc_id", "topic_key", "text")
     q = table(spark, sf, "topics").select(F.col("topic_id").alias("query_id"), F.regexp_replace(F.concat_ws(" ", "title", F.array_join("keywords", " ")), r"\{year\}", "").alias("query"), "topic_key")
-    rels = d.join(F.broadcast(q.select("query_id", "topic_key")), "topic_key").select("query_id", "doc_id")
+    rels = d.join(q.select("query_id", "topic_key"), "topic_key").select("query_id", "doc_id")
     return d.select("doc_id", "text"), q.select("query_id", "query"), rels
 
 
@@ -185,6 +185,7 @@ h AS (SELECT r.query_id, min(rank) AS best, count(*) FILTER (rank <= 5) AS h5, c
 
 
 def _word_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    # words are looked for inside titles: the asking side is broadcast, of a table of fixed length
     q = table(spark, sf, "topics").select(F.col("topic_id").alias("query_id"), F.explode("keywords").alias("w"))
     d = table(spark, sf, "documents").where("title is not null").select("doc_id", F.lower("title").alias("t"), "topic_key")
     s = d.join(F.broadcast(q.distinct()), F.col("t").contains(F.col("w"))).groupBy("query_id", "doc_id").agg(F.count_distinct("w").alias("score"))
@@ -194,7 +195,7 @@ def _word_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def d_rels(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "topics").select(F.col("topic_id").alias("query_id"), "topic_key")
-    return table(spark, sf, "documents").select("doc_id", "topic_key").join(F.broadcast(t), "topic_key").select("query_id", "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "topic_key").join(t, "topic_key").select("query_id", "doc_id")
 
 
 @query(f"WITH {_WORD_RUN} SELECT n.query_id, round(coalesce(1 / best, 0), 6) AS rr, round(coalesce(h5 / n.n, 0), 6) AS recall_5, round(coalesce(dcg / list_sum(list_transform(range(1, least(n.n, 5) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg_5 FROM n LEFT JOIN h USING (query_id)")

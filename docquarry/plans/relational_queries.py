@@ -98,7 +98,7 @@ def j07_access_list(spark: SparkSession, sf: str) -> DataFrame:
 def j08_history_of_first_user(spark: SparkSession, sf: str) -> DataFrame:
     u = table(spark, sf, "users")
     first = u.agg(F.min("username").alias("username"))
-    return table(spark, sf, "events").join(F.broadcast(u.join(first, "username").select(F.col("id").cast("long").alias("user_id"))), "user_id", "left_semi").select("event_id", "event_type")
+    return table(spark, sf, "events").join(u.join(first, "username").select(F.col("id").cast("long").alias("user_id")), "user_id", "left_semi").select("event_id", "event_type")
 
 
 @query("SELECT CAST(user_id AS BIGINT) AS user_id, count(*) AS n FROM (SELECT owner_id AS user_id, doc_id FROM documents WHERE owner_id IS NOT NULL UNION SELECT p.user_id, p.document_id FROM document_permissions p JOIN documents d ON d.doc_id = p.document_id WHERE upper(p.permission_type) = 'READ') GROUP BY user_id")
@@ -116,7 +116,7 @@ def j10_readable_page(spark: SparkSession, sf: str) -> DataFrame:
     page = d.select("doc_id", "title", "category_id", "updated_at").orderBy(F.desc_nulls_last("updated_at"), F.desc("doc_id")).limit(20)
     # names are looked up for the page only
     c = table(spark, sf, "categories").select(F.col("id").alias("category_id"), F.col("name").alias("category"))
-    return page.join(F.broadcast(c), "category_id", "left").select("doc_id", "title", "category")
+    return page.join(c, "category_id", "left").select("doc_id", "title", "category")
 
 
 @query(f"SELECT count(*) AS total FROM documents d WHERE {_READABLE} AND d.status = '{STATUS}'")
@@ -175,7 +175,7 @@ def j18_points_in_both_stores(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p.id, d.title, u.username AS owner FROM document_permissions p JOIN documents d ON d.doc_id = p.document_id LEFT JOIN users u ON u.id = d.owner_id")
 def j20_grants_with_document_and_owner(spark: SparkSession, sf: str) -> DataFrame:
     u = table(spark, sf, "users").select(F.col("id").alias("owner_id"), F.col("username").alias("owner"))
-    d = table(spark, sf, "documents").select("doc_id", "title", "owner_id").join(F.broadcast(u), "owner_id", "left")
+    d = table(spark, sf, "documents").select("doc_id", "title", "owner_id").join(u, "owner_id", "left")
     return table(spark, sf, "document_permissions").select("id", F.col("document_id").cast("long").alias("doc_id")).join(d, "doc_id").select("id", "title", "owner")
 
 
@@ -399,7 +399,7 @@ def c03_vectors_without_document(spark: SparkSession, sf: str) -> DataFrame:
 def c04_owner_set_null(spark: SparkSession, sf: str) -> DataFrame:
     u = table(spark, sf, "users").where("is_active").select(F.col("id").alias("kept"))
     d = table(spark, sf, "documents").select("doc_id", "owner_id")
-    return d.join(F.broadcast(u), d.owner_id == u.kept, "left").select("doc_id", "owner_id", "kept")
+    return d.join(u, d.owner_id == u.kept, "left").select("doc_id", "owner_id", "kept")
 
 
 @query("SELECT kd_id, r.rule FROM knowledge_documents k, LATERAL (VALUES ('title', k.title IS NULL), ('raw_text', k.content.raw_text IS NULL), ('metadata', k.metadata IS NULL), ('created_at', k.created_at IS NULL)) r(rule, bad) WHERE r.bad")

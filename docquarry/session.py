@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -30,21 +31,51 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir[app]
 
 
+_written: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning."""
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
+
+    What is still there when the program or release() ends it is deleted then: results are lazy and read it until they are used.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_materialised(df: DataFrame) -> None:
-    """Delete the files behind a materialised frame that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {os.path.dirname(f) for f in df.inputFiles()}:
-        if os.path.basename(os.path.dirname(name)) == os.path.basename(shared_dir(spark)):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files behind a frame that materialise returned and nothing reads any more."""
+    path = df._written_to
+    _delete(df.sparkSession, path)
+    _written[df.sparkSession.sparkContext.applicationId].remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every intermediate that this application has written: for use when its results have been written or collected."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext.applicationId in _written:
+            release(spark)
+    except Exception:  # noqa: BLE001 - the JVM may be gone
+        pass
+
+
+atexit.register(_release_at_exit)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -12,11 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: A scan of at most so many bytes is spread over idle cores.
+SPREAD_BYTES = 256 << 20
+
+
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose texts are worked on: a scan of fewer partitions than there are cores is spread over them.
+    """A table whose texts are worked on: a small scan of fewer partitions than there are cores is spread over them.
 
-    At scale a scan has many more partitions than cores, and nothing is shuffled.
+    Only a table of at most SPREAD_BYTES of files is shuffled, however many cores there are.
     """
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
