@@ -58,10 +58,11 @@ def paired_bootstrap(differences: DataFrame, query: str, difference: str, rounds
 
 
 def deterministic_subset(queries: DataFrame, qrels: DataFrame, docs: DataFrame, n_queries: int, n_distractors: int, seed: int, query: str = "query_id", doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Sampled queries, and all their relevant documents with sampled distractors, the same for a seed."""
-    some = queries.orderBy(F.xxhash64(F.lit(seed), query), query).limit(n_queries)
+    """Sampled queries, and all their relevant documents with sampled distractors: the least MD5 of seed and id, so that any engine draws the same."""
+    draw = lambda c: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(c).cast("string")))
+    some = queries.orderBy(draw(query), query).limit(n_queries)
     needed = qrels.join(some.select(query), query, "left_semi").select(doc).distinct()
-    others = docs.join(qrels.select(doc), doc, "left_anti").orderBy(F.xxhash64(F.lit(seed), doc), doc).limit(n_distractors)
+    others = docs.join(qrels.select(doc), doc, "left_anti").orderBy(draw(doc), doc).limit(n_distractors)
     return some, docs.join(needed, doc, "left_semi").unionByName(others)
 
 

@@ -55,7 +55,7 @@ def is_prime(c: Column) -> Column:
 
 
 class SplitMix:
-    """A 64-bit generator whose stream is given by its seed alone."""
+    """A 64-bit generator whose stream is given by its seed alone. Bounded draws reject and take the remainder; other libraries may draw otherwise from the same stream."""
 
     def __init__(self, seed: int) -> None:
         self.state = seed & MASK
@@ -111,8 +111,9 @@ def reservoir(df: DataFrame, group: str, order: str, k: int, seed: int = 0) -> D
 
 
 def seeded_vectors(df: DataFrame, key: str, dimension: int, seed: int = 0) -> Column:
-    """Uniform values in [-1, 1], given by key and place alone."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.col(key), i), F.lit(1 << 24)) / F.lit((1 << 23) * 1.0) - 1).cast("float"))
+    """Uniform values in [-1, 1) of 24 bits, given by key and place alone: from the MD5 of seed, key and place, so that any engine makes the same."""
+    name = lambda i: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")))
+    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (F.conv(F.substring(name(i), 1, 6), 16, 10).cast("long") / F.lit((1 << 23) * 1.0) - 1).cast("float"))
 
 
 def stream(seed: int, n: int) -> Iterator[int]:

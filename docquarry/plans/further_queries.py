@@ -92,7 +92,8 @@ def x06_titled_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return text_table(spark, sf, "documents").select("doc_id", F.size(X.chunks(whole)).alias("n_chunks"))
 
 
-@query("SELECT topic_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all('see [' || topic_id % 7 || ', 3] and [12]', '\\d+'), lambda x: CAST(x AS INT)))), ',') AS sources FROM topics")
+@query(r"""WITH a AS (SELECT topic_id, '- **see** 【' || topic_id % 7 || '†x】, [3] and [12]' AS a FROM topics)
+SELECT topic_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(a, '【(\d+)†[^】]*】', 1), regexp_extract_all(a, '\[(\d+)\]', 1)), lambda x: CAST(x AS INT)))), ',') AS sources FROM a""")
 def v16_citations(spark: SparkSession, sf: str) -> DataFrame:
     answer = F.concat(F.lit("- **see** 【"), (F.col("topic_id") % 7).cast("string"), F.lit("†x】, [3] and [12]"))
     return table(spark, sf, "topics").select("topic_id", F.array_join(citations(tidy_answer(answer)), ",").alias("sources"))
@@ -217,7 +218,7 @@ def m21_runs_compared(spark: SparkSession, sf: str) -> DataFrame:
     cuts = ("rr", "recall_10", "ndcg_10")
     one, two = (E.mean_metrics(E.query_metrics(r, j)) for r, j in ((run, rels), (tfidf_run(d, q, 10), judged)))
     both = one.select(F.lit(1).alias("i"), *(F.col(c).alias(f"{c}_a") for c in cuts)).join(two.select(F.lit(1).alias("i"), *(F.col(c).alias(f"{c}_b") for c in cuts)), "i")
-    rows = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"{c}_a").alias("words"), F.col(f"{c}_b").alias("tfidf"), (F.col(f"{c}_b") - F.col(f"{c}_a")).alias("gain")) for c in cuts))
+    rows = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"{c}_a").alias("words"), F.col(f"{c}_b").alias("tfidf"), F.round(F.col(f"{c}_b") - F.col(f"{c}_a"), 6).alias("gain")) for c in cuts))
     return both.select(F.explode(rows).alias("r")).select("r.*")
 
 

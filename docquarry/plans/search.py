@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.lexical import covers_enough, lexical_match, query_terms, whole_word
+from docquarry.functions.lexical import MIN_PREFIX, covers_enough, lexical_match, query_terms, whole_word
 from docquarry.functions.text import phrase_regex, term_regex
 from docquarry.functions.vectors import calibrated, combined, cosine_to
 from docquarry.operators.access import readable
+from docquarry.operators.vocabulary import correct_query
 
 MODES = ("HYBRID", "KEYWORD", "FUZZY", "SEMANTIC")
 #: Chunks that the vector leg brings in before rights are applied.
@@ -48,7 +50,7 @@ class SearchSpec:
 
 def keyword_leg(documents: DataFrame, spec: SearchSpec) -> DataFrame:
     """(doc_id, keyword_score, is_fuzzy) of the documents that cover enough of the query. One scan of title, description and text."""
-    fuzzy = spec.mode == "FUZZY"
+    fuzzy = spec.mode != "KEYWORD"
     match = lexical_match(spec.query, F.col("title"), F.col("description"), F.col("text"), fuzzy)
     # a generator keeps the gate where the match is worked out: as a filter it would be pushed below and the match done twice
     passed = F.filter(F.array(match), lambda m: covers_enough(m["score"], m["matched"], m["total"]) | ((m["total"] == 0) & (m["score"] > 0)))
@@ -82,12 +84,30 @@ def vector_leg(points: DataFrame, spec: SearchSpec) -> DataFrame:
     return best.select("doc_id", calibrated(F.col("b.cosine"), spec.server_made).alias("vector_score"), F.col("b.cosine").alias("cosine"), F.col("b.chunk_id").alias("chunk_id"))
 
 
-def search(spec: SearchSpec, documents: DataFrame, grants: DataFrame, categories: DataFrame, points: DataFrame | None = None, paged: bool = True) -> DataFrame:
+def corrected(spec: SearchSpec, words: DataFrame) -> SearchSpec:
+    """spec with words that the vocabulary (word, n_docs) doesn't hold replaced by the nearest, and the credit that leaves.
+
+    Keyword search promises exact terms and isn't corrected. A vocabulary that can't be read leaves the
+    words as typed.
+    """
+    if spec.mode == "KEYWORD" or not spec.query.strip():
+        return spec
+    try:
+        found = correct_query(spec.query, words)
+    except Exception as error:  # noqa: BLE001 - search goes on without
+        logging.getLogger(__name__).warning("no correction, searching for the words as typed: %s", error)
+        return spec
+    return spec if found is None else replace(spec, query=found[0], credit=spec.credit * found[1])
+
+
+def search(spec: SearchSpec, documents: DataFrame, grants: DataFrame, categories: DataFrame, points: DataFrame | None = None, paged: bool = True, words: DataFrame | None = None) -> DataFrame:
     """(doc_id, title, category, score, keyword_score, vector_score, matched_by, chunk_id), best first.
 
-    Legs, fusion, rights, hydration, status, floor, order: rights come before anything is counted or
-    ranked. A missing vector store leaves the keyword leg.
+    Correction where a vocabulary is given, legs, fusion, rights, hydration, status, floor, order: rights
+    come before anything is counted or ranked. A missing vector store leaves the keyword leg.
     """
+    if words is not None:
+        spec = corrected(spec, words)
     alive = documents.where("deleted_at is null") if "deleted_at" in documents.columns else documents
     named = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
     alive = alive.join(named, "category_id", "left")
@@ -120,23 +140,54 @@ def search(spec: SearchSpec, documents: DataFrame, grants: DataFrame, categories
     return scored.orderBy(F.desc("score"), "doc_id").offset(spec.page * spec.size).limit(spec.size)
 
 
-# snippets
+# snippets and passages
 
 
 def ranked_chunks(query: str, chunks, first: int = 8):
     """Chunks that hold a term, in position order, at most the first ones; then by terms found and a bonus for the phrase."""
     wanted = query_terms(query)
-    held = F.slice(F.filter(chunks, lambda c: c["text"].rlike("|".join(term_regex(t, True) for t in wanted) or "(?!)")), 1, first)
+    held = F.slice(F.filter(F.array_sort(F.transform(chunks, lambda c: F.struct(F.coalesce(c["position"], F.lit(0)).alias("position"), c["text"].alias("text")))), lambda c: c["text"].rlike("|".join(term_regex(t, True) for t in wanted) or "(?!)")), 1, first)
 
     def score(c):
         n = sum((c["text"].rlike(term_regex(t, True)).cast("int") for t in wanted), F.lit(0))
         bonus = F.when(c["text"].rlike(phrase_regex(query)), len(wanted)).otherwise(0) if len(wanted) > 1 else F.lit(0)
         return n + bonus
 
-    keyed = F.transform(held, lambda c: F.struct((-score(c)).alias("s"), F.coalesce(c["position"], F.lit(0)).alias("p"), c["text"].alias("text")))
+    keyed = F.transform(held, lambda c: F.struct((-score(c)).alias("s"), c["position"].alias("p"), c["text"].alias("text")))
     return F.transform(F.array_sort(keyed), lambda c: c["text"])
 
 
+def chunk_text(chunks, chunk_id):
+    """The text of the chunk of an id; null where there is none."""
+    return F.get(F.filter(chunks, lambda c: c["chunk_id"] == chunk_id), F.lit(0))["text"]
+
+
+#: Keyword chunks of a passage, and most characters of it.
+KEYWORD_CHUNKS, PASSAGE = 2, 2400
+
+
+def passages(hits: DataFrame, stored: DataFrame, query: str) -> DataFrame:
+    """hits with passage: the best keyword chunks and the chunk the vectors ranked best, each once; else the description; without either the hit is left out.
+
+    hits has doc_id, chunk_id and description; stored has doc_id, kd_id and chunks, of several records of
+    a document the least kd_id counts. Only the hits' records are looked at.
+    """
+    few = stored.join(hits.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("chunks", "kd_id").alias("chunks"))
+    joined = hits.join(few, "doc_id", "left")
+    parts = F.transform(F.concat(F.coalesce(F.slice(ranked_chunks(query, F.col("chunks")), 1, KEYWORD_CHUNKS), F.array().cast("array<string>")), F.array(chunk_text(F.col("chunks"), F.col("chunk_id")))), lambda t: F.trim(t))
+    text = F.array_join(F.array_distinct(F.filter(parts, lambda t: t.isNotNull() & (t != ""))), "\n…\n")
+    whole = F.coalesce(F.nullif(text, F.lit("")), F.col("description"))
+    cut = F.when(F.length(whole) > PASSAGE, F.concat(F.substring(whole, 1, PASSAGE), F.lit("…"))).otherwise(whole)
+    return joined.withColumn("passage", cut).where(F.trim("passage") != "").drop("chunks")
+
+
+def best_passages(hits: DataFrame, stored: DataFrame, query: str) -> DataFrame:
+    """hits with best: the chunk that a snippet is cut from, that of most terms, else the one the vectors ranked best."""
+    few = stored.join(hits.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("chunks", "kd_id").alias("chunks"))
+    chunk = F.coalesce(F.get(ranked_chunks(query, F.col("chunks")), F.lit(0)), chunk_text(F.col("chunks"), F.col("chunk_id")))
+    return hits.join(few, "doc_id", "left").withColumn("best", F.when(F.trim(chunk) != "", chunk)).drop("chunks")
+
+
 def merge_ranges(df: DataFrame, group: str, low: str, high: str) -> DataFrame:
     """Overlapping or touching ranges of a group as one."""
     order = Window.partitionBy(group).orderBy(low, high)
@@ -149,30 +200,28 @@ def merge_ranges(df: DataFrame, group: str, low: str, high: str) -> DataFrame:
 WINDOW, LEAD = 260, 70
 
 
-def snippet_of(text: str | None, query: str) -> tuple[str | None, list[tuple[int, int]]]:
-    """A window around the phrase or the earliest term, cut at blanks, with the ranges to mark."""
+def snippet_of(text: str | None, query: str, prefix: bool = True) -> tuple[str | None, list[tuple[int, int]]]:
+    """A window that starts at a word a little before the phrase, else the earliest term, with the ranges of the words to mark."""
     import regex
 
-    if text is None:
+    if text is None or not text.strip():
         return None, []
-    low, wanted = text.lower(), query_terms(query)
-    phrase = regex.search(r"\s+".join(map(regex.escape, query.lower().split())), low) if query.split() else None
-    spots = [m.start() for t in wanted if (m := regex.search(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(t)}", low))]
-    anchor = phrase.start() if phrase else min(spots, default=0)
+    word, wanted = r"[\p{L}\p{N}]", query_terms(query)
+    terms = [regex.compile(rf"(?i)(?<!{word}){regex.escape(t)}" + (f"{word}*" if prefix and len(t) >= MIN_PREFIX else f"(?!{word})")) for t in wanted]
+    spots = [m.start() for p in terms if (m := p.search(text))]
+    whole = regex.search(rf"(?i)(?<!{word})" + r"\s+".join(map(regex.escape, query.lower().split())) + f"(?!{word})", text) if len(wanted) > 1 else None
+    anchor = whole.start() if whole else min(spots, default=0)
     start = max(0, anchor - LEAD)
     if start:
-        cut = text.find(" ", start, anchor)
-        start = cut + 1 if cut >= 0 else start
+        blank = text.find(" ", start, anchor)
+        start = blank + 1 if blank >= 0 else anchor
     end = min(len(text), start + WINDOW)
     if end < len(text):
-        cut = text.rfind(" ", start, end)
-        end = cut if cut > anchor else end
-    shown = ("…" if start else "") + text[start:end] + ("…" if end < len(text) else "")
-    shift, ranges = (1 if start else 0) - start, []
-    for t in wanted:
-        ranges += [(m.start() + shift, m.end() + shift) for m in regex.finditer(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(t)}[\p{{L}}\p{{N}}]*", low[:end]) if m.start() >= start]
+        blank = text.rfind(" ", start, end + 1)
+        end = blank if blank > start + WINDOW // 2 else end
+    shown = ("…" if start else "") + text[start:end].strip() + ("…" if end < len(text) else "")
     merged: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
+    for a, b in sorted(m.span() for p in terms for m in p.finditer(shown)):
         if merged and a <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:

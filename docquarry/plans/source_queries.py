@@ -70,7 +70,7 @@ def s22_insert_statements(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def s24_seeded_vectors(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "topics")
-    return t.select("topic_id", seeded_vectors(t, "topic_id", 64).alias("vector"))
+    return t.select("topic_id", F.posexplode(seeded_vectors(t, "topic_id", 64)).alias("place", "value"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS day FROM events GROUP BY event_type, day")
