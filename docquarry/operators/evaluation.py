@@ -81,6 +81,26 @@ def class_report(matrix: DataFrame) -> DataFrame:
     return both.select("label", "support", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
+def with_averages(report: DataFrame) -> DataFrame:
+    """The report with two rows more: the plain mean of all classes, and the mean weighted by support."""
+    measures = ("precision", "recall", "f1")
+    total = F.sum("support").alias("support")
+    macro = report.agg(F.lit("macro average").alias("label"), total, *(F.avg(c).alias(c) for c in measures))
+    weighed = report.agg(F.lit("weighted average").alias("label"), total, *((F.sum(F.col(c) * F.col("support")) / F.nullif(F.sum("support"), F.lit(0))).alias(c) for c in measures))
+    return report.select("label", "support", *measures).unionByName(macro).unionByName(weighed)
+
+
+def stored_percentiles(df: DataFrame, value: str, **shares: float) -> DataFrame:
+    """One row: for each name the value at place floor(n * share) of the order, from 0; null values don't count."""
+    n = df.where(F.col(value).isNotNull()).count()
+    if not n:
+        return df.agg(*(F.max(value).alias(name) for name in shares))
+    # at a share that falls on a place the interpolated percentile is the value there
+    at = {name: min(int(n * share), n - 1) / max(n - 1, 1) for name, share in shares.items()}
+    kind = dict(df.dtypes)[value]
+    return df.agg(*(F.round(F.percentile(value, share), 9).cast(kind).alias(name) for name, share in at.items()))
+
+
 def reliability(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:
     """(bin, n, confidence, accuracy): equal bins, closed above, the first closed below too."""
     at = F.greatest(F.lit(1), F.ceil(F.col(confidence) * bins)) - 1

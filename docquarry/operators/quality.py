@@ -27,3 +27,16 @@ def null_violations(df: DataFrame, row_id: str, *required: str) -> DataFrame:
     """(row_id, rule) for each required column that is null."""
     rules = F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in required)))
     return df.select(row_id, F.explode(rules).alias("rule"))
+
+
+def cascaded(gone: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """What stays of each child table (frame, reference) when the parents in gone go; null references stay. In the given order: children before what they refer to."""
+    lost = gone.select(F.col(key).cast("long").alias("_gone"))
+    return {name: df.join(lost, F.col(reference).cast("long") == F.col("_gone"), "left_anti") for name, (df, reference) in children.items()}
+
+
+def edited_everywhere(store: DataFrame, reference: str, edits: DataFrame, key: str, *columns: str) -> DataFrame:
+    """store with the columns of the edits (one row a key) at the rows that refer to them; other rows, and null references, stay."""
+    new = edits.select(F.col(key).cast("long").alias("_key"), F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in columns))
+    joined = store.join(new, F.col(reference).cast("long") == F.col("_key"), "left")
+    return joined.withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).select(*store.columns)

@@ -13,7 +13,6 @@ from docquarry.operators import randomised as R
 from docquarry.operators import strings as S
 from docquarry.operators.tfidf import counted_terms, distinctive_terms, idf, tfidf_run, weighted
 from docquarry.plans import textquery
-from docquarry.plans.search import title_has
 from docquarry.sources.tables import table, text_table
 
 QUERIES: dict = {}
@@ -70,9 +69,9 @@ def g07_longest_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("topic_id", S.longest_repeated_substring(c).alias("repeat"), F.array_max(S.lcp_array(c)).alias("length"), F.array_max(S.failure_function(c)).alias("border"), F.array_join(S.z_array(F.col("topic_key")), ",").alias("z"))
 
 
-@query("SELECT 'kmp' AS name, 'string' AS category, 'O(n + m)' AS time")
+@query("SELECT * FROM (VALUES ('KMP', 'String', 'O(n+m)', 'O(m)', 'No pathological input'), ('Suffix array', 'String', 'O(n log n)', 'O(n)', 'Prefix doubling, counting sort'), ('Naive search', 'String', 'O(n*m)', 'O(1)', 'Reference implementation'), ('Z-Algorithm', 'String', 'O(n+m)', 'O(m)', 'No sentinel required'), ('Rabin-Karp', 'String', 'O(n+m) expected', 'O(1)', 'Every hash hit verified'), ('Aho-Corasick', 'String', 'O(n+z)', 'O(m)', 'Multi-pattern, one pass'), ('LCP (Kasai)', 'String', 'O(n)', 'O(n)', 'Requires the suffix array')) v(name, category, time, space, note)")
 def g30_costs(spark: SparkSession, sf: str) -> DataFrame:
-    return textquery.costs(spark, "string", "kmp")
+    return textquery.costs(spark, "String")
 
 
 # graphs: parts and their suppliers, one graph a nation
@@ -221,11 +220,21 @@ def m04_deterministic_subset(spark: SparkSession, sf: str) -> DataFrame:
     return E.deterministic_subset(q, rels, d.select("doc_id"), 20, 50, 20260912)[1]
 
 
-@query("WITH v AS (SELECT document_type AS label, CASE WHEN n_chars > 1000 THEN 'PDF' ELSE 'DOCX' END AS predicted FROM documents), c AS (SELECT label, predicted, count(*) AS n FROM v GROUP BY ALL), l AS (SELECT label, sum(n) AS s, sum(n) FILTER (label = predicted) AS h FROM c GROUP BY 1), p AS (SELECT predicted AS label, sum(n) AS g FROM c GROUP BY 1) SELECT coalesce(l.label, p.label) AS label, CAST(coalesce(s, 0) AS BIGINT) AS support, round(CASE WHEN coalesce(g, 0) > 0 THEN coalesce(h, 0) / g ELSE 0 END, 6) AS precision, round(CASE WHEN coalesce(s, 0) > 0 THEN coalesce(h, 0) / s ELSE 0 END, 6) AS recall FROM l FULL JOIN p ON p.label = l.label")
+_REPORT = "WITH v AS (SELECT document_type AS label, CASE WHEN n_chars > 1000 THEN 'PDF' ELSE 'DOCX' END AS predicted FROM documents), c AS (SELECT label, predicted, count(*) AS n FROM v GROUP BY ALL), l AS (SELECT label, sum(n) AS s, sum(n) FILTER (label = predicted) AS h FROM c GROUP BY 1), p AS (SELECT predicted AS label, sum(n) AS g FROM c GROUP BY 1), r AS (SELECT coalesce(l.label, p.label) AS label, CAST(coalesce(s, 0) AS BIGINT) AS support, CASE WHEN coalesce(g, 0) > 0 THEN coalesce(h, 0) / g ELSE 0 END AS p, CASE WHEN coalesce(s, 0) > 0 THEN coalesce(h, 0) / s ELSE 0 END AS r FROM l FULL JOIN p ON p.label = l.label), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM r)"
+
+
+@query(_REPORT + " SELECT label, support, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1 FROM f UNION ALL SELECT 'macro average', CAST(sum(support) AS BIGINT), round(avg(p), 6), round(avg(r), 6), round(avg(f), 6) FROM f UNION ALL SELECT 'weighted average', CAST(sum(support) AS BIGINT), round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6), round(sum(f * support) / sum(support), 6) FROM f")
 def a15_class_report(spark: SparkSession, sf: str) -> DataFrame:
     guess = table(spark, sf, "documents").select(F.col("document_type").alias("label"), F.when(F.col("n_chars") > 1000, "PDF").otherwise("DOCX").alias("predicted"))
-    report = E.class_report(E.confusion(guess, "label", "predicted"))
-    return report.select("label", "support", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    report = E.with_averages(E.class_report(E.confusion(guess, "label", "predicted")))
+    return report.select("label", "support", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("WITH e AS (SELECT value % 1 AS c, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END::DOUBLE AS y FROM events), b AS (SELECT greatest(1, ceil(c * 10)) AS b, count(*) AS n, avg(c) AS c, avg(y) AS y FROM e GROUP BY 1) SELECT (SELECT round(sum(n * abs(c - y)) / sum(n), 6) FROM b) AS ece, round(avg((c - y) * (c - y)), 6) AS brier, round(avg(-(y * ln(greatest(1e-15, least(1 - 1e-15, c))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, c))))), 5) AS log_loss FROM e")
+def a17_calibration_measures(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select((F.col("value") % 1).alias("c"), (F.col("event_type") == "click").alias("ok"))
+    both = E.calibration_error(E.reliability(e, "c", "ok")).crossJoin(E.brier_and_log_loss(e, "c", "ok"))  # two single rows
+    return both.select(F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"), F.round("log_loss", 5).alias("log_loss"))
 
 
 @query("SELECT CAST(greatest(1, ceil((value % 1) * 10)) - 1 AS INT) AS bin, count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END), 6) AS accuracy FROM events GROUP BY 1")
@@ -234,9 +243,10 @@ def a17_reliability_bins(spark: SparkSession, sf: str) -> DataFrame:
     return E.reliability(e, "c", "ok").select("bin", "n", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("WITH c AS (SELECT status AS a, document_type AS b, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY ALL), t AS (SELECT sum(n) AS t, sum(n * (n - 1) / 2) AS c FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS c FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS c FROM (SELECT sum(n) AS n FROM c GROUP BY b)) SELECT round((t.c - x.c * y.c / (t.t * (t.t - 1) / 2)) / ((x.c + y.c) / 2 - x.c * y.c / (t.t * (t.t - 1) / 2)), 6) AS ari FROM t, x, y")
+@query("WITH c AS (SELECT status AS a, document_type AS b, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY ALL), t AS (SELECT sum(n) AS t, sum(n * (n - 1) / 2) AS c FROM c), ra AS (SELECT sum(n) AS n FROM c GROUP BY a), rb AS (SELECT sum(n) AS n FROM c GROUP BY b), x AS (SELECT sum(n * (n - 1) / 2) AS c, (SELECT -sum(n / t * ln(n / t)) FROM ra, t) AS h FROM ra), y AS (SELECT sum(n * (n - 1) / 2) AS c, (SELECT -sum(n / t * ln(n / t)) FROM rb, t) AS h FROM rb), j AS (SELECT -sum(n / t * ln(n / t)) AS h FROM c, t) SELECT round((t.c - x.c * y.c / (t.t * (t.t - 1) / 2)) / ((x.c + y.c) / 2 - x.c * y.c / (t.t * (t.t - 1) / 2)), 6) AS ari, round((x.h + y.h - j.h) / ((x.h + y.h) / 2), 6) AS nmi, round((x.h + y.h - j.h) / x.h, 6) AS homogeneity, round((x.h + y.h - j.h) / y.h, 6) AS completeness FROM t, x, y, j")
 def m17_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    return E.cluster_agreement(table(spark, sf, "documents"), "status", "document_type").select(F.round("ari", 6).alias("ari"))
+    found = E.cluster_agreement(table(spark, sf, "documents"), "status", "document_type")
+    return found.select(*(F.round(c, 6).alias(c) for c in ("ari", "nmi", "homogeneity", "completeness")))
 
 
 # learning
@@ -298,11 +308,26 @@ def m13_agglomerative_groups(spark: SparkSession, sf: str) -> DataFrame:
     return L.agglomerate_groups(e, "label", "vec_id", "embedding", 3, "ward")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(title, '')), '(^|[^\\p{L}\\p{Nd}])memo($|[^\\p{L}\\p{Nd}])')")
-def x15_memo_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return title_has(table(spark, sf, "documents"), "memo").select("doc_id")
+@query("""WITH d AS (SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS words FROM documents)
+SELECT 'all' AS part, '' AS name, count(*) AS documents, count(DISTINCT topic_key) AS topics, round(avg(words), 6) AS mean_words, 1.0::DOUBLE AS share FROM d
+UNION ALL SELECT 'language', coalesce(lang, ''), count(*), count(DISTINCT topic_key), round(avg(words), 6), round(count(*) / (SELECT count(*) FROM d), 6) FROM d GROUP BY lang
+UNION ALL SELECT 'type', coalesce(document_type, ''), count(*), count(DISTINCT topic_key), round(avg(words), 6), round(count(*) / (SELECT count(*) FROM d), 6) FROM d GROUP BY document_type""")
+def m20_insights(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of the whole collection, of each language and of each type of document: one scan, three groupings."""
+    d = table(spark, sf, "documents").select(F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("document_type", F.lit("")).alias("type"), "topic_key", X.word_count(F.col("text")).alias("words"))
+    each = F.array(F.struct(F.lit("all").alias("part"), F.lit("").alias("name")), F.struct(F.lit("language").alias("part"), F.col("language").alias("name")), F.struct(F.lit("type").alias("part"), F.col("type").alias("name")))
+    counted = d.select(F.explode(each).alias("g"), "topic_key", "words").groupBy("g.part", "g.name").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("topic_key").alias("topics"), F.round(F.avg("words"), 6).alias("mean_words"))
+    total = d.agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("part", "name", "documents", "topics", "mean_words", F.round(F.col("documents") / total.scalar(), 6).alias("share"))
 
 
-@query("SELECT lang, round(avg(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''))), 6) AS words FROM documents GROUP BY lang")
-def m20_insights(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("lang").agg(F.round(F.avg(X.word_count(F.col("text"))), 6).alias("words"))
+@query("SELECT coalesce(p, 'all patterns') AS pattern, CAST(sum(n) AS BIGINT) AS n FROM (SELECT p, (len(text) - len(replace(text, p, ''))) / len(p) AS n FROM documents, (VALUES ('audit'), ('budget'), ('no such words')) v(p) WHERE text IS NOT NULL) GROUP BY ROLLUP (p)")
+def g32_find_all_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences of each pattern over the whole corpus, and of all of them."""
+    return textquery.totals(textquery.run('findall audit budget "no such words"', table(spark, sf, "documents"), "doc_id", "text"))
+
+
+@query("WITH n AS (SELECT count(n_chars) AS n FROM documents), s AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS i FROM documents WHERE n_chars IS NOT NULL) SELECT max(n_chars) FILTER (i = floor(n * 0.025)) AS low, max(n_chars) FILTER (i = floor(n * 0.5)) AS middle, max(n_chars) FILTER (i = floor(n * 0.975)) AS high FROM s, n")
+def a13_stored_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles that are values of the table: those at places floor(n * p) of the order."""
+    return E.stored_percentiles(table(spark, sf, "documents"), "n_chars", low=0.025, middle=0.5, high=0.975)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +16,11 @@ from docquarry.functions.vectors import cosine_to, hashed_embedding
 from docquarry.operators import evaluation as E
 from docquarry.operators import learning as L
 from docquarry.operators import strings as S
+from docquarry.operators.quality import cascaded, edited_everywhere
 from docquarry.operators.randomised import MERSENNE_31, universal_text_hash
 from docquarry.operators.tfidf import grams, tfidf_run
 from docquarry.plans.analysis_queries import CLUSTERS, _judged, _labelled, _word_run
+from docquarry.plans.relational_queries import _role_permissions, _user_roles
 from docquarry.plans.search_queries import first_vector
 from docquarry.sources.tables import table, text_table
 
@@ -52,18 +56,61 @@ def s03_projected_scan(spark: SparkSession, sf: str) -> DataFrame:
 _RECENT = "TIMESTAMPTZ '2023-06-01 00:00:00+00'"
 
 
-@query(f"""WITH g AS (SELECT p.user_id, p.document_id, p.granted_at, d.updated_at FROM document_permissions p JOIN documents d ON d.doc_id = p.document_id WHERE upper(p.permission_type) = 'READ'),
-n AS (SELECT user_id, document_id, 'SHARED' AS kind FROM g WHERE granted_at >= {_RECENT} UNION ALL
-      SELECT user_id, document_id, 'UPDATED' FROM g WHERE updated_at >= {_RECENT} AND updated_at > granted_at + INTERVAL 60 SECOND)
-SELECT kind, user_id, count(*) AS n FROM n GROUP BY ALL""")
-def t10_notifications_per_user(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"""WITH g AS (SELECT p.id, p.user_id, d.doc_id, d.title, u.username AS owner, p.granted_at, d.updated_at, d.created_at FROM document_permissions p JOIN documents d ON d.doc_id = p.document_id LEFT JOIN users u ON u.id = d.owner_id WHERE upper(p.permission_type) = 'READ'),
+n AS (SELECT 'SHARED' AS kind, id, user_id, doc_id, title, owner, granted_at AS at_time FROM g WHERE granted_at >= {_RECENT} UNION ALL
+      SELECT 'UPDATED', id, user_id, doc_id, title, owner, updated_at FROM g WHERE updated_at >= {_RECENT} AND updated_at > granted_at AND updated_at > created_at + INTERVAL 60 SECOND)
+SELECT kind, user_id, doc_id, title, owner, epoch_us(at_time) AS at_us FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY at_time DESC, kind, id) <= 20""")
+def t10_newest_notifications(spark: SparkSession, sf: str) -> DataFrame:
+    """Per user the 20 newest: documents shared since, and shared documents changed since, but for the change that an upload itself makes."""
     since = F.lit("2023-06-01 00:00:00").cast("timestamp")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "updated_at")
-    g = table(spark, sf, "document_permissions").where(F.upper("permission_type") == "READ").select("user_id", F.col("document_id").cast("long").alias("document_id"), "granted_at").join(d, "document_id")
-    updated = (F.col("updated_at") >= since) & (F.unix_micros("updated_at") > F.unix_micros("granted_at") + 60_000_000)
+    u = table(spark, sf, "users").select(F.col("id").alias("owner_id"), F.col("username").alias("owner"))
+    d = table(spark, sf, "documents").select("doc_id", "title", "owner_id", "updated_at", "created_at")
+    g = table(spark, sf, "document_permissions").where(F.upper("permission_type") == "READ").select("id", "user_id", F.col("document_id").cast("long").alias("doc_id"), "granted_at").join(d, "doc_id")
+    edited = (F.col("updated_at") >= since) & (F.col("updated_at") > F.col("granted_at")) & (F.unix_micros("updated_at") > F.unix_micros("created_at") + 60_000_000)
     # both kinds from one scan: a grant may give either, or both
-    kinds = F.array_compact(F.array(F.when(F.col("granted_at") >= since, "SHARED"), F.when(updated, "UPDATED")))
-    return g.select("user_id", F.explode(kinds).alias("kind")).groupBy("kind", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.array_compact(F.array(F.when(F.col("granted_at") >= since, F.struct(F.lit("SHARED").alias("kind"), F.col("granted_at").alias("at"))), F.when(edited, F.struct(F.lit("UPDATED").alias("kind"), F.col("updated_at").alias("at")))))
+    n = g.select("id", "user_id", "doc_id", "title", "owner_id", F.explode(kinds).alias("n")).select("id", "user_id", "doc_id", "title", "owner_id", "n.*")
+    newest = n.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), "kind", "id"))).where("r <= 20")
+    return newest.join(u, "owner_id", "left").select("kind", "user_id", "doc_id", "title", "owner", F.unix_micros("at").alias("at_us"))
+
+
+@query("""WITH gone AS (SELECT doc_id FROM documents WHERE deleted_at IS NOT NULL)
+SELECT 'chunk_vectors' AS store, point_id AS id FROM chunk_vectors WHERE postgres_document_id IS NULL OR postgres_document_id NOT IN (SELECT doc_id FROM gone)
+UNION ALL SELECT 'knowledge_documents', kd_id FROM knowledge_documents WHERE postgres_document_id IS NULL OR postgres_document_id NOT IN (SELECT doc_id FROM gone)
+UNION ALL SELECT 'document_permissions', id FROM document_permissions WHERE document_id IS NULL OR document_id NOT IN (SELECT doc_id FROM gone)
+UNION ALL SELECT 'documents', doc_id FROM documents WHERE deleted_at IS NULL""")
+def c09_left_after_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """What stays in every store when the deleted documents go, with all that belongs to them, children before parents."""
+    documents = table(spark, sf, "documents")
+    children = {n: (table(spark, sf, n), key, row) for n, key, row in (("chunk_vectors", "postgres_document_id", "point_id"), ("knowledge_documents", "postgres_document_id", "kd_id"), ("document_permissions", "document_id", "id"))}
+    left = cascaded(documents.where("deleted_at is not null"), "doc_id", {n: (df, key) for n, (df, key, _) in children.items()})
+    parts = [left[n].select(F.lit(n).alias("store"), F.col(row).cast("long").alias("id")) for n, (_, _, row) in children.items()]
+    parts.append(documents.where("deleted_at is null").select(F.lit("documents").alias("store"), F.col("doc_id").alias("id")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("""WITH e AS (SELECT doc_id FROM documents WHERE title IS NULL)
+SELECT 'documents' AS store, doc_id AS id, coalesce(title, 'Untitled ' || doc_id) AS title FROM documents
+UNION ALL SELECT 'knowledge_documents', kd_id, CASE WHEN postgres_document_id IN (SELECT doc_id FROM e) THEN 'Untitled ' || postgres_document_id ELSE title END FROM knowledge_documents
+UNION ALL SELECT 'chunk_vectors', point_id, CASE WHEN postgres_document_id IN (SELECT doc_id FROM e) THEN 'Untitled ' || postgres_document_id ELSE title END FROM chunk_vectors""")
+def c08_titles_after_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """An edit of documents carried to the other stores."""
+    d = table(spark, sf, "documents")
+    edits = d.where("title is null").select("doc_id", F.concat(F.lit("Untitled "), F.col("doc_id").cast("string")).alias("title"))
+    stores = (("documents", "doc_id", "doc_id"), ("knowledge_documents", "postgres_document_id", "kd_id"), ("chunk_vectors", "postgres_document_id", "point_id"))
+    parts = [edited_everywhere(table(spark, sf, n), key, edits, "doc_id", "title").select(F.lit(n).alias("store"), F.col(row).cast("long").alias("id"), "title") for n, key, row in stores]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""WITH r AS (SELECT id AS user_id, CASE id % 3 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'MANAGER' ELSE 'EMPLOYEE' END AS role FROM users)
+SELECT r.user_id, count(*) AS n FROM r JOIN documents d ON r.role = 'MANAGER' AND d.owner_id = r.user_id GROUP BY 1 UNION ALL SELECT user_id, (SELECT count(*) FROM documents) FROM r WHERE role = 'ADMIN'""")
+def acc2_editable_documents_per_user(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents each user may edit: administrators all, others their own where a role lets them update."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("owner_id").cast("long").alias("user_id"))
+    r = _user_roles(spark, sf).select(F.col("user_id").cast("long").alias("user_id"), "role")
+    may = r.join(_role_permissions(spark).where("permission = 'DOCUMENT_UPDATE'"), "role").where("role <> 'ADMIN'").select("user_id")
+    own = d.join(may, "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return own.unionByName(r.where("role = 'ADMIN'").select("user_id", d.agg(F.count(F.lit(1))).scalar().alias("n")))
 
 
 @query("SELECT u.username, coalesce(p.permission_type, '') AS permission_type, p.id FROM document_permissions p JOIN users u ON u.id = p.user_id WHERE p.document_id = (SELECT document_id FROM document_permissions WHERE document_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
@@ -85,11 +132,12 @@ def f08_evidence_flags(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", c.rlike(X.phrase_regex("working days")).alias("phrase"), whole_word(c, "working").alias("whole_1"), word_start(c, "day").alias("start_2"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(concat_ws('. ', nullif(trim(title), ''), nullif(trim(text), '')), '\s+'), lambda x: x <> '') AS w FROM documents)
-SELECT doc_id, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, ceil((len(w) - 40) / 140.0)) END AS INT) AS n_chunks FROM w""")
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(concat_ws('. ', nullif(trim(title), ''), nullif(trim(text), '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, CAST(ceil((len(w) - 40) / 140.0) AS INT)) END AS k FROM w), c AS (SELECT doc_id, w, CAST(unnest(range(0, k)) AS INT) AS position FROM n)
+SELECT doc_id, position, md5(array_to_string(w[position * 140 + 1 : position * 140 + 180], ' ')) AS digest FROM c""")
 def x06_titled_chunks(spark: SparkSession, sf: str) -> DataFrame:
     whole = X.titled_body(F.col("title"), F.col("text"))
-    return text_table(spark, sf, "documents").select("doc_id", F.size(X.chunks(whole)).alias("n_chunks"))
+    return text_table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunks(whole)).alias("position", "t")).select("doc_id", "position", F.md5("t").alias("digest"))
 
 
 @query(r"""WITH a AS (SELECT topic_id, '- **see** 【' || topic_id % 7 || '†x】, [3] and [12]' AS a FROM topics)

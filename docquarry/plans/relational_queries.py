@@ -291,10 +291,11 @@ def a13_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").agg(*(F.round(F.percentile("n_chars", p), 6).alias(n) for p, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))))
 
 
-@query("WITH t AS (SELECT topic_key, document_type, count(*) AS n FROM documents WHERE topic_key IS NOT NULL GROUP BY ALL) SELECT topic_key, CAST(sum(n) AS BIGINT) AS size, arg_max(document_type, n * 1000 - ascii(document_type)) AS dominant, round(max(n) / sum(n), 6) AS purity FROM t GROUP BY topic_key")
+@query("WITH t AS (SELECT topic_key, document_type, count(*) AS n FROM documents WHERE topic_key IS NOT NULL GROUP BY ALL) SELECT topic_key, CAST(sum(n) AS BIGINT) AS size, first(document_type ORDER BY n DESC, document_type) AS dominant, round(max(n) / sum(n), 6) AS purity FROM t GROUP BY topic_key")
 def a16_group_profile(spark: SparkSession, sf: str) -> DataFrame:
     counted = table(spark, sf, "documents").where("topic_key is not null").groupBy("topic_key", "document_type").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max_by("document_type", F.col("n") * 1000 - F.ascii("document_type"))
+    # the most frequent, of several the first by name
+    best = F.min_by("document_type", F.struct(-F.col("n"), "document_type"))
     return counted.groupBy("topic_key").agg(F.sum("n").alias("size"), best.alias("dominant"), F.round(F.max("n") / F.sum("n"), 6).alias("purity"))
 
 

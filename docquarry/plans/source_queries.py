@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.randomised import seeded_vectors
 from docquarry.session import shared_dir
-from docquarry.sources.files import appended, insert_statements, named_uuid, updated, upsert, without
+from docquarry.sources.files import append_keyed, appended, insert_statements, named_uuid, updated, upsert, without
 from docquarry.sources.tables import table
-from docquarry.streaming.ingest import event_counts, ingest, stream_table
+from docquarry.streaming.ingest import chunked, event_counts, ingest, stream_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,10 +39,10 @@ def s18_upsert_users(spark: SparkSession, sf: str) -> DataFrame:
     return upsert(u, u.where("id % 7 = 0").select("id", F.lit("renamed").alias("full_name")), "id")
 
 
-@query("SELECT chunk_id, substr(md5('engine:' || chunk_id), 1, 8) AS head FROM chunk_vectors WHERE chunk_id IS NOT NULL")
+@query("WITH h AS (SELECT chunk_id, md5('engine:' || chunk_id) AS h FROM chunk_vectors WHERE chunk_id IS NOT NULL) SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS key FROM h")
 def s18_named_keys(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "chunk_vectors").where("chunk_id is not null")
-    return v.select("chunk_id", F.substring(named_uuid(F.concat(F.lit("engine:"), "chunk_id")), 1, 8).alias("head"))
+    return v.select("chunk_id", named_uuid(F.concat(F.lit("engine:"), "chunk_id")).alias("key"))
 
 
 @query("SELECT point_id, CASE WHEN department = 'Legal' THEN 'Law' ELSE category END AS category FROM chunk_vectors")
@@ -73,6 +73,19 @@ def s24_seeded_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("topic_id", F.posexplode(seeded_vectors(t, "topic_id", 64)).alias("place", "value"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, CAST(ceil((len(w) - 40) / 140.0) AS INT)) END AS k FROM w),
+c AS (SELECT doc_id, w, CAST(unnest(range(0, k)) AS INT) AS position FROM n)
+SELECT 'doc' || doc_id || '-chunk' || (position + 1) AS chunk_id, doc_id, position, md5(array_to_string(w[position * 140 + 1 : position * 140 + 180], ' ')) AS digest FROM c""")
+def s17_keyed_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks appended in two runs that overlap: every key stands once."""
+    out = os.path.join(shared_dir(spark), f"appended-{uuid.uuid4().hex}")
+    d = table(spark, sf, "documents")
+    append_keyed(chunked(d.where("lang is not null or owner_id is null")), out, "point_key")
+    append_keyed(chunked(d), out, "point_key")
+    return spark.read.parquet(out).select("chunk_id", "doc_id", "position", F.md5("text").alias("digest"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS day FROM events GROUP BY event_type, day")
 def ext1_daily_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = event_counts(table(spark, sf, "events"))

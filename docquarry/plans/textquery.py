@@ -126,19 +126,40 @@ def run(text: str, corpus: DataFrame, row_id: str, column: str) -> DataFrame:
     return corpus.sparkSession.createDataFrame([(q.number, prime(q.number))], "number bigint, prime boolean")
 
 
-# What each operator costs, by category.
+def totals(counted: DataFrame) -> DataFrame:
+    """(pattern, n): the occurrences of each pattern in all rows, and under 'all patterns' of all of them."""
+    return counted.rollup("pattern").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.grouping("pattern").alias("all")).select(F.when(F.col("all") == 1, "all patterns").otherwise(F.col("pattern")).alias("pattern"), "n")
+
+
+# Each algorithm's name, category, time, space and note.
 COSTS = (
-    ("kmp", "string", "O(n + m)"), ("z", "string", "O(n + m)"), ("rabin-karp", "string", "O(n + m) expected"), ("naive", "string", "O(n m)"),
-    ("aho-corasick", "string", "O(n + m + z)"), ("suffix array", "string", "O(n log n)"), ("lcp", "string", "O(n)"),
-    ("levenshtein", "dp", "O(n m)"), ("damerau-levenshtein", "dp", "O(n m)"), ("needleman-wunsch", "dp", "O(n m)"), ("smith-waterman", "dp", "O(n m)"),
-    ("ford-fulkerson", "graph", "O(E f)"), ("edmonds-karp", "graph", "O(V E^2)"), ("dinic", "graph", "O(V^2 E)"), ("bipartite matching", "graph", "O(V E)"), ("min cut", "graph", "O(V^2 E)"),
-    ("vertex cover", "approximation", "O(V + E)"), ("list scheduling", "approximation", "O(n log m)"), ("longest first", "approximation", "O(n log n)"),
-    ("miller-rabin", "randomized", "O(k log^3 n)"), ("universal hashing", "randomized", "O(1) expected"), ("reservoir", "randomized", "O(n)"),
-)
+    ("Naive search", "String", "O(n*m)", "O(1)", "Reference implementation"),
+    ("KMP", "String", "O(n+m)", "O(m)", "No pathological input"),
+    ("Z-Algorithm", "String", "O(n+m)", "O(m)", "No sentinel required"),
+    ("Rabin-Karp", "String", "O(n+m) expected", "O(1)", "Every hash hit verified"),
+    ("Aho-Corasick", "String", "O(n+z)", "O(m)", "Multi-pattern, one pass"),
+    ("Suffix array", "String", "O(n log n)", "O(n)", "Prefix doubling, counting sort"),
+    ("LCP (Kasai)", "String", "O(n)", "O(n)", "Requires the suffix array"),
+    ("Levenshtein", "DP", "O(n*m)", "O(min(n,m))", "Rolling rows"),
+    ("Damerau-Levenshtein", "DP", "O(n*m)", "O(n*m)", "Unrestricted variant"),
+    ("Damerau-Levenshtein OSA", "DP", "O(n*m)", "O(n*m)", "Restricted variant"),
+    ("Needleman-Wunsch", "DP", "O(n*m)", "O(n*m)", "Global alignment"),
+    ("Smith-Waterman", "DP", "O(n*m)", "O(n*m)", "Local alignment"),
+    ("Ford-Fulkerson", "Graph", "O(E*maxflow)", "O(V)", "DFS augmenting paths"),
+    ("Edmonds-Karp", "Graph", "O(V*E^2)", "O(V)", "BFS augmenting paths"),
+    ("Dinic", "Graph", "O(V^2*E)", "O(V)", "O(E*sqrt(E)) on unit capacity"),
+    ("Bipartite matching", "Graph", "O(V*E)", "O(V)", "Kuhn's algorithm"),
+    ("Vertex cover", "Approximation", "O(V+E)", "O(V)", "Ratio 2"),
+    ("List scheduling", "Approximation", "O(n*m)", "O(n+m)", "Ratio 2 - 1/m"),
+    ("LPT scheduling", "Approximation", "O(n log n)", "O(n+m)", "Ratio 4/3 - 1/3m"),
+    ("Miller-Rabin", "Randomized", "O(k*log^3 n)", "O(1)", "Exact for 64-bit"),
+    ("Universal hashing", "Randomized", "O(1) / O(L)", "O(1)", "Collision <= 1/m"),
+    ("Reservoir sampling", "Randomized", "O(n)", "O(k)", "One pass, unknown length"),
+)
 
 
 def costs(spark, category: str = "", name: str = "") -> DataFrame:
-    rows = spark.createDataFrame(list(COSTS), "name string, category string, time string")
+    rows = spark.createDataFrame(list(COSTS), "name string, category string, time string, space string, note string")
     for column, value in (("category", category), ("name", name)):
         if value:
             rows = rows.where(F.col(column) == value)

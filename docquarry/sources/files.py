@@ -112,6 +112,17 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return old.join(latest.select(*keys), list(keys), "left_anti").select(*old.columns).unionByName(latest.select(*old.columns))
 
 
+def append_keyed(new: DataFrame, path: str, *keys: str) -> None:
+    """Append the rows of new whose keys the Parquet folder doesn't hold yet, one row a key: a run that is repeated adds nothing."""
+    spark = new.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = new.dropDuplicates(list(keys))
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        # keys alone are read of what is there; the rows that are added don't depend on files written meanwhile
+        rows = rows.join(spark.read.schema(new.schema).parquet(path).select(*keys), list(keys), "left_anti")
+    rows.write.mode("append").parquet(path)
+
+
 def updated(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
     """Columns set where the condition holds; null counts as not."""
     hit = F.coalesce(condition, F.lit(False))
