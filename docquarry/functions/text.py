@@ -97,6 +97,11 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(compatibility_form(c), r"\p{Cc}", " "), r"\s+", " "))
 
 
+def entity_key(c: Column) -> Column:
+    """A name without letter case, blanks and punctuation, so that its spellings are one; null where nothing is left."""
+    return F.nullif(F.regexp_replace(F.lower(c), r"[\s\p{Z}\p{P}\p{S}]+", ""), F.lit(""))
+
+
 def escape_regex(text: str) -> str:
     return "".join("\\" + x if not (x.isalnum() or x.isspace() or x == "_") else x for x in text)
 

@@ -143,3 +143,10 @@ def knee(df: DataFrame, x: str, y: str) -> DataFrame:
 def weight_of(c: Column) -> Column:
     """Sublinear term weight."""
     return 1 + F.log(c)
+
+
+def curve(df: DataFrame, value: str, points: int = 200) -> DataFrame:
+    """(share, value): the sorted values at so many equal steps, each the interpolated percentile; a curve of bounded length for knee."""
+    shares = [i / points for i in range(points + 1)]
+    one = df.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("v"))
+    return one.select(F.posexplode("v").alias("i", "value")).select((F.col("i") / points).alias("share"), "value")

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators.components import connected_components
-from docquarry.operators.tfidf import grams
+from docquarry.operators.tfidf import counted_terms, grams
+from docquarry.session import materialise
 
 MODELS = {
     "logistic": lambda: LogisticRegression(featuresCol="x", labelCol="y", maxIter=30),
@@ -46,18 +47,155 @@ def text_features(kind: str = "words", buckets: int = 1 << 14) -> Pipeline:
 
 def classify(train: DataFrame, test: DataFrame, text: str, label: str, model: str = "logistic", row_id: str = "doc_id") -> DataFrame:
     """(row_id, label, predicted) of the test rows by words and word pairs; everything is fitted on the train rows."""
-    index = StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip")
     tr, te = (d.withColumn("grams", grams(F.col(text))) for d in (train, test))
-    fitted = index.fit(tr)
     features = text_features().fit(tr)
-    guess = MODELS[model]().fit(features.transform(fitted.transform(tr))).transform(features.transform(te))
+    return classify_features(features.transform(tr), features.transform(te), label, model, row_id)
+
+
+def classify_features(train: DataFrame, test: DataFrame, label: str, model: str = "logistic", row_id: str = "doc_id") -> DataFrame:
+    """(row_id, label, predicted) of the test rows by their vectors x; fitted on the train rows."""
+    fitted = StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip").fit(train)
+    guess = MODELS[model]().fit(fitted.transform(train)).transform(test)
     names = F.array(*map(F.lit, fitted.labels))
     return guess.select(row_id, F.col(label).alias("label"), F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted"))
 
 
 def grouped_folds(df: DataFrame, group: str, folds: int, seed: int = 7) -> DataFrame:
-    """Adds fold, the same for all rows of a group."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(folds)).cast("int"))
+    """Adds fold, the same for all rows of a group: from the MD5 of seed and group, so that any engine folds alike."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group))), 1, 8), 16, 10).cast("long")
+    return df.withColumn("fold", (draw % folds).cast("int"))
+
+
+def shared_groups(df: DataFrame, group: str) -> DataFrame:
+    """(fold, groups, rows, leaked): of each fold its groups, its rows, and how many of its groups other folds hold too."""
+    each = df.groupBy("fold", group).agg(F.count(F.lit(1)).alias("n"))
+    spread = each.groupBy(group).agg(F.count(F.lit(1)).alias("folds"))
+    return each.join(spread, group).groupBy("fold").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.count_if(F.col("folds") > 1).alias("leaked"))
+
+
+def leave_one_group_out(df: DataFrame, row_id: str, text: str, label: str, group: str) -> DataFrame:
+    """(row_id, group, label, predicted): each row by a multinomial Bayes model of all groups but its own, on single words.
+
+    Counts are additive: the model without a group is the whole model's counts less the group's, so all
+    models come from two aggregations and nothing is fitted again. Smoothing adds one to each count; a
+    label that only the own group has isn't predicted; ties go to the first label. Labels are few.
+    """
+    terms = counted_terms(df.select(row_id, text), row_id, text, 1)
+    base = df.select(row_id, F.col(label).alias("label"), F.col(group).alias("group"))
+    posts = materialise(terms.join(base, row_id), "posts")
+    per = posts.groupBy("group", "label", "term").agg(F.sum("tf").alias("n"))
+    whole = posts.groupBy("label", "term").agg(F.sum("tf").alias("n"))
+    size = posts.groupBy("label").agg(F.sum("tf").alias("total"))
+    own_size = posts.groupBy("group", "label").agg(F.sum("tf").alias("own_total"))
+    rows, own_rows = base.groupBy("label").agg(F.count(F.lit(1)).alias("docs")), base.groupBy("group", "label").agg(F.count(F.lit(1)).alias("own_docs"))
+    n_terms = posts.select(F.count_distinct("term")).scalar()
+    # for every group and label what is left without the group; labels times groups
+    left = own_rows.select("group").distinct().crossJoin(rows.join(size, "label", "left")).join(own_rows, ["group", "label"], "left").join(own_size, ["group", "label"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    left = left.select("group", "label", (F.col("docs") - zero(F.col("own_docs"))).alias("docs"), (zero(F.col("total")) - zero(F.col("own_total")) + n_terms).alias("total")).where("docs > 0")
+    # terms of a row against all labels: one small array of labels a row
+    seen = posts.select(row_id, "group", "term", "tf").join(whole.groupBy("term").agg(F.collect_list(F.struct("label", "n")).alias("held")), "term").join(per.groupBy("group", "term").agg(F.collect_list(F.struct("label", "n")).alias("own")), ["group", "term"])
+    gain = lambda x: F.struct(x["label"].alias("label"), (x["n"] - zero(F.get(F.transform(F.filter("own", lambda y: y["label"] == x["label"]), lambda y: y["n"]), F.lit(0)))).alias("n"))
+    found = seen.select(row_id, "tf", F.explode(F.transform("held", gain)).alias("g")).groupBy(row_id, "g.label").agg(F.sum(F.col("tf") * F.log(F.col("g.n") + 1)).alias("s"))
+    lengths = posts.groupBy(row_id).agg(F.sum("tf").alias("words"))
+    every = base.select(row_id, "group", F.col("label").alias("truth")).join(left, "group").join(lengths, row_id, "left").join(found, [row_id, "label"], "left")
+    score = F.log("docs") + zero(F.col("s")) - zero(F.col("words")) * F.log("total")
+    best = every.groupBy(row_id, "group", "truth").agg(F.min_by("label", F.struct(-F.round(score, 6), "label")).alias("predicted"))
+    return best.select(row_id, "group", F.col("truth").alias("label"), "predicted")
+
+
+def lsa(train: DataFrame, *others: DataFrame, text: str, components: int = 50, buckets: int = 1 << 13) -> list[DataFrame]:
+    """train and others with x, their latent vectors of length 1: hashed weighted terms on the leading right singular vectors of train.
+
+    The vectors that reach the driver are buckets by components, whatever the number of rows.
+    """
+    from pyspark.mllib.linalg import Vectors as Old
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    named = [d.withColumn("grams", grams(F.col(text), 1)) for d in (train, *others)]
+    features = text_features("hashed", buckets).fit(named[0])
+    weighed = [features.transform(d).drop("grams", "tf", "w") for d in named]
+    k = min(components, buckets)
+    v = RowMatrix(weighed[0].select("x").rdd.map(lambda r: Old.fromML(r[0]))).computeSVD(k).V.toArray().astype(np.float32)
+
+    def project(parts):
+        for part in parts:
+            out = np.stack([v[np.array(x["indices"])].T @ np.array(x["values"], np.float32) if x["values"] is not None and len(x["values"]) else np.zeros(v.shape[1], np.float32) for x in part["sparse"]]) if len(part) else np.zeros((0, v.shape[1]))
+            norm = np.linalg.norm(out, axis=1, keepdims=True)
+            part["latent"] = list((out / np.where(norm > 0, norm, 1)).astype(np.float64))
+            yield part.drop(columns="sparse")
+
+    def latent(d: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        # indices and values of what isn't zero
+        dense = vector_to_array("x", "float32")
+        spots = F.filter(F.transform(dense, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != 0)
+        kept = d.withColumn("sparse", F.struct(F.transform(spots, lambda s: s["i"]).alias("indices"), F.transform(spots, lambda s: s["x"]).alias("values"))).drop("x")
+        schema = ", ".join(f"`{c}` {t}" for c, t in kept.drop("sparse").dtypes) + ", latent array<double>"
+        return kept.mapInPandas(project, schema)
+
+    return [latent(d) for d in weighed]
+
+
+def mini_batch_k_means(df: DataFrame, row_id: str, vector: str, k: int, batch: int = 1024, rounds: int = 60, seed: int = 7) -> DataFrame:
+    """(row_id, cluster) of every row: centres move towards batches of rows, each by one over the rows it has won so far.
+
+    Batches are drawn by hash, of about batch rows each, and are all that reaches the driver; they fit the
+    centres only: every row is assigned. Null vectors are left out.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(row_id).alias("row_id"), F.col(vector).cast("array<double>").alias("v"))
+    parts = max(1, -(-rows.count() // batch))
+    take = lambda i: np.array([x["v"] for x in rows.where(F.pmod(F.xxhash64(F.lit(seed + i), "row_id"), F.lit(parts)) == 0).orderBy(F.xxhash64(F.lit(seed), "row_id")).limit(2 * batch).collect()])
+    draw = np.random.default_rng(seed)
+    first = take(0)
+    if not len(first):
+        return rows.select("row_id", F.lit(0).alias("cluster"))
+    centres = [first[0]]
+    while len(centres) < min(k, len(first)):
+        far = np.min([((first - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres.append(first[draw.choice(len(first), p=far / far.sum()) if far.sum() > 0 else 0])
+    m, won = np.array(centres), np.zeros(len(centres))
+    distinct = min(rounds, parts)
+    batches = [first] + [take(i) for i in range(1, distinct)]
+    for i in range(rounds):
+        b = batches[i % distinct]
+        if not len(b):
+            continue
+        at = np.argmin(((b[:, None, :] - m[None, :, :]) ** 2).sum(axis=2), axis=1)
+        for c in np.unique(at):
+            mine = b[at == c]
+            won[c] += len(mine)
+            m[c] += (mine.mean(axis=0) - m[c]) * len(mine) / won[c]
+
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        x = np.stack(v) if len(v) else np.zeros((0, m.shape[1]))
+        return pd.Series(np.argmin((m**2).sum(axis=1)[None, :] - 2 * x @ m.T, axis=1).astype(np.int32))
+
+    return rows.select("row_id", nearest("v").alias("cluster"))
+
+
+def platt(margins: DataFrame, margin: str, correct: str):
+    """A fitted logistic curve from margin to the chance of being right; its transform adds confidence."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    ready = VectorAssembler(inputCols=[margin], outputCol="_m")
+    model = LogisticRegression(featuresCol="_m", labelCol="_y", predictionCol="_p", rawPredictionCol="_r", probabilityCol="_q").fit(ready.transform(margins.withColumn("_y", F.col(correct).cast("double"))))
+    return lambda d: model.transform(ready.transform(d)).withColumn("confidence", vector_to_array("_q")[1]).drop("_m", "_r", "_q", "_p")
+
+
+def margins(train: DataFrame, tests: Sequence[DataFrame], text: str, label: str) -> list[DataFrame]:
+    """tests with margin and ok: by how much a linear machine's best class leads the second, and whether it is right."""
+    index = StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip").fit(train)
+    named = [index.transform(d.withColumn("grams", grams(F.col(text)))) for d in (train, *tests)]
+    features = text_features().fit(named[0])
+    model = MODELS["svm"]().fit(features.transform(named[0]))
+    from pyspark.ml.functions import vector_to_array
+
+    ordered = F.sort_array(vector_to_array("rawPrediction"), asc=False)
+    return [model.transform(features.transform(d)).select("y", (ordered[0] - F.coalesce(F.get(ordered, F.lit(1)), F.lit(0.0))).alias("margin"), (F.col("prediction") == F.col("y")).alias("ok")) for d in named[1:]]
 
 
 def nearest_labels(neighbours: DataFrame, labels: DataFrame, row_id: str, label: str) -> DataFrame:

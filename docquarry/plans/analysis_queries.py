@@ -253,8 +253,14 @@ def m17_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a label, and the topic they are folded by, however it is spelled."""
     d = table(spark, sf, "documents").where("text is not null and category_id is not null and topic_key is not null")
-    return L.grouped_folds(d.select("doc_id", "text", F.col("category_id").cast("string").alias("label"), "topic_key"), "topic_key", 5)
+    d = d.select("doc_id", "text", F.col("category_id").cast("string").alias("label"), X.entity_key(F.col("topic_key")).alias("topic"))
+    return L.grouped_folds(d.where("topic is not null"), "topic", 5)
+
+
+_KEY = r"nullif(regexp_replace(lower(topic_key), '[\s\p{Z}\p{P}\p{S}]+', '', 'g'), '')"
+_LABELLED = f"b AS (SELECT doc_id, text, CAST(category_id AS VARCHAR) AS label, {_KEY} AS topic FROM documents WHERE text IS NOT NULL AND category_id IS NOT NULL AND {_KEY} IS NOT NULL)"
 
 
 @query()
@@ -262,7 +268,32 @@ def m07_locked_topics_report(spark: SparkSession, sf: str) -> DataFrame:
     """Topics of one fold are held back; nothing is fitted on them."""
     d = _labelled(spark, sf)
     guess = L.classify(d.where("fold <> 0"), d.where("fold = 0"), "text", "label", "bayes")
-    return E.class_report(E.confusion(guess, "label", "predicted"))
+    return E.with_averages(E.class_report(E.confusion(guess, "label", "predicted")))
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+
+
+@query(rf"""WITH {_LABELLED}, t AS (SELECT doc_id, label, topic, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}]+'), lambda t: len(t) >= 2 AND t NOT IN ({_STOP}))) AS term FROM b),
+tf AS (SELECT doc_id, label, topic, term, count(*) AS n FROM t GROUP BY ALL), labels AS (SELECT label, count(*) AS docs FROM b GROUP BY 1), topics_ AS (SELECT DISTINCT topic FROM b),
+own AS (SELECT topic, label, count(*) AS docs FROM b GROUP BY ALL), lt AS (SELECT label, term, sum(n) AS n FROM tf GROUP BY ALL), gt AS (SELECT topic, label, term, sum(n) AS n FROM tf GROUP BY ALL),
+ls AS (SELECT label, sum(n) AS n FROM tf GROUP BY 1), gs AS (SELECT topic, label, sum(n) AS n FROM tf GROUP BY ALL), v AS (SELECT count(DISTINCT term) AS n FROM tf),
+m AS (SELECT p.topic, l.label, l.docs - coalesce(o.docs, 0) AS docs, coalesce(ls.n, 0) - coalesce(gs.n, 0) + v.n AS total FROM topics_ p, v, labels l LEFT JOIN own o ON o.topic = p.topic AND o.label = l.label LEFT JOIN ls ON ls.label = l.label LEFT JOIN gs ON gs.topic = p.topic AND gs.label = l.label WHERE l.docs - coalesce(o.docs, 0) > 0),
+s AS (SELECT tf.doc_id, lt.label, sum(tf.n * ln(lt.n - coalesce(gt.n, 0) + 1)) AS s FROM tf JOIN lt ON lt.term = tf.term LEFT JOIN gt ON gt.topic = tf.topic AND gt.label = lt.label AND gt.term = tf.term GROUP BY ALL),
+w AS (SELECT doc_id, sum(n) AS n FROM tf GROUP BY 1),
+g AS (SELECT b.doc_id, b.topic, b.label, m.label AS predicted FROM b JOIN m ON m.topic = b.topic LEFT JOIN s ON s.doc_id = b.doc_id AND s.label = m.label LEFT JOIN w ON w.doc_id = b.doc_id
+  QUALIFY row_number() OVER (PARTITION BY b.doc_id ORDER BY round(ln(m.docs) + coalesce(s.s, 0) - coalesce(w.n, 0) * ln(m.total), 6) DESC, m.label) = 1)
+SELECT topic, count(*) AS n, count(*) FILTER (label = predicted) AS hits FROM g GROUP BY 1""")
+def m07_leave_one_topic_out(spark: SparkSession, sf: str) -> DataFrame:
+    """For each topic, how many of its documents a model of all other topics labels right."""
+    guess = L.leave_one_group_out(_labelled(spark, sf), "doc_id", "text", "label", "topic")
+    return guess.groupBy(F.col("group").alias("topic")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("predicted")).alias("hits"))
+
+
+@query(f"WITH {_LABELLED}, f AS (SELECT *, CAST(('0x' || substr(md5('7:' || topic), 1, 8))::BIGINT % 5 AS INT) AS fold FROM b) SELECT fold, count(DISTINCT topic) AS groups, count(*) AS rows, CAST(0 AS BIGINT) AS leaked FROM f GROUP BY fold")
+def m08_leakage_of_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics and documents of each fold, and topics that other folds hold too: none, however topics are spelled."""
+    return L.shared_groups(_labelled(spark, sf), "topic")
 
 
 @query()
@@ -282,10 +313,27 @@ def m10_sweep_and_knee(spark: SparkSession, sf: str) -> DataFrame:
     return E.knee(L.sweep(x, CLUSTERS), "k", "inertia")
 
 
+def _fifth_distances(spark: SparkSession, sf: str) -> DataFrame:
+    from docquarry.plans.search import batched_search
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
+    near = batched_search(e.select(F.col("point_id").alias("query_id"), "vector"), e, 5, 64).where("rank = 5")
+    return near.select(F.col("query_id").alias("vec_id"), F.round(F.greatest(F.lit(0.0), 1 - F.col("cosine")), 4).alias("distance"))
+
+
 @query()
 def m14_dbscan(spark: SparkSession, sf: str) -> DataFrame:
+    """Density clusters whose radius is the knee of the distances to the fifth neighbour, a vector counting as its own first."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return L.dbscan(L.radius_pairs(e, "vec_id", "embedding", 0.3), e, "a", "b", "vec_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    radius = E.knee(E.curve(_fifth_distances(spark, sf), "distance"), "share", "value").first()["value"]
+    return L.dbscan(L.radius_pairs(e, "vec_id", "embedding", radius), e, "a", "b", "vec_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def m12_mini_batch_profile(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    out = L.mini_batch_k_means(e, "vec_id", "embedding", 10).withColumnRenamed("row_id", "vec_id").join(e.select("vec_id", "label"), "vec_id")
+    return E.cluster_agreement(out, "cluster", "label")
 
 
 @query()

@@ -111,10 +111,16 @@ FROM topics t LEFT JOIN best ON best.topic_id = t.topic_id LEFT JOIN border ON b
     "g33_pattern_report": f"""WITH {_REPEAT}
 SELECT t.topic_id, CASE WHEN summary IS NOT NULL THEN coalesce(best.x, '') END AS repeat, coalesce((len(summary) - len(replace(summary, 'on', ''))) // 2 + (len(summary) - len(replace(summary, 'and', ''))) // 3 + (len(summary) - len(replace(summary, 'Texts', ''))) // 5, 0) AS n
 FROM topics t LEFT JOIN best ON best.topic_id = t.topic_id""",
-    "m14_dbscan": """WITH RECURSIVE v AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), l AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.i <> b.i AND 1 - list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) <= 0.3),
+    "m14_dbscan": """WITH RECURSIVE v AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT i, x, sqrt(list_dot_product(x, x)) AS n FROM v),
+c AS (SELECT a.i AS a, b.i AS b, list_dot_product(a.x, b.x) / (a.n * b.n) AS c FROM n a, n b),
+five AS (SELECT a, round(greatest(0, 1 - round(c, 12)), 4) AS d FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) = 5),
+curve AS (SELECT p / 200 AS s, list_extract(q, CAST(p + 1 AS INT)) AS d FROM (SELECT unnest(range(0, 201)) AS p), (SELECT quantile_cont(d, list_transform(range(0, 201), lambda i: i / 200)) AS q FROM five)),
+ends AS (SELECT min(d) AS y0, max(d) AS y1, arg_min(d, s) AS a, arg_max(d, s) AS b FROM curve),
+eps AS (SELECT d AS e FROM curve, ends ORDER BY abs(((d - y0) / (y1 - y0) - (a - y0) / (y1 - y0)) - s * ((b - y0) / (y1 - y0) - (a - y0) / (y1 - y0))) DESC, s LIMIT 1),
+l AS (SELECT a, b FROM c, eps WHERE a <> b AND 1 - c <= e),
 core AS (SELECT a FROM l GROUP BY a HAVING count(*) + 1 >= 5), inner_l AS (SELECT a, b FROM l WHERE a IN (FROM core) AND b IN (FROM core)),
-r(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, inner_l.b FROM r JOIN inner_l ON inner_l.a = r.b), c AS (SELECT a, min(b) AS cluster FROM r GROUP BY a),
-edge AS (SELECT a, min(b) AS b FROM l WHERE a NOT IN (FROM core) AND b IN (FROM core) GROUP BY a), every AS (SELECT a, cluster FROM c UNION ALL SELECT edge.a, c.cluster FROM edge JOIN c ON c.a = edge.b)
+r(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, inner_l.b FROM r JOIN inner_l ON inner_l.a = r.b), k AS (SELECT a, min(b) AS cluster FROM r GROUP BY a),
+edge AS (SELECT a, min(b) AS b FROM l WHERE a NOT IN (FROM core) AND b IN (FROM core) GROUP BY a), every AS (SELECT a, cluster FROM k UNION ALL SELECT edge.a, k.cluster FROM edge JOIN k ON k.a = edge.b)
 SELECT coalesce(cluster, -1) AS cluster, count(*) AS n FROM v LEFT JOIN every ON every.a = v.i GROUP BY 1""",
     "s24_seeded_vectors": """SELECT topic_id, CAST(p AS INT) AS place, CAST(('0x' || substr(md5('0:' || topic_id || ':' || p), 1, 6))::BIGINT / 8388608.0::DOUBLE - 1 AS FLOAT) AS value FROM topics, range(0, 64) r(p)""",
 }

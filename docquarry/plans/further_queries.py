@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as X
 from docquarry.functions.answers import citations, prefixed, tidy_answer
 from docquarry.functions.lexical import whole_word, word_start
-from docquarry.functions.vectors import cosine_to, hashed_embedding
+from docquarry.functions.vectors import cosine_to, hashed_embedding, norm
 from docquarry.operators import evaluation as E
 from docquarry.operators import learning as L
 from docquarry.operators import strings as S
 from docquarry.operators.quality import cascaded, edited_everywhere
 from docquarry.operators.randomised import MERSENNE_31, universal_text_hash
-from docquarry.operators.tfidf import grams, tfidf_run
-from docquarry.plans.analysis_queries import CLUSTERS, _judged, _labelled, _word_run
+from docquarry.operators.tfidf import tfidf_run
+from docquarry.plans.analysis_queries import CLUSTERS, _fifth_distances, _judged, _labelled, _word_run
 from docquarry.plans.relational_queries import _role_permissions, _user_roles
 from docquarry.plans.search_queries import first_vector
+from docquarry.plans.search import batched_search
+from docquarry.session import materialise
 from docquarry.sources.tables import table, text_table
 
 QUERIES: dict = {}
@@ -199,44 +200,62 @@ def g33_pattern_report(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT a.vec_id, round(greatest(0, 1 - d[5]), 4) AS distance FROM (SELECT x.vec_id, list_sort(list(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(y.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))))), 'DESC') AS d FROM embeddings x, embeddings y GROUP BY x.vec_id) a")
 def w08_fifth_neighbour_distance(spark: SparkSession, sf: str) -> DataFrame:
     """The curve whose knee sets the radius of density clusters; a vector counts as its own first neighbour."""
-    from docquarry.plans.search import batched_search
+    return _fifth_distances(spark, sf)
 
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
-    near = batched_search(e.select(F.col("point_id").alias("query_id"), "vector"), e, 5, 64).where("rank = 5")
-    return near.select(F.col("query_id").alias("vec_id"), F.round(F.greatest(F.lit(0.0), 1 - F.col("cosine")), 4).alias("distance"))
 
-
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '\s+'), lambda x: x <> '')) AS w FROM documents),
+n AS (SELECT doc_id, CAST(sum(greatest(0, len(w)) + greatest(0, len(w) - 1) + greatest(0, len(w) - 2)) AS INT) AS n FROM w GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS length FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""")
 def m05_character_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Hashed character n-grams of titles, weighted and of length 1."""
-    t = table(spark, sf, "topics").select("topic_id", L.character_grams(F.col("title")).alias("grams"))
-    return L.text_features("hashed", 1 << 12).fit(t).transform(t).select("topic_id", F.size("grams").alias("n"))
+    """Hashed and weighted character n-grams of titles: how many each title has, and the length of its vector."""
+    d = table(spark, sf, "documents").select("doc_id", L.character_grams(F.col("title")).alias("grams"))
+    squares = F.aggregate(vector_to_array("x"), F.lit(0.0), lambda s, x: s + x * x)
+    return L.text_features("hashed", 1 << 12).fit(d).transform(d).select("doc_id", F.size("grams").alias("n"), F.round(F.sqrt(squares), 6).alias("length"))
+
+
+def _document_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, embedding): the mean of a document's usable chunk vectors, each of length 1."""
+    ok = (F.size("vector") == 64) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    v = table(spark, sf, "chunk_vectors").where(ok & F.col("postgres_document_id").isNotNull()).select(F.col("postgres_document_id").cast("long").alias("doc_id"), "vector")
+    unit = v.select("doc_id", F.transform("vector", lambda x: x / norm(F.col("vector"))).alias("v"))
+    return unit.groupBy("doc_id").agg(F.array(*(F.avg(F.col("v")[i]) for i in range(64))).alias("embedding"))
 
 
 @query()
 def m06_models_compared(spark: SparkSession, sf: str) -> DataFrame:
-    """Accuracy of each kind of model on topics that none of them was fitted on."""
+    """Accuracy and macro F1 of each kind of model on topics that none of them was fitted on: four on words and word pairs, neighbours on latent vectors, and a line on latent vectors with embeddings."""
     d = _labelled(spark, sf)
-    out = None
-    for model in ("bayes", "logistic"):
-        guess = L.classify(d.where("fold <> 0"), d.where("fold = 0"), "text", "label", model)
-        row = guess.agg(F.lit(model).alias("model"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    train, test = d.where("fold <> 0"), d.where("fold = 0")
+    guesses = {model: L.classify(train, test, "text", "label", model) for model in ("bayes", "logistic", "svm", "forest")}
+    known, asked = (materialise(x, "latent") for x in L.lsa(train.drop("topic"), test.drop("topic"), text="text"))
+    near = batched_search(asked.select(F.col("doc_id").alias("query_id"), F.col("latent").alias("vector")), known.select(F.col("doc_id").alias("point_id"), F.col("latent").alias("vector")), 5, 50)
+    voted = L.nearest_labels(near.select(F.col("query_id").alias("doc_id"), F.col("point_id").alias("neighbour"), "cosine"), known, "doc_id", "label")
+    guesses["neighbours"] = asked.select("doc_id", "label").join(voted, "doc_id", "left")
+    vectors = _document_vectors(spark, sf)
+    combined = [x.join(vectors, "doc_id", "left").withColumn("x", array_to_vector(F.concat("latent", F.coalesce("embedding", F.array_repeat(F.lit(0.0), 64))))) for x in (known, asked)]
+    guesses["combined"] = L.classify_features(*combined, "label", "logistic")
+    reports = [E.with_averages(E.class_report(E.confusion(g, "label", "predicted"))).where("label = 'macro average'").select(F.lit(m).alias("model"), F.round("f1", 6).alias("macro_f1")) for m, g in guesses.items()]
+    hits = [g.agg(F.lit(m).alias("model"), F.round(F.avg(F.coalesce((F.col("label") == F.col("predicted")).cast("double"), F.lit(0.0))), 6).alias("accuracy")) for m, g in guesses.items()]
+    return functools.reduce(DataFrame.unionByName, hits).join(functools.reduce(DataFrame.unionByName, reports), "model")
+
+
+def _calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    """Confidence of a linear machine: fitted on three folds, its curve on a fourth, applied to the fifth."""
+    d = _labelled(spark, sf)
+    fitted, held = L.margins(d.where("fold > 1"), [d.where("fold = 1"), d.where("fold = 0")], "text", "label")
+    return L.platt(fitted, "margin", "ok")(held).select("confidence", "ok")
 
 
 @query()
 def m09_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    """Bins of confidence against accuracy of a classifier whose margins go through a logistic curve."""
-    d = _labelled(spark, sf).withColumn("grams", grams(F.col("text")))
-    index = StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip").fit(d)
-    train, test = (index.transform(x) for x in (d.where("fold <> 0"), d.where("fold = 0")))
-    features = L.text_features().fit(train)
-    model = LogisticRegression(featuresCol="x", labelCol="y", maxIter=10).fit(features.transform(train))
-    from pyspark.ml.functions import vector_to_array
-
-    guess = model.transform(features.transform(test)).select(F.array_max(vector_to_array("probability")).alias("c"), (F.col("prediction") == F.col("y")).alias("ok"))
-    return E.reliability(guess, "c", "ok")
+    """Bins of confidence against accuracy of a machine whose margins go through a logistic curve."""
+    return E.reliability(_calibrated(spark, sf), "confidence", "ok")
+
+
+@query()
+def m09_calibration_measures(spark: SparkSession, sf: str) -> DataFrame:
+    c = materialise(_calibrated(spark, sf), "calibrated")
+    return E.calibration_error(E.reliability(c, "confidence", "ok")).crossJoin(E.brier_and_log_loss(c, "confidence", "ok"))  # two single rows
 
 
 @query()
