@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def tidy_answer(c: Column) -> Column:
-    """Bracketed source marks as [n], bold marks and list bullets gone, outer blanks trimmed."""
-    marks = F.regexp_replace(c, r"【\s*(\d{1,4})[^】]*】", "[$1]")
-    return F.trim(F.regexp_replace(F.regexp_replace(marks, r"\*\*", ""), r"(?m)^[ \t]*[-*•][ \t]+", ""))
+    """Bracketed source marks as [n], bold text plain, asterisk bullets as hyphens, blanks at line ends and around it gone."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"【\s*(\d+)[^】]*】", "[$1]"), r"\*\*(.+?)\*\*", "$1")
+    lines = F.regexp_replace(F.regexp_replace(plain, r"(?m)^([ \t]*)\*[ \t]+", "$1- "), r"(?m)[ \t]+$", "")
+    return F.regexp_replace(lines, r"^\s+|\s+$", "")
 
 
 def citations(c: Column) -> Column:

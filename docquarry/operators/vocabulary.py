@@ -66,6 +66,7 @@ def correct_query(query: str, words: DataFrame) -> tuple[str, float] | None:
     it. The best word by credit, then document count, then alphabet. One small result, a row a term,
     reaches the driver: it changes the query that is planned next.
     """
+    query = " ".join(query.lower().split())
     wanted = [t for t in query_terms(query) if not any(c.isdigit() for c in t) and len(t) > 3]
     if not wanted:
         return None

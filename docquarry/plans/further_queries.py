@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as X
 from docquarry.functions.answers import citations, prefixed, tidy_answer
 from docquarry.functions.lexical import whole_word, word_start
+from docquarry.functions.registered import register
 from docquarry.functions.vectors import cosine_to, hashed_embedding, norm
 from docquarry.operators import evaluation as E
 from docquarry.operators import learning as L
@@ -258,12 +259,17 @@ def m09_calibration_measures(spark: SparkSession, sf: str) -> DataFrame:
     return E.calibration_error(E.reliability(c, "confidence", "ok")).crossJoin(E.brier_and_log_loss(c, "confidence", "ok"))  # two single rows
 
 
+#: Starts that are compared.
+SEEDS = range(20)
+
+
 @query()
 def m11_starts_compared(spark: SparkSession, sf: str) -> DataFrame:
     x = L.as_features(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding").cache()
     # six categories, and the number of clusters with the best silhouette
     best = L.sweep(x, CLUSTERS).orderBy(F.desc("silhouette"), "k").first()["k"]
-    rows = [(k, mode, seed, L.k_means(x, k, seed, mode)[1]) for k in sorted({6, best}) for mode in ("random", "k-means||") for seed in range(20)]
+    rows = [(k, mode, seed, L.k_means(x, k, seed, mode)[1]) for k in sorted({6, best}) for mode in ("random", "k-means||") for seed in SEEDS]
+    x.unpersist()
     return spark.createDataFrame(rows, "k int, start string, seed int, inertia double").groupBy("k", "start").agg(F.round(F.avg("inertia"), 6).alias("mean"), F.round(F.stddev("inertia"), 6).alias("spread"))
 
 
@@ -294,3 +300,26 @@ def acc3_last_search_of_each_user(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").where(F.trim("props") != "")
     last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     return e.withColumn("r", last).where("r = 1").select("event_id", "user_id", F.substring("props", 1, 500).alias("query_text"))
+
+
+# functions called from SQL
+
+
+@query("SELECT topic_id, CAST(damerau_levenshtein(topic_key, title) AS INT) AS damerau, round(1 - levenshtein(topic_key, title) / greatest(len(topic_key), len(title)), 6) AS similarity, topic_id > 1 AND len(list_filter(range(2, CAST(floor(sqrt(topic_id)) AS BIGINT) + 1), lambda i: topic_id % i = 0)) = 0 AS prime FROM topics")
+def udf_distances_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark)
+    return spark.sql("SELECT topic_id, damerau_distance(topic_key, title) AS damerau, round(similarity(topic_key, title), 6) AS similarity, is_prime(topic_id) AS prime FROM {t}", t=table(spark, sf, "topics"))
+
+
+@query("SELECT doc_id, CAST(p AS INT) AS pattern, CAST(i - 1 AS INT) AS start, CAST(i - 1 + len(w) AS INT) AS \"end\" FROM (SELECT doc_id, text, CAST(unnest(range(1, len(text) + 1)) AS INT) AS i FROM documents WHERE text IS NOT NULL), (VALUES (0, 'audit'), (1, 'budget'), (2, 'dit')) v(p, w) WHERE substr(text, i, len(w)) = w")
+def udf_pattern_matches_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark)
+    return spark.sql("SELECT d.doc_id, m.pattern, m.start, m.end FROM {d} d, LATERAL pattern_matches(d.text, array('audit', 'budget', 'dit')) m", d=table(spark, sf, "documents"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(description, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, CAST(ceil((len(w) - 4) / 8.0) AS INT)) END AS k FROM w), c AS (SELECT doc_id, w, CAST(unnest(range(0, k)) AS INT) AS position FROM n)
+SELECT doc_id, position, array_to_string(w[position * 8 + 1 : position * 8 + 12], ' ') AS text FROM c""")
+def udf_chunks_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark)
+    return spark.sql("SELECT d.doc_id, c.position, c.text FROM {d} d, LATERAL chunks(d.description, 12, 4) c", d=table(spark, sf, "documents"))

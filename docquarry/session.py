@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def reused(path: str, rows: int, build: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The Parquet folder at path where it holds so many rows, else build() written there: a cache that is dropped when the number of its rows is wrong."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        held = spark.read.parquet(path)
+        if held.count() == rows:
+            return held
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

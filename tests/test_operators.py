@@ -335,3 +335,53 @@ def test_any_query_text_can_be_split(text):
         textquery.parse(text)
     except ValueError as error:
         assert str(error)
+
+
+def test_mini_batches_find_plain_clusters(spark):
+    import numpy as np
+
+    from docquarry.operators.learning import mini_batch_k_means
+
+    g = np.random.default_rng(2)
+    rows = [(i, (np.eye(4)[i % 4] * 5 + 0.1 * g.normal(size=4)).tolist()) for i in range(400)] + [(1000, None)]
+    got = {r["row_id"]: r["cluster"] for r in mini_batch_k_means(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", 4, batch=100).collect()}
+    assert set(got) == set(range(400)) and len({(i % 4, c) for i, c in got.items()}) == 4
+    assert mini_batch_k_means(spark.createDataFrame([], "id int, v array<double>"), "id", "v", 4).count() == 0
+
+
+def test_leaving_a_topic_out_forgets_its_words(spark):
+    from docquarry.operators.learning import leave_one_group_out, shared_groups
+
+    rows = [(1, "apple pear", "fruit", "t1"), (2, "pear plum", "fruit", "t2"), (3, "truck car truck truck", "ride", "t3"), (4, "truck bus truck truck", "ride", "t4"), (5, "rocket", "space", "t5"), (6, "", "fruit", "t2")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label string, topic string")
+    got = {r["doc_id"]: r["predicted"] for r in leave_one_group_out(df, "doc_id", "text", "label", "topic").collect()}
+    # no other topic has the label space, so it can't be foretold
+    assert got[1] == got[2] == "fruit" and got[3] == got[4] == "ride" and got[5] != "space" and set(got) == {1, 2, 3, 4, 5, 6}
+    folded = spark.createDataFrame([("a", 0), ("a", 0), ("b", 1), ("c", 0), ("c", 1)], "g string, fold int")
+    assert sorted(tuple(r) for r in shared_groups(folded, "g").collect()) == [(0, 2, 3, 1), (1, 2, 2, 1)]
+
+
+def test_terms_are_counted_within_rows(spark):
+    from docquarry.operators.tfidf import counted_terms
+
+    df = spark.createDataFrame([(1, "Leave the leave policy, leave"), (2, ""), (3, None)], "doc_id int, text string")
+    got = {(r["doc_id"], r["term"]): r["tf"] for r in counted_terms(df, "doc_id", "text").collect()}
+    assert got == {(1, "leave"): 3, (1, "policy"): 1, (1, "leave leave"): 1, (1, "leave policy"): 1, (1, "policy leave"): 1}
+
+
+def test_cascades_and_edits(spark):
+    from docquarry.operators.quality import cascaded, edited_everywhere
+
+    gone = spark.createDataFrame([(1,), (1,)], "doc bigint")
+    child = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id int, ref int")
+    assert sorted(r["id"] for r in cascaded(gone, "doc", {"child": (child, "ref")})["child"].collect()) == [11, 12]
+    edits = spark.createDataFrame([(2, None)], "doc bigint, id int")
+    assert sorted(map(str, edited_everywhere(child, "ref", edits, "doc", "id").collect())) == sorted(map(str, spark.createDataFrame([(10, 1), (None, 2), (12, None)], "id int, ref int").collect()))
+
+
+def test_stored_percentiles_are_values(spark):
+    from docquarry.operators.evaluation import stored_percentiles
+
+    df = spark.createDataFrame([(x,) for x in [5, 1, 9, 3, None, 7]], "x bigint")
+    assert tuple(stored_percentiles(df, "x", low=0.0, middle=0.5, high=0.99).first()) == (1, 5, 9)
+    assert tuple(stored_percentiles(df.where("x = 5"), "x", a=0.9).first()) == (5,) and tuple(stored_percentiles(df.limit(0), "x", a=0.9).first()) == (None,)

@@ -68,3 +68,59 @@ def test_streams(spark, small, tmp_path):
     q.stop()
     rows = spark.sql("select * from kept").collect()
     assert sum(r["seen"] for r in rows) == events.count() and all(len(r["sample"]) == 5 for r in rows)
+
+
+def test_corpus_is_alike_every_time(spark):
+    from docquarry.sources.corpus import corpus, grants
+
+    templates = spark.createDataFrame([("b", "Plan of {town}", "{town} opens at {hour}; {town} closes."), ("a", "Note", "none")], "topic string, title string, body string")
+    slots = {"town": ["Ulm", "Bern", "Graz"], "hour": ["8", "9"]}
+    made = corpus(templates, 30, slots, ["ann", "bob"], 5)
+    rows = made.orderBy("document_id").collect()
+    assert [r["document_id"] for r in rows] == list(range(1, 61)) and [r["topic"] for r in rows] == ["a"] * 30 + ["b"] * 30
+    assert rows == corpus(templates.repartition(3), 30, slots, ["ann", "bob"], 5).orderBy("document_id").collect()
+    for r in rows[30:]:
+        town = r["body"].split()[0]
+        assert town in slots["town"] and r["body"].endswith(f"{town} closes.") and r["title"].startswith(f"Plan of {town}")
+    assert len({r["body"] for r in rows[30:]}) > 3 and rows[0]["title"] == "Note (A)" and rows[27]["title"] == "Note"
+    given = grants(made, ["ann", "bob"], 12).collect()
+    owner = {r["document_id"]: r["owner"] for r in rows}
+    assert len(given) == 24 and all(owner[g["document_id"]] != g["username"] for g in given)
+
+
+def test_a_cache_of_the_wrong_length_is_built_anew(spark, tmp_path):
+    from docquarry.session import reused
+
+    built = []
+
+    def build(n):
+        return lambda: built.append(n) or spark.range(n)
+
+    path = str(tmp_path / "cache")
+    assert [reused(path, n, build(n), spark).count() for n in (3, 3, 5)] == [3, 3, 5]
+    assert built == [3, 5]
+
+
+def test_keys_are_appended_once(spark, tmp_path):
+    from docquarry.sources.files import append_keyed
+
+    path = str(tmp_path / "keyed")
+    append_keyed(spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string"), path, "k")
+    append_keyed(spark.createDataFrame([(2, "z"), (3, "c")], "k int, v string"), path, "k")
+    append_keyed(spark.createDataFrame([], "k int, v string"), path, "k")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_intermediates_are_deleted(spark):
+    import os
+
+    from docquarry.session import drop_materialised, materialise, release, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    kept, dropped = materialise(spark.range(3), "kept"), materialise(spark.range(3), "dropped")
+    drop_materialised(dropped)
+    names = os.listdir(folder)
+    assert any(n.startswith("kept-") for n in names) and not any(n.startswith("dropped-") for n in names)
+    assert kept.count() == 3
+    release(spark)
+    assert not any(n.startswith("kept-") for n in os.listdir(folder))
