@@ -48,7 +48,9 @@ def recipes(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple
 
 
 def pack(df: DataFrame, row_id: str, text: str, specs: DataFrame, spec_id: str, capacity: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(spec_id, row_id, piece, token_start, token_end, container): every text in containers of every spec.
+    """(spec_id, row_id, piece, token_start, token_end, class, container): every text in containers of every spec.
+
+    class is the reciprocal class of a piece, how many of its size a container holds; null for no tokens.
 
     Containers of a spec are numbered from 0. A text over the capacity is split into pieces of exactly
     the capacity, each a container of its own, and a rest that is packed like any other text; no other
@@ -71,8 +73,9 @@ def pack(df: DataFrame, row_id: str, text: str, specs: DataFrame, spec_id: str,
     parts = F.greatest(F.ceil(F.col("n") / F.col("capacity")), F.lit(1))
     items = each.withColumn("piece", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).withColumn("token_start", F.col("piece") * F.col("capacity"))
     items = items.withColumn("token_end", F.least("n", F.col("token_start") + F.col("capacity"))).withColumn("size", F.col("token_end") - F.col("token_start"))
+    items = items.withColumn("class", F.when(F.col("size") > 0, F.floor(F.col("capacity") / F.col("size"))))
     part = F.pmod(F.xxhash64("row_id", "piece"), F.lit(-(-sized.count() // PART_ROWS) or 1)).cast("int")
-    items = items.withColumn("part", part).select("spec_id", "size", "part", "row_id", "piece", "token_start", "token_end")
+    items = items.withColumn("part", part).select("spec_id", "size", "part", "row_id", "piece", "token_start", "token_end", "class")
     counted = materialise(items.groupBy("spec_id", "size", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram: dict[int, dict[int, int]] = {}
     for x in counted.where("size > 0").groupBy("spec_id", "size").agg(F.sum("n").alias("n")).collect():
@@ -95,10 +98,14 @@ def pack(df: DataFrame, row_id: str, text: str, specs: DataFrame, spec_id: str,
     placed = numbered.join(near, ["spec_id", "size", "part"]).withColumn("number", F.col("number") + F.col("before"))
     slot = F.get(F.filter("slots", lambda s: (s["low"] <= F.col("number")) & (F.col("number") < s["high"])), F.lit(0))
     placed = placed.withColumn("slot", slot).withColumn("container", (F.col("slot.first_bin") + F.floor((F.col("number") - F.col("slot.low")) / F.col("slot.each_bin"))).cast("long"))
-    return placed.select("spec_id", "row_id", "piece", "token_start", "token_end", "container")
+    return placed.select("spec_id", "row_id", "piece", "token_start", "token_end", "class", "container")
 
 
 def fill_report(packed: DataFrame, specs: DataFrame, spec_id: str, capacity: str) -> DataFrame:
-    """(spec_id, containers, tokens, fill): how full the containers of each spec are."""
-    totals = packed.groupBy("spec_id").agg(F.coalesce(F.max("container") + 1, F.lit(0)).alias("containers"), F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"))
-    return totals.join(F.broadcast(specs.select(F.col(spec_id).alias("spec_id"), F.col(capacity).alias("capacity"))), "spec_id").select("spec_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))
+    """(spec_id, containers, tokens, fill, class_containers, class_fill): how full the containers of each spec are, and how full they would be if each held only pieces of one class, a fixed number each."""
+    size = F.col("token_end") - F.col("token_start")
+    classes = packed.groupBy("spec_id", "class").agg(F.max("container").alias("last"), F.sum(size).alias("tokens"), F.when(F.col("class") > 0, F.ceil(F.count(F.lit(1)) / F.col("class"))).alias("own"))
+    totals = classes.groupBy("spec_id").agg(F.coalesce(F.max("last") + 1, F.lit(0)).alias("containers"), F.sum("tokens").alias("tokens"), F.coalesce(F.sum("own"), F.lit(0)).alias("class_containers"))
+    room = lambda c: F.col("tokens") / (F.col(c) * F.col("capacity"))
+    joined = totals.join(specs.select(F.col(spec_id).alias("spec_id"), F.col(capacity).alias("capacity")), "spec_id")
+    return joined.select("spec_id", "containers", "tokens", room("containers").alias("fill"), "class_containers", room("class_containers").alias("class_fill"))

@@ -38,13 +38,13 @@ def _topic_records(spark: SparkSession, sf_dir: str, former: bool = False) -> tu
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, known = _topic_records(spark, sf_dir)
     least = known.groupBy("component").agg(F.min("topic_id").alias("topic_id"))
-    return records.join(F.broadcast(least), "component").select(F.col("row_id").alias("doc_id"), F.col("topic_id").cast("long").alias("topic_id"))
+    return records.join(least, "component").select(F.col("row_id").alias("doc_id"), F.col("topic_id").cast("long").alias("topic_id"))
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, known = _topic_records(spark, sf_dir, former=True)
     kinds = known.select("entity", "category").distinct()
-    asked = records.join(F.broadcast(kinds), "entity", "left").withColumn("tie", F.coalesce("component", "entity"))
+    asked = records.join(kinds, "entity", "left").withColumn("tie", F.coalesce("component", "entity"))
     return grouped_splits(asked, "row_id", "tie", "category").withColumnRenamed("row_id", "doc_id")
 
 

@@ -69,21 +69,31 @@ def _place(weights: list[tuple[str, int, list[str]]], targets: dict[str, float])
     return placed
 
 
-def grouped_splits(records: DataFrame, row_id: str, group: str, category: str, shares: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 17) -> DataFrame:
+def grouped_splits(records: DataFrame, row_id: str, group: str, category: str, shares: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 17, earlier: DataFrame | None = None) -> DataFrame:
     """(row_id, split) with all records of one group in the same split and every category in each split, where it has three groups.
 
     A group's hash decides by proportional ranges. Hash ranges alone can't keep the proportions where
     single groups hold a large part of the records, nor promise every category in each split; so the
     groups over HEAVY of all records (at most 1 / HEAVY) and the three with the least hash of each
     category (at most MAX_CATEGORIES) are placed first by weight, and the ranges take up what is left.
+    Placement by weight looks at all groups, so a group may lie elsewhere when the data have grown;
+    earlier, a frame (group, split) of placements to keep, each group once, fixes those groups first.
     A null group makes the record its own group, a null category counts for none; an empty table gives
     an empty result. Repeated rows of one group go the same way.
     """
     r = records.select(F.col(row_id).alias("row_id"), F.coalesce(F.concat(F.lit("g:"), F.col(group).cast("string")), F.concat(F.lit("r:"), F.col(row_id).cast("string"))).alias("g"), F.col(category).alias("c"))
     spot = F.xxhash64(F.col("g"), F.lit(seed))
-    counted = materialise(r.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")), "groups")
+    targets = dict.fromkeys(SPLITS, 0.0)
+    if earlier is not None:
+        kept = earlier.where(F.col("group").isNotNull() & F.col("split").isin(*SPLITS)).select(F.concat(F.lit("g:"), F.col("group").cast("string")).alias("g"), F.col("split").alias("kept"))
+        r = materialise(r.join(kept, "g", "left"), "kept")
+        for x in r.where("kept is not null").groupBy("kept").agg(F.count(F.lit(1)).alias("n")).collect():
+            targets[x["kept"]] -= x["n"]
+    else:
+        r = r.withColumn("kept", F.lit(None).cast("string"))
+    counted = materialise(r.where("kept is null").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")), "groups")
     sized = counted.groupBy("g").agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("c")).alias("cs"))
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    total = (counted.agg(F.sum("n")).first()[0] or 0) - sum(targets.values())
     if counted.select("c").distinct().limit(MAX_CATEGORIES + 1).count() > MAX_CATEGORIES:
         raise ValueError(f"more than {MAX_CATEGORIES} categories to cover")
     # the least hash three times over; each round is a map-side combined minimum per category
@@ -95,7 +105,7 @@ def grouped_splits(records: DataFrame, row_id: str, group: str, category: str, s
         left = left.join(F.broadcast(least.select("g")), "g", "left_anti")
     chosen = sized.where(F.col("n") >= max(2.0, total * HEAVY)).select("g").unionByName(reserved.select("g")).distinct()
     weights = [(x["g"], x["n"], list(x["cs"])) for x in sized.join(F.broadcast(chosen), "g", "left_semi").collect()]
-    targets = {s: share * total for s, share in zip(SPLITS, shares, strict=True)}
+    targets = {s: share * total + targets[s] for s, share in zip(SPLITS, shares, strict=True)}
     placed = _place(sorted(weights), targets) if weights else {}
     for component, n, _ in weights:
         targets[placed[component]] -= n
@@ -105,4 +115,4 @@ def grouped_splits(records: DataFrame, row_id: str, group: str, category: str, s
     unit = F.pmod(spot, F.lit(1 << 40)) / F.lit(float(1 << 40))
     by_range = F.when(unit < edges[0], SPLITS[0]).when(unit < edges[1], SPLITS[1]).otherwise(SPLITS[2])
     fixed = records.sparkSession.createDataFrame(list(placed.items()), "g string, fixed string")
-    return r.join(F.broadcast(fixed), "g", "left").select("row_id", F.coalesce("fixed", by_range).alias("split"))
+    return r.join(F.broadcast(fixed), "g", "left").select("row_id", F.coalesce("kept", "fixed", by_range).alias("split"))

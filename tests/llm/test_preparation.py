@@ -207,6 +207,17 @@ def test_splits_keep_groups_shares_and_categories(spark):
     for c in ("c0", "c1", "c2", "c3"):
         assert {split[i] for i, _, x in rows if x == c} == {"train", "validation", "test"}
     assert grouped_splits(df.limit(0), "id", "grp", "c").count() == 0
+    # groups that lie somewhere already stay there when the data grow
+    first = df.where("id % 2 = 0")
+    before = grouped_splits(first, "id", "grp", "c").join(first.select(F.col("id").alias("row_id"), F.col("grp").alias("group")), "row_id").where("group is not null").select("group", "split").distinct()
+    held = {r["group"]: r["split"] for r in before.collect()}
+    after = grouped_splits(df.drop("split"), "id", "grp", "c", earlier=before).collect()
+    assert len(after) == len(rows)
+    now = {r["row_id"]: r["split"] for r in after}
+    assert all(now[i] == held[g] for i, g, _ in rows if g in held)
+    assert all(len({now[i] for i, g, _ in rows if g == x}) == 1 for x in {g for _, g, _ in rows if g})
+    m = Counter(now.values())
+    assert abs(m["train"] / len(rows) - 0.8) < 0.04
 
 
 # 4
@@ -352,7 +363,9 @@ def test_packing_cases(spark):
         assert split == {i for i, n in sizes.items() if n > capacity}
         assert sum(fill.values()) / (len(fill) * capacity) > 0.95
         assert {r["row_id"] for r in own if r["container"] is None} == {500, 501}
-    assert fill_report(out, specs, "spec", "capacity").count() == 2
+    report = fill_report(out, specs, "spec", "capacity").collect()
+    assert len(report) == 2 and all(r["class_fill"] <= r["fill"] <= 1 and r["class_containers"] >= r["containers"] for r in report)
+    assert all(r["class"] == {1: 64, 2: 300}[r["spec_id"]] // (r["token_end"] - r["token_start"]) for r in rows if r["container"] is not None)
     assert pack(df.limit(0), "id", "text", specs, "spec", "capacity").count() == 0
     assert pack(df, "id", "text", specs.limit(0), "spec", "capacity").count() == 0
 
