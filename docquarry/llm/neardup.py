@@ -92,8 +92,11 @@ class Covering:
 
 
 #: Symbols of which two bits each are kept for a first estimate, and how many standard deviations it may lie under the limit.
-DIGEST = 64
+DIGEST = 128
 DEVIATIONS = 5.0
+#: Each word of a digest holds two bits of so many symbols.
+A_WORD = 32
+DIGESTS = [f"digest_{k + 1}" for k in range(DIGEST // A_WORD)]
 
 
 def _sketches(kind: str, size: int, covering: Covering) -> Callable:
@@ -110,12 +113,12 @@ def _sketches(kind: str, size: int, covering: Covering) -> Callable:
                 sketch = np.stack([np.minimum.reduceat(h * a, first) for a in odd])
                 prints = [np.add.reduceat(mix(h + np.uint64(salt)), first).view(np.int64) for salt in (1, 2)]
                 bits = mix(sketch[:DIGEST]) & np.uint64(3)
-                shift = (np.arange(DIGEST // 2, dtype=np.uint64) * np.uint64(2))[:, None]
-                digest = [np.bitwise_or.reduce(half << shift, axis=0).view(np.int64) for half in (bits[: DIGEST // 2], bits[DIGEST // 2 :])]
+                shift = (np.arange(A_WORD, dtype=np.uint64) * np.uint64(2))[:, None]
+                digest = [np.bitwise_or.reduce(bits[k : k + A_WORD] << shift, axis=0).view(np.int64) for k in range(0, DIGEST, A_WORD)]
                 marks = covering.signatures(sketch).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(rows.size + 1, dtype=np.int32) * marks.shape[1], pa.array(marks.ravel()))
                 columns = [batch.column("id").slice(low, len(texts)).take(pa.array(rows)), pa.array(counts.astype(np.int32)), *map(pa.array, prints), *map(pa.array, digest), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print_1", "print_2", "digest_1", "digest_2", "marks"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print_1", "print_2", *DIGESTS, "marks"])
 
     return run
 
@@ -135,12 +138,12 @@ def _sets(kind: str, size: int) -> Callable:
 def _agreeing(a: Column, b: Column) -> Column:
     """Symbols of which both bits agree, in one digest word."""
     x = a.bitwiseXOR(b)
-    return F.lit(DIGEST // 2) - F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+    return F.lit(A_WORD) - F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
 
 
 #: Members of a bucket that are compared with each other in one piece; buckets that a sample of the rows shows to be larger are cut into pairs of blocks.
 BUCKET = 4000
-SIZED = 1 / 16
+SIZED = 1 / 64
 
 
 def _bucket_pairs(leaders: DataFrame, bucket: int, sized: float) -> DataFrame:
@@ -175,14 +178,14 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str = "words",
 
     Copies are collapsed to classes by a 128-bit fingerprint first, so a text that a third of all rows
     share is one row from then on. Classes that share a signature under any mask of the covering are
-    candidates; a 128-bit digest that travels with the class drops those whose estimate lies more than
+    candidates; a 256-bit digest that travels with the class drops those whose estimate lies more than
     DEVIATIONS standard deviations under the limit (a chance of 3e-7 for a pair at the limit); the
     rest is verified on the whole sets. Buckets are joined, not gathered, large ones in pairs of
     blocks. The chance of losing a pair at the limit is covering.miss(limit).
     """
     asked = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where("text is not null and text <> ''")
     of = asked.dtypes[0][1]
-    rows = materialise(asked.mapInArrow(_sketches(kind, size, covering), f"id {of}, n int, print_1 bigint, print_2 bigint, digest_1 bigint, digest_2 bigint, marks array<bigint>"), "sketches")
+    rows = materialise(asked.mapInArrow(_sketches(kind, size, covering), f"id {of}, n int, print_1 bigint, print_2 bigint, {', '.join(f'{d} bigint' for d in DIGESTS)}, marks array<bigint>"), "sketches")
     prints = ["n", "print_1", "print_2"]
     least = rows.groupBy(*prints).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
     # only classes of several rows need looking up; the others are their own class
@@ -193,13 +196,14 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str = "words",
     leaders = rows.join(rest, "id", "left_anti")
     pairs = _bucket_pairs(leaders, bucket, sized)
     n_rows = rows.count()
-    brief = rows.select("id", "n", "digest_1", "digest_2").dropDuplicates(["id"])
+    brief = rows.select("id", "n", *DIGESTS).dropDuplicates(["id"])
     for side in "ab":
-        pairs = pairs.join(broadcast_if_small(brief.select([F.col(c).alias(f"{'class' if c == 'id' else c}_{side}") for c in brief.columns]), n_rows, 128), f"class_{side}")
+        pairs = pairs.join(broadcast_if_small(brief.select([F.col(c).alias(f"{'class' if c == 'id' else c}_{side}") for c in brief.columns]), n_rows, 160), f"class_{side}")
     match = limit + (1 - limit) / 4
     floor = DIGEST * match - DEVIATIONS * (DIGEST * match * (1 - match)) ** 0.5
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(limit)
-    likely = pairs.where(sized & (_agreeing(F.col("digest_1_a"), F.col("digest_1_b")) + _agreeing(F.col("digest_2_a"), F.col("digest_2_b")) >= floor)).select("class_a", "class_b", "n_a", "n_b")
+    agreeing = sum((_agreeing(F.col(f"{d}_a"), F.col(f"{d}_b")) for d in DIGESTS), F.lit(0))
+    likely = pairs.where(sized & (agreeing >= floor)).select("class_a", "class_b", "n_a", "n_b")
     likely = materialise(likely, "likely")
     n_likely = likely.count()
     involved = likely.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct()
