@@ -29,7 +29,8 @@ class PermutationIndex:
     fitted on a sample; pivots beyond most would make finding the nearest ones too dear. branch: how many
     pivots share vectors with one pivot, a low guess. depth: pivots that name a file together (None: as
     many as keep the candidates of a vector near posted * file). reranked: candidates of the least
-    footrule distance that are reranked in each file. shelf: vectors of the collection for each shelf;
+    footrule distance that are reranked in each file. spread: shelves that a vector is sent to at most,
+    those of the most and nearest of its posted pivots. shelf: vectors of the collection for each shelf;
     files of like pivots stand on one shelf, so that a vector posted under several of them is sent there
     once. block: vectors of one shelf in one task; larger shelves are worked off in pairs of blocks, all
     of them.
@@ -43,6 +44,7 @@ class PermutationIndex:
     branch: int = 24
     depth: int | None = None
     reranked: int = 320
+    spread: int = 4
     shelf: int = 8192
     block: int = 65536
 
@@ -116,6 +118,21 @@ class Files:
     posted: int
     depth: int
 
+    def shelves_of(self, ranks: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray]:
+        """(shelves in order, which of them count): each vector's distinct shelves, at most spread, those whose files weigh most by the nearness of their pivots."""
+        _, shelf = self.of(ranks)
+        near = self.posted - np.argsort(ranks[:, : self.posted], axis=1)
+        chosen = np.array(list(combinations(range(near.shape[1]), min(self.depth, near.shape[1]))))
+        weight = near[:, chosen].sum(axis=2)
+        order = np.argsort(shelf, axis=1, kind="stable")
+        shelf, weight = np.take_along_axis(shelf, order, 1), np.take_along_axis(weight, order, 1)
+        fresh = np.ones(shelf.shape, bool)
+        fresh[:, 1:] = shelf[:, 1:] != shelf[:, :-1]
+        total = np.where(fresh, ((shelf[:, :, None] == shelf[:, None, :]) * weight[:, None, :]).sum(axis=2), -1)
+        kept = np.zeros(shelf.shape, bool)
+        np.put_along_axis(kept, np.argsort(-total, axis=1, kind="stable")[:, :spread], True, 1)
+        return shelf, kept & fresh
+
     def of(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(file, shelf) of each vector's postings: files are named by every choice of depth of its posted pivots."""
         held = np.sort(ranks[:, : self.posted].astype(np.int64), axis=1)
@@ -134,7 +151,7 @@ def _values(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     return np.asarray(array.flatten()).reshape(-1, dimension)
 
 
-def _ordered(pivots: np.ndarray, dimension: int, order: int, files: Files):
+def _ordered(pivots: np.ndarray, dimension: int, order: int, files: Files, spread: int):
     table = pivots.astype(np.float32).T.copy()
 
     def lists(values: np.ndarray, keep: np.ndarray) -> pa.ListArray:
@@ -151,10 +168,9 @@ def _ordered(pivots: np.ndarray, dimension: int, order: int, files: Files):
                 found.append(np.take_along_axis(head, np.lexsort((head, np.take_along_axis(near, head, 1)), axis=1), 1))
             if found:
                 ranks = np.concatenate(found).astype(np.int16)
-                shelves = np.sort(files.of(ranks)[1].astype(np.int32), axis=1)
-                fresh = np.ones(shelves.shape, bool)
-                fresh[:, 1:] = shelves[:, 1:] != shelves[:, :-1]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), _packed(values), _packed(ranks), lists(shelves, fresh)], names=["id", "vector", "ranks", "shelves"])
+                held = [files.shelves_of(ranks[low : low + 1024], spread) for low in range(0, len(ranks), 1024)]
+                shelves, kept = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _packed(values), _packed(ranks), lists(shelves.astype(np.int32), kept)], names=["id", "vector", "ranks", "shelves"])
 
     return run
 
@@ -325,7 +341,7 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 5, dimensi
     groups, parts = index.shelves(n, len(pivots))
     files = Files(arranged(pivots, groups), parts, index.posted, index.pivots_of_a_file(n))
     schema = "id bigint, vector binary, ranks binary, shelves array<int>"
-    of = lambda frame: frame.mapInArrow(_ordered(pivots, dimension, index.order, files), schema)
+    of = lambda frame: frame.mapInArrow(_ordered(pivots, dimension, index.order, files, index.spread), schema)
     posts, units = _units(of(leaders), leaders, n, files, index, of)
     found = posts.repartitionById(units, F.col("unit")).mapInArrow(_rank(k, index.reranked, least, files), "a bigint, b bigint, cosine double")
     # one exchange serves both the distinct pairs and the ranking
