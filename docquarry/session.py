@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -38,12 +37,14 @@ _written: dict[str, list[str]] = {}
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
 
-    What is still there when the program or release() ends it is deleted then: results are lazy and read it until they are used.
+    It is deleted by drop_materialised or release, else when the driver ends: results are lazy and read it until they are used.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -78,18 +79,6 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-def _release_at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    try:
-        if spark is not None and spark.sparkContext.applicationId in _written:
-            release(spark)
-    except Exception:  # noqa: BLE001 - the JVM may be gone
-        pass
-
-
-atexit.register(_release_at_exit)
-
-
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast when its counted rows fit the limit, else as it is (a shuffle join follows)."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
