@@ -141,30 +141,50 @@ def _agreeing(a: Column, b: Column) -> Column:
     return F.lit(A_WORD) - F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
 
 
+def _least_agreeing(symbols: int, chance: float) -> float:
+    """How many of so many symbols agree at least, each agreeing with the given chance, but for DEVIATIONS standard deviations."""
+    return symbols * chance - DEVIATIONS * (symbols * chance * (1 - chance)) ** 0.5
+
+
+#: Columns of the short digest: one bit of each symbol of the digest, those of two words in one.
+BITS = [f"bits_{k + 1}" for k in range(len(DIGESTS) // 2)]
+
+
+def _one_bit_each() -> list[Column]:
+    low = [F.col(d).bitwiseAND(F.lit(0x5555555555555555)) for d in DIGESTS]
+    return [low[2 * k].bitwiseOR(F.shiftleft(low[2 * k + 1], 1)).alias(b) for k, b in enumerate(BITS)]
+
+
 #: Members of a bucket that are compared with each other in one piece; buckets that a sample of the rows shows to be larger are cut into pairs of blocks.
 BUCKET = 4000
 SIZED = 1 / 64
 
 
-def _bucket_pairs(leaders: DataFrame, bucket: int, sized: float) -> DataFrame:
-    """(class_a, class_b), class_a < class_b: all pairs that share a bucket, each once.
+def _bucket_pairs(leaders: DataFrame, limit: float, bucket: int, sized: float) -> DataFrame:
+    """(class_a, class_b), class_a < class_b: the pairs that share a bucket and whose short digests don't rule them out, each once.
 
     A bucket of many different texts would be one task's work, quadratic in its size. Its members fall
     into blocks by hash, and each pair of blocks is a join key of its own. The sample decides only how
-    the work is cut: every pair of blocks is joined.
+    the work is cut: every pair of blocks is joined. Pairs of unlike texts that meet by chance grow with
+    the square of the rows; the short digest drops them where they meet, before anything of a pair is
+    shuffled.
     """
-    spread = leaders.select("id", F.explode("marks").alias("mark"))
+    spread = leaders.select("id", *_one_bit_each(), F.explode("marks").alias("mark"))
     some = spread.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(round(1 / sized))) == 0)
     hot = materialise(some.groupBy("mark").agg(F.ceil(F.count(F.lit(1)) / (bucket * sized)).cast("int").alias("blocks")).where("blocks > 1"), "hot")
     n_hot = hot.count()
+    differing = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BITS), F.lit(0))
+    # a bit of unlike symbols agrees with a chance of one half
+    alike = DIGEST - differing >= _least_agreeing(DIGEST, limit + (1 - limit) / 2)
+    side = lambda x: [F.col("id").alias(f"class_{x}"), *(F.col(b).alias(f"{b}_{x}") for b in BITS)]
     if not n_hot:
-        a, b = (spread.select("mark", F.col("id").alias(f"class_{x}")) for x in "ab")
-        return a.join(b, "mark").where("class_a < class_b").select("class_a", "class_b").distinct()
+        a, b = (spread.select("mark", *side(x)) for x in "ab")
+        return a.join(b, "mark").where((F.col("class_a") < F.col("class_b")) & alike).select("class_a", "class_b").distinct()
     posts = spread.join(broadcast_if_small(hot, n_hot, 48), "mark", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     posts = posts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    posts = posts.select("mark", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block")
-    a, b = (posts.select("mark", "x", "y", F.col("id").alias(f"class_{x}"), F.col("block").alias(f"block_{x}")) for x in "ab")
-    met = a.join(b, ["mark", "x", "y"]).where("class_a < class_b and (x = y or block_a <> block_b)")
+    posts = posts.select("mark", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", *BITS)
+    a, b = (posts.select("mark", "x", "y", *side(x), F.col("block").alias(f"block_{x}")) for x in "ab")
+    met = a.join(b, ["mark", "x", "y"]).where(F.expr("class_a < class_b and (x = y or block_a <> block_b)") & alike)
     return met.select("class_a", "class_b").distinct()
 
 
@@ -178,9 +198,10 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str = "words",
 
     Copies are collapsed to classes by a 128-bit fingerprint first, so a text that a third of all rows
     share is one row from then on. Classes that share a signature under any mask of the covering are
-    candidates; a 256-bit digest that travels with the class drops those whose estimate lies more than
-    DEVIATIONS standard deviations under the limit (a chance of 3e-7 for a pair at the limit); the
-    rest is verified on the whole sets. Buckets are joined, not gathered, large ones in pairs of
+    candidates; half of a 256-bit digest travels with each signature, the whole digest is looked up for
+    the pairs that this leaves, and either drops those whose estimate lies more than DEVIATIONS standard
+    deviations under the limit (a chance of 3e-7 each for a pair at the limit); the rest is verified on
+    the whole sets. Buckets are joined, not gathered, large ones in pairs of
     blocks. The chance of losing a pair at the limit is covering.miss(limit).
     """
     asked = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where("text is not null and text <> ''")
@@ -194,13 +215,12 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str = "words",
     n_copied = copied.count()
     rest = broadcast_if_small(copied.where("id <> class").select("id"), n_copied, 48)
     leaders = rows.join(rest, "id", "left_anti")
-    pairs = _bucket_pairs(leaders, bucket, sized)
+    pairs = _bucket_pairs(leaders, limit, bucket, sized)
     n_rows = rows.count()
     brief = rows.select("id", "n", *DIGESTS).dropDuplicates(["id"])
     for side in "ab":
         pairs = pairs.join(broadcast_if_small(brief.select([F.col(c).alias(f"{'class' if c == 'id' else c}_{side}") for c in brief.columns]), n_rows, 160), f"class_{side}")
-    match = limit + (1 - limit) / 4
-    floor = DIGEST * match - DEVIATIONS * (DIGEST * match * (1 - match)) ** 0.5
+    floor = _least_agreeing(DIGEST, limit + (1 - limit) / 4)
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(limit)
     agreeing = sum((_agreeing(F.col(f"{d}_a"), F.col(f"{d}_b")) for d in DIGESTS), F.lit(0))
     likely = pairs.where(sized & (agreeing >= floor)).select("class_a", "class_b", "n_a", "n_b")

@@ -258,6 +258,21 @@ def test_near_duplicates_agree_with_brute_force(spark, kind, size, limit, coveri
     assert len(groups) == len([1 for _, t in texts if brute([(1, t), (2, t)], kind, size, limit)])
 
 
+@pytest.mark.parametrize("bucket", [4000, 2])
+def test_unlike_members_of_a_bucket_make_no_pair(spark, bucket):
+    from docquarry.llm.neardup import DIGESTS, _bucket_pairs
+
+    # three unlike digests, four rows each, all in one bucket; those of a digest differ in a few symbols
+    draw = random.Random(5)
+    rows = []
+    for kind in range(3):
+        words = [draw.getrandbits(64) for _ in DIGESTS]
+        rows += [(4 * kind + k, [1, 2], *(w - (1 << 64) if w >> 63 else w for w in (w ^ (1 << draw.randrange(64)) for w in words))) for k in range(4)]
+    leaders = spark.createDataFrame(rows, "id int, marks array<bigint>, " + ", ".join(f"{d} bigint" for d in DIGESTS))
+    got = sorted(tuple(r) for r in _bucket_pairs(leaders, 0.7, bucket, 1.0).collect())
+    assert got == [(a, b) for a in range(12) for b in range(a + 1, 12) if a // 4 == b // 4]
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id int, text string")
     members, links = near_duplicates(df, "id", "text")
