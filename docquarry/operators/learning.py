@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -16,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators.components import connected_components
-from docquarry.operators.tfidf import counted_terms, grams
-from docquarry.session import materialise
+from docquarry.operators.tfidf import grams, term_counts
+from docquarry.session import broadcast_if_small, materialise
 
 MODELS = {
     "logistic": lambda: LogisticRegression(featuresCol="x", labelCol="y", maxIter=30),
@@ -73,35 +75,71 @@ def shared_groups(df: DataFrame, group: str) -> DataFrame:
     return each.join(spread, group).groupBy("fold").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.count_if(F.col("folds") > 1).alias("leaked"))
 
 
-def leave_one_group_out(df: DataFrame, row_id: str, text: str, label: str, group: str) -> DataFrame:
+#: Rows of a group that are scored in one piece.
+SLOT_ROWS = 4096
+
+
+def leave_one_group_out(df: DataFrame, row_id: str, text: str, label: str, group: str, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """(row_id, group, label, predicted): each row by a multinomial Bayes model of all groups but its own, on single words.
 
     Counts are additive: the model without a group is the whole model's counts less the group's, so all
-    models come from two aggregations and nothing is fitted again. Smoothing adds one to each count; a
+    models come from one aggregation and nothing is fitted again. Smoothing adds one to each count; a
     label that only the own group has isn't predicted; ties go to the first label. Labels are few.
+
+    Rows fall into slots, parts of a group of about slot_rows rows. What is shuffled by terms are the
+    terms of slots, not of rows; a slot's rows then meet what each term gains each label in one place.
+    A term that only one group holds gains nothing for any label of that group and is left out.
     """
-    terms = counted_terms(df.select(row_id, text), row_id, text, 1)
-    base = df.select(row_id, F.col(label).alias("label"), F.col(group).alias("group"))
-    posts = materialise(terms.join(base, row_id), "posts")
-    per = posts.groupBy("group", "label", "term").agg(F.sum("tf").alias("n"))
-    whole = posts.groupBy("label", "term").agg(F.sum("tf").alias("n"))
-    size = posts.groupBy("label").agg(F.sum("tf").alias("total"))
-    own_size = posts.groupBy("group", "label").agg(F.sum("tf").alias("own_total"))
-    rows, own_rows = base.groupBy("label").agg(F.count(F.lit(1)).alias("docs")), base.groupBy("group", "label").agg(F.count(F.lit(1)).alias("own_docs"))
+    base = df.select(F.col(row_id).alias("id"), F.col(label).alias("label"), F.col(group).alias("group"), F.col(text).alias("text"))
+    sizes = materialise(base.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / slot_rows).alias("slots")), "sizes")
+    slotted = base.join(broadcast_if_small(sizes, sizes.count(), 128), "group").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
+    counted = slotted.select("id", "label", "group", "slot", term_counts(F.col("text"), 1).alias("c"))
+    rows = materialise(counted.select("id", "label", "group", "slot", F.col("c.term").alias("terms"), F.col("c.tf").alias("tfs")), "rows")
+    words = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+    held = materialise(rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("docs"), F.sum(words).alias("words")), "held")
+    labels = sorted(r[0] for r in held.select("label").where("label is not null").distinct().collect())
+    posts = rows.select("group", "slot", "label", F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("c")).select("group", "slot", "label", "c.term", "c.tf")
     n_terms = posts.select(F.count_distinct("term")).scalar()
-    # for every group and label what is left without the group; labels times groups
-    left = own_rows.select("group").distinct().crossJoin(rows.join(size, "label", "left")).join(own_rows, ["group", "label"], "left").join(own_size, ["group", "label"], "left")
+
+    # what is left of each label without each group
     zero = lambda c: F.coalesce(c, F.lit(0))
-    left = left.select("group", "label", (F.col("docs") - zero(F.col("own_docs"))).alias("docs"), (zero(F.col("total")) - zero(F.col("own_total")) + n_terms).alias("total")).where("docs > 0")
-    # terms of a row against all labels: one small array of labels a row
-    seen = posts.select(row_id, "group", "term", "tf").join(whole.groupBy("term").agg(F.collect_list(F.struct("label", "n")).alias("held")), "term").join(per.groupBy("group", "term").agg(F.collect_list(F.struct("label", "n")).alias("own")), ["group", "term"])
-    gain = lambda x: F.struct(x["label"].alias("label"), (x["n"] - zero(F.get(F.transform(F.filter("own", lambda y: y["label"] == x["label"]), lambda y: y["n"]), F.lit(0)))).alias("n"))
-    found = seen.select(row_id, "tf", F.explode(F.transform("held", gain)).alias("g")).groupBy(row_id, "g.label").agg(F.sum(F.col("tf") * F.log(F.col("g.n") + 1)).alias("s"))
-    lengths = posts.groupBy(row_id).agg(F.sum("tf").alias("words"))
-    every = base.select(row_id, "group", F.col("label").alias("truth")).join(left, "group").join(lengths, row_id, "left").join(found, [row_id, "label"], "left")
-    score = F.log("docs") + zero(F.col("s")) - zero(F.col("words")) * F.log("total")
-    best = every.groupBy(row_id, "group", "truth").agg(F.min_by("label", F.struct(-F.round(score, 6), "label")).alias("predicted"))
-    return best.select(row_id, "group", F.col("truth").alias("label"), "predicted")
+    each = lambda of: [zero(F.sum(F.when(F.col("label") == x, F.col(of)))).alias(f"{of}_{i}") for i, x in enumerate(labels)]
+    whole = held.agg(*(c.alias(f"all_{of}_{i}") for of in ("docs", "words") for i, c in enumerate(each(of))))
+    left = held.groupBy("group").agg(*each("docs"), *each("words")).join(F.broadcast(whole), F.lit(True), "cross")
+    less = lambda of, i: F.col(f"all_{of}_{i}") - F.col(f"{of}_{i}")
+    left = left.select("group", F.array(*(F.struct(F.lit(x).alias("label"), less("docs", i).alias("docs"), (less("words", i) + n_terms).alias("total")) for i, x in enumerate(labels))).alias("left"))
+
+    # terms of a slot with what each gains each label
+    counts = posts.groupBy("group", "slot", "term").agg(*each("tf"))
+    by_term, by_group = Window.partitionBy("term"), Window.partitionBy("term", "group")
+    over = [F.sum(f"tf_{i}").over(w).alias(f"{n}_{i}") for n, w in (("all", by_term), ("own", by_group)) for i in range(len(labels))]
+    gains = counts.select("group", "slot", "term", *over, F.min("group").over(by_term).alias("low"), F.max("group").over(by_term).alias("high")).where("low <> high")
+    gains = gains.select("group", "slot", "term", *(F.log(F.col(f"all_{i}") - F.col(f"own_{i}") + 1).alias(f"gain_{i}") for i in range(len(labels))))
+
+    def run(own: pa.Table, gained: pa.Table) -> pa.Table:
+        lists = own.column("terms").combine_chunks()
+        tf = own.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        at = pc.index_in(lists.flatten(), value_set=gained.column("term").combine_chunks()).fill_null(-1).to_numpy(zero_copy_only=False)
+        table = np.zeros((gained.num_rows + 1, len(labels)))
+        for i in range(len(labels)):
+            table[:-1, i] = gained.column(f"gain_{i}").to_numpy()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        out = np.zeros((own.num_rows, len(labels)))
+        some = np.flatnonzero(sizes)
+        if some.size:
+            out[some] = np.add.reduceat(tf[:, None] * table[at], np.append(0, np.cumsum(sizes[some]))[:-1].astype(np.int64), axis=0)
+        offsets = np.arange(own.num_rows + 1, dtype=np.int32) * len(labels)
+        total = np.bincount(np.repeat(np.arange(own.num_rows), sizes), weights=tf, minlength=own.num_rows)
+        return pa.table({"id": own.column("id"), "group": own.column("group"), "truth": own.column("truth"), "words": pa.array(total.astype(float)), "s": pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))})
+
+    kinds = dict(base.dtypes)
+    own = rows.withColumnRenamed("label", "truth").groupBy("group", "slot")
+    found = own.cogroup(gains.groupBy("group", "slot")).applyInArrow(run, f"id {kinds['id']}, `group` {kinds['group']}, truth {kinds['label']}, words double, s array<double>")
+    scored = found.join(broadcast_if_small(left, sizes.count(), 128 + 96 * len(labels)), "group")
+    score = lambda x, s: F.log(x["docs"]) + s - F.col("words") * F.log(x["total"])
+    ranked = F.zip_with("left", "s", lambda x, s: F.when(x["docs"] > 0, F.struct((-F.round(score(x, s), 6)).alias("score"), x["label"].alias("label"))))
+    best = F.array_min(F.filter(ranked, lambda x: x.isNotNull()))["label"]
+    return scored.select(F.col("id").alias(row_id), "group", F.col("truth").alias("label"), best.alias("predicted"))
 
 
 def lsa(train: DataFrame, *others: DataFrame, text: str, components: int = 50, buckets: int = 1 << 13) -> list[DataFrame]:

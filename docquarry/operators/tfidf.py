@@ -34,9 +34,14 @@ def _counted(own: Column) -> Column:
     return let(F.array_sort(own), lambda x: F.when(F.size(x) > 0, runs(x)))
 
 
+def term_counts(text: Column, longest: int = 2) -> Column:
+    """Array of the distinct terms of a text with how often each stands there; null without terms."""
+    return _counted(grams(text, longest))
+
+
 def counted_terms(docs: DataFrame, doc: str, text: str, longest: int = 2) -> DataFrame:
     """(doc, term, tf) of documents that stand in one row each: counted within the row, nothing is shuffled."""
-    return docs.select(F.col(doc), F.explode(_counted(grams(F.col(text), longest))).alias("c")).select(doc, "c.term", "c.tf")
+    return docs.select(F.col(doc), F.explode(term_counts(F.col(text), longest)).alias("c")).select(doc, "c.term", "c.tf")
 
 
 def idf(counted: DataFrame, doc: str, n_docs: DataFrame, least_df: int = 2) -> DataFrame:

@@ -361,6 +361,31 @@ def test_leaving_a_topic_out_forgets_its_words(spark):
     assert sorted(tuple(r) for r in shared_groups(folded, "g").collect()) == [(0, 2, 3, 1), (1, 2, 2, 1)]
 
 
+def test_leaving_a_topic_out_in_several_slots(spark):
+    import math
+    from collections import Counter
+
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice("apple pear plum truck car bus rocket moon".split()) for _ in range(draw.randrange(0, 9))), draw.choice("xyz"), f"t{i % 4}") for i in range(60)]
+    rows.append((60, "orbit orbit apple", "y", "t9"))
+
+    def best(i, text, topic):
+        others = [r for r in rows if r[3] != topic]
+        words, terms = Counter(), len({w for r in rows for w in r[1].split()})
+        for r in others:
+            words.update((r[2], w) for w in r[1].split())
+        score = {}
+        for label in {r[2] for r in others}:
+            total = sum(n for (x, _), n in words.items() if x == label) + terms
+            score[label] = math.log(sum(r[2] == label for r in others)) + sum(math.log((words[label, w] + 1) / total) for w in text.split())
+        return min(score, key=lambda x: (-round(score[x], 6), x))
+
+    df = spark.createDataFrame(rows, "doc_id int, text string, label string, topic string")
+    want = {r[0]: best(r[0], r[1], r[3]) for r in rows}
+    for slot_rows in (4, 4096):
+        assert {r["doc_id"]: r["predicted"] for r in learning.leave_one_group_out(df, "doc_id", "text", "label", "topic", slot_rows).collect()} == want
+
+
 def test_terms_are_counted_within_rows(spark):
     from docquarry.operators.tfidf import counted_terms
 
