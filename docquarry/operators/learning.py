@@ -17,9 +17,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.text import STOPWORDS, tokens
 from docquarry.operators.components import connected_components
 from docquarry.operators.tfidf import grams, term_counts
-from docquarry.session import broadcast_if_small, materialise
+from docquarry.session import broadcast_if_small, forget_shuffles, materialise
+
+#: Rows, or characters of text, that are worked on in one piece, with what is known of their terms.
+SLOT_ROWS = 4096
+SLOT_LETTERS = 16 << 20
 
 MODELS = {
     "logistic": lambda: LogisticRegression(featuresCol="x", labelCol="y", maxIter=30),
@@ -49,6 +54,8 @@ def text_features(kind: str = "words", buckets: int = 1 << 14) -> Pipeline:
 
 def classify(train: DataFrame, test: DataFrame, text: str, label: str, model: str = "logistic", row_id: str = "doc_id") -> DataFrame:
     """(row_id, label, predicted) of the test rows by words and word pairs; everything is fitted on the train rows."""
+    if model == "bayes":
+        return bayes_of_terms(train, test, text, label, row_id)
     tr, te = (d.withColumn("grams", grams(F.col(text))) for d in (train, test))
     features = text_features().fit(tr)
     return classify_features(features.transform(tr), features.transform(te), label, model, row_id)
@@ -62,6 +69,113 @@ def classify_features(train: DataFrame, test: DataFrame, label: str, model: str
     return guess.select(row_id, F.col(label).alias("label"), F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads every bit (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _slot_grams(tokens: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, gram, count, keys): how often each gram stands in each row; gram counts from 0, keys has its 64-bit hash.
+
+    Grams are those of operators.tfidf.grams: tokens without stop words, and pairs of neighbours.
+    """
+    lists = tokens.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary
+    kept = pc.and_(pc.greater_equal(pc.utf8_length(names), 2), pc.invert(pc.is_in(names, value_set=pa.array(STOPWORDS, names.type)))).to_numpy(zero_copy_only=False)
+    h = pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(names) else np.zeros(0, np.uint64)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    mine = kept[codes].astype(bool)
+    at, one = np.repeat(np.arange(sizes.size), sizes)[mine], h[codes[mine]]
+    next_to = at[1:] == at[:-1]
+    two = _mixed(one[:-1][next_to] * np.uint64(3) + _mixed(one[1:][next_to] + np.uint64(1)))
+    gram, keys = pd.factorize(np.concatenate([one, two]))
+    n = max(1, keys.size)
+    both = np.sort(np.concatenate([at, at[1:][next_to]]) * n + gram)
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if both.size else np.zeros(0, np.int64)
+    return both[first] // n, both[first] % n, np.diff(np.append(first, both.size)), keys.view(np.int64)
+
+
+def _slot_vectors(tokens: pa.ChunkedArray, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, x): weighted counts of the grams that are known, each row of length 1; place is that in known, which is sorted."""
+    at, gram, n, keys = _slot_grams(tokens)
+    place = np.searchsorted(known, keys)
+    there = place < known.size
+    there[there] = known[place[there]] == keys[there]
+    mine = there[gram]
+    at, place, w = at[mine], place[gram[mine]], n[mine].astype(float)
+    w *= idf[place]
+    norm = np.sqrt(np.bincount(at, weights=w * w, minlength=1))[at]
+    return at, place, np.divide(w, norm, out=np.zeros_like(w), where=norm > 0)
+
+
+def bayes_of_terms(train: DataFrame, test: DataFrame, text: str, label: str, row_id: str = "doc_id", slot_letters: int = SLOT_LETTERS) -> DataFrame:
+    """(row_id, label, predicted) of the test rows by a multinomial Bayes model of words and word pairs fitted on the train rows.
+
+    The same model as text_features with MODELS["bayes"]: grams of at least two train rows, inverse
+    document frequencies, rows of length 1, counts smoothed by one, the more frequent label on ties.
+    No vocabulary reaches the driver: rows fall into slots of about slot_letters characters; what is shuffled by
+    grams are the grams of slots, and a slot's rows meet what is known of its grams in one place. Grams
+    are named by 64-bit hashes: among 10 million any two are one with a chance of 3e-6. Labels are few.
+    """
+    spark = train.sparkSession
+    letters = F.coalesce(F.sum(F.length(text)), F.lit(0))
+    named = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"), letters.alias("letters")).collect()
+    classes = sorted(((r["n"], r[label]) for r in named if r[label] is not None), key=lambda x: (-x[0], x[1]))
+    n_train, labels = sum(r["n"] for r in named), [x for _, x in classes]
+
+    def slots(df: DataFrame, held: int, *columns) -> DataFrame:
+        parts = max(1, -(-held // slot_letters))
+        cut = df.select(*columns, F.col(text).alias("text"), F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int").alias("slot")).repartition("slot")
+        return cut.select(*[c for c in cut.columns if c != "text"], tokens(F.col("text")).alias("tokens"))
+
+    def grams_of(own: pa.Table) -> pa.Table:
+        _, gram, _, keys = _slot_grams(own.column("tokens"))
+        return pa.table({"slot": pa.array(np.full(keys.size, own.column("slot")[0].as_py(), np.int32)), "key": keys, "df": np.bincount(gram, minlength=keys.size).astype(np.int64)})
+
+    def known_of(held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key = held.column("key").to_numpy()
+        order = np.argsort(key)
+        df = held.column("df").to_numpy()[order]
+        return order, key[order], np.log((n_train + 1) / (df + 1))
+
+    def sums(own: pa.Table, held: pa.Table) -> pa.Table:
+        order, known, idf = known_of(held)
+        at, place, x = _slot_vectors(own.column("tokens"), known, idf)
+        y = own.column("y").fill_null(-1).to_numpy()[at]
+        each = {f"s_{i}": np.bincount(place[y == i], weights=x[y == i], minlength=known.size).astype(float) for i in range(len(labels))}
+        return pa.table({"key": known, "df": held.column("df").to_numpy()[order], **each})
+
+    y = (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("int") if labels else F.lit(None).cast("int")
+    own = slots(train, sum(r["letters"] for r in named), y.alias("y"))
+    grams = own.groupBy("slot").applyInArrow(grams_of, "slot int, key bigint, df bigint")
+    held = grams.withColumn("df", F.sum("df").over(Window.partitionBy("key"))).where("df >= 2")
+    columns = ", ".join(["key bigint", "df bigint", *(f"s_{i} double" for i in range(len(labels)))])
+    summed = own.groupBy("slot").cogroup(held.groupBy("slot")).applyInArrow(sums, columns)
+    model = materialise(summed.groupBy("key").agg(F.max("df").alias("df"), *(F.sum(f"s_{i}").alias(f"s_{i}") for i in range(len(labels)))), "model")
+    forget_shuffles(spark)
+    n_terms, *totals = model.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(f"s_{i}"), F.lit(0.0)) for i in range(len(labels)))).first()
+    prior = np.log(np.array([n for n, _ in classes]) + 1.0) - np.log(sum(n for n, _ in classes) + len(labels))
+    base = np.log(np.array(totals) + n_terms) if n_terms else np.zeros(len(labels))
+    kinds = dict(test.select(F.col(row_id).alias("id"), F.col(label).alias("label")).dtypes)
+
+    def guesses(own: pa.Table, held: pa.Table) -> pa.Table:
+        order, known, idf = known_of(held)
+        at, place, x = _slot_vectors(own.column("tokens"), known, idf)
+        out = np.stack([prior[i] + np.bincount(at, weights=x * (np.log(held.column(f"s_{i}").to_numpy()[order] + 1) - base[i])[place], minlength=own.num_rows) for i in range(len(labels))], axis=1)
+        return pa.table({"id": own.column("id"), "label": own.column("label"), "predicted": pa.array(np.argmax(out, axis=1).astype(np.int32))})
+
+    asked = slots(test, test.agg(letters).first()[0], F.col(row_id).alias("id"), F.col(label).alias("label"))
+    if not labels:
+        return test.select(row_id, F.col(label).alias("label"), F.lit(None).cast(kinds["label"]).alias("predicted"))
+    wanted = asked.groupBy("slot").applyInArrow(grams_of, "slot int, key bigint, df bigint").select("slot", "key").join(model, "key")
+    found = asked.groupBy("slot").cogroup(wanted.groupBy("slot")).applyInArrow(guesses, f"id {kinds['id']}, label {kinds['label']}, predicted int")
+    return found.select(F.col("id").alias(row_id), "label", F.element_at(F.array(*map(F.lit, labels)), F.col("predicted") + 1).alias("predicted"))
+
+
 def grouped_folds(df: DataFrame, group: str, folds: int, seed: int = 7) -> DataFrame:
     """Adds fold, the same for all rows of a group: from the MD5 of seed and group, so that any engine folds alike."""
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group))), 1, 8), 16, 10).cast("long")
@@ -75,10 +189,6 @@ def shared_groups(df: DataFrame, group: str) -> DataFrame:
     return each.join(spread, group).groupBy("fold").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.count_if(F.col("folds") > 1).alias("leaked"))
 
 
-#: Rows of a group that are scored in one piece.
-SLOT_ROWS = 4096
-
-
 def leave_one_group_out(df: DataFrame, row_id: str, text: str, label: str, group: str, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """(row_id, group, label, predicted): each row by a multinomial Bayes model of all groups but its own, on single words.
 

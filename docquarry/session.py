@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -73,6 +74,12 @@ def drop_materialised(df: DataFrame) -> None:
     _written[df.sparkSession.sparkContext.applicationId].remove(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles deleted that nothing reads any more: Spark does so only when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every intermediate that this application has written: for use when its results have been written or collected."""
     for path in _written.pop(spark.sparkContext.applicationId, []):

@@ -282,6 +282,30 @@ def test_classify_uses_word_pairs(spark):
     assert all(r["label"] == r["predicted"] for r in learning.classify(df, df, "text", "label", "bayes").collect())
 
 
+def test_bayes_without_a_vocabulary_is_that_of_the_library(spark):
+    from docquarry.operators.tfidf import grams
+
+    draw = random.Random(11)
+    words = "The and alpha beta gamma delta épsilon zeta-eta x 7 42".split()
+    rows = [(i, None if i == 3 else "" if i == 4 else " ".join(draw.choices(words, weights=[1 + (k + i) % 3 for k in range(len(words))], k=draw.randrange(1, 12))), None if i == 5 else "pqr"[i % 3]) for i in range(90)]
+    rows.append((90, "once seen", "q"))
+    df = spark.createDataFrame(rows, "doc_id int, text string, label string")
+    train, test = df.where("doc_id % 4 <> 0"), df.where("doc_id % 4 = 0 or doc_id = 5")
+    tr, te = (d.withColumn("grams", grams(F.col("text"))) for d in (train, test))
+    features = learning.text_features().fit(tr)
+    want = sorted(tuple(r) for r in learning.classify_features(features.transform(tr), features.transform(te), "label", "bayes").collect())
+    for slot_letters in (100, 1 << 24):
+        assert sorted(tuple(r) for r in learning.bayes_of_terms(train, test, "text", "label", slot_letters=slot_letters).collect()) == want
+    assert learning.bayes_of_terms(train, test.where("false"), "text", "label").count() == 0
+
+
+def test_classify_by_bayes_needs_no_vocabulary_in_the_driver(spark, monkeypatch):
+    # the vocabulary of the library's features is an array in the driver
+    monkeypatch.setattr(learning, "text_features", None)
+    df = spark.createDataFrame([(i, "alpha beta" if i % 2 else "beta alpha", "xy"[i % 2]) for i in range(8)], "doc_id int, text string, label string")
+    assert all(r["label"] == r["predicted"] for r in learning.classify(df, df, "text", "label", "bayes").collect())
+
+
 def test_principal_components_beyond_fifty(spark):
     # 64 directions of equal variance: 58 of them hold 90 %
     rows = [([float(sign * (i == j)) for j in range(64)],) for i in range(64) for sign in (1, -1)]
