@@ -89,12 +89,15 @@ def _slot_grams(tokens: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.nda
     h = pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(names) else np.zeros(0, np.uint64)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     mine = kept[codes].astype(bool)
-    at, one = np.repeat(np.arange(sizes.size), sizes)[mine], h[codes[mine]]
+    at, one = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)[mine], h[codes[mine]]
+    del lists, coded, codes, mine
     next_to = at[1:] == at[:-1]
-    two = _mixed(one[:-1][next_to] * np.uint64(3) + _mixed(one[1:][next_to] + np.uint64(1)))
-    gram, keys = pd.factorize(np.concatenate([one, two]))
+    one = np.concatenate([one, _mixed(one[:-1][next_to] * np.uint64(3) + _mixed(one[1:][next_to] + np.uint64(1)))])
+    both, keys = pd.factorize(one)
+    del one
     n = max(1, keys.size)
-    both = np.sort(np.concatenate([at, at[1:][next_to]]) * n + gram)
+    both += np.concatenate([at, at[1:][next_to]]).astype(np.int64) * n
+    both.sort()
     first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if both.size else np.zeros(0, np.int64)
     return both[first] // n, both[first] % n, np.diff(np.append(first, both.size)), keys.view(np.int64)
 

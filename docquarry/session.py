@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -75,9 +76,14 @@ def drop_materialised(df: DataFrame) -> None:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Have the files of shuffles deleted that nothing reads any more: Spark does so only when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Have the files of shuffles deleted that nothing reads any more: Spark does so only when the driver collects its garbage.
+
+    What the first collection frees holds the shuffles that the second finds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def release(spark: SparkSession) -> None:
