@@ -337,16 +337,16 @@ def platt(margins: DataFrame, margin: str, correct: str):
     return lambda d: model.transform(ready.transform(d)).withColumn("confidence", vector_to_array("_q")[1]).drop("_m", "_r", "_q", "_p")
 
 
-def margins(train: DataFrame, tests: Sequence[DataFrame], text: str, label: str) -> list[DataFrame]:
-    """tests with margin and ok: by how much a linear machine's best class leads the second, and whether it is right."""
-    index = StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip").fit(train)
-    named = [index.transform(d.withColumn("grams", grams(F.col(text)))) for d in (train, *tests)]
-    features = text_features().fit(named[0])
-    model = MODELS["svm"]().fit(features.transform(named[0]))
-    from pyspark.ml.functions import vector_to_array
-
-    ordered = F.sort_array(vector_to_array("rawPrediction"), asc=False)
-    return [model.transform(features.transform(d)).select("y", (ordered[0] - F.coalesce(F.get(ordered, F.lit(1)), F.lit(0.0))).alias("margin"), (F.col("prediction") == F.col("y")).alias("ok")) for d in named[1:]]
+def margins(df: DataFrame, part: str, tests: int, text: str, label: str, row_id: str = "doc_id") -> list[DataFrame]:
+    """Parts 1 to tests with margin and ok: by how much a linear machine fitted on part 0 has its best class lead the second, and whether it is right. Labels that part 0 lacks are left out."""
+    from docquarry.operators.columns import Columns, machine_values
+
+    columns = Columns(df.where(F.col(label).isNotNull()), part, text, label, row_id)
+    values = machine_values(columns)
+    ordered = np.sort(values, axis=0)
+    lead = ordered[-1] - (ordered[-2] if len(ordered) > 1 else 0.0)
+    found = {"y": columns.y.astype(float), "margin": lead, "ok": np.argmax(values, axis=0) == columns.y}
+    return [columns.rows(i, "y double, margin double, ok boolean", **found).where("y >= 0").select("y", "margin", "ok") for i in range(1, tests + 1)]
 
 
 def nearest_labels(neighbours: DataFrame, labels: DataFrame, row_id: str, label: str) -> DataFrame:

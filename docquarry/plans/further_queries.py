@@ -242,8 +242,8 @@ def m06_models_compared(spark: SparkSession, sf: str) -> DataFrame:
 
 def _calibrated(spark: SparkSession, sf: str) -> DataFrame:
     """Confidence of a linear machine: fitted on three folds, its curve on a fourth, applied to the fifth."""
-    d = _labelled(spark, sf)
-    fitted, held = L.margins(d.where("fold > 1"), [d.where("fold = 1"), d.where("fold = 0")], "text", "label")
+    d = _labelled(spark, sf).withColumn("part", F.when(F.col("fold") > 1, 0).otherwise(2 - F.col("fold")))
+    fitted, held = L.margins(d, "part", 2, "text", "label")
     return L.platt(fitted, "margin", "ok")(held).select("confidence", "ok")
 
 

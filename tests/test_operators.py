@@ -434,3 +434,55 @@ def test_stored_percentiles_are_values(spark):
     df = spark.createDataFrame([(x,) for x in [5, 1, 9, 3, None, 7]], "x bigint")
     assert tuple(stored_percentiles(df, "x", low=0.0, middle=0.5, high=0.99).first()) == (1, 5, 9)
     assert tuple(stored_percentiles(df.where("x = 5"), "x", a=0.9).first()) == (5,) and tuple(stored_percentiles(df.limit(0), "x", a=0.9).first()) == (None,)
+
+
+def _two_parts(spark):
+    words = {"a": ["red cat", "red dog", "red owl", "red"], "b": ["blue cat", "blue dog", "blue owl", "blue"], "c": ["green cat", "green dog", "green owl", "green"]}
+    rows = [(10 * i + j, f"{t} {y if i % 2 else ''} tail", y, int(i > 3)) for j, (y, texts) in enumerate(words.items()) for i, t in enumerate(texts * 2)]
+    return spark.createDataFrame([*rows, (900, None, "a", 1), (901, "red cat", "unseen", 1), (902, "none of these", "b", 0)], "doc_id long, text string, label string, part int")
+
+
+def test_margins_need_no_vocabulary_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(learning, "text_features", None)
+    (found,) = learning.margins(_two_parts(spark), "part", 1, "text", "label")
+    got = found.collect()
+    # a label that was not seen is left out, a row without words is not
+    assert len(got) == 13 and sum(r["ok"] for r in got) >= 12 and all(r["margin"] >= 0 for r in got)
+
+
+@pytest.mark.parametrize("letters", [1, 1 << 20])
+def test_columns_hold_what_the_library_holds(spark, letters):
+    from docquarry.operators import columns as C
+    from docquarry.operators.tfidf import grams
+
+    df = _two_parts(spark)
+    held = C.Columns(df, "part", "text", "label", "doc_id", slot_letters=letters, chunk_letters=8 * letters)
+    fitted = learning.text_features().fit(df.where("part = 0").withColumn("grams", grams(F.col("text"))))
+    assert held.n == df.count() and held.n_terms == len(fitted.stages[0].vocabulary)
+    vectors = {r["doc_id"]: r["x"].toArray() for r in fitted.transform(df.withColumn("grams", grams(F.col("text")))).select("doc_id", "x").collect()}
+    ids = [r["id"] for part in (0, 1) for r in held.rows(part, "place int", place=np.arange(held.n, dtype=np.int32)).orderBy("place").collect()]
+    places = [r["place"] for part in (0, 1) for r in held.rows(part, "place int", place=np.arange(held.n, dtype=np.int32)).orderBy("place").collect()]
+    assert sorted(places) == list(range(held.n))
+    order = [i for _, i in sorted(zip(places, ids))]
+    x = np.array([vectors[i] for i in order])
+    own = x[held.trained]
+    deviation = own.std(axis=0, ddof=1)
+    x = (x - own.mean(axis=0)) / np.where(deviation > 1e-7, deviation, np.inf)
+    r = np.random.default_rng(1).normal(size=(2, held.n)) * held.trained
+    assert np.allclose(held.over(C._images, {"r": r}, 2), (x @ (x.T @ r.T)).T, atol=1e-3)
+
+
+def test_descent_comes_to_the_least_value():
+    from docquarry.operators import columns as C
+
+    draw = np.random.default_rng(3)
+    x, y = draw.normal(size=(60, 4)), draw.integers(0, 3, 60)
+    loss = C.softmax(y, np.ones(60, bool), 3)
+    fit, image = C.descend(loss, np.zeros((3, 60)), 100, tolerance=1e-12), None
+    try:
+        while True:
+            r = fit.send(image)
+            image = (x @ (x.T @ r.T)).T
+    except StopIteration as end:
+        value, slope = loss(end.value)
+    assert value < loss(np.zeros((3, 60)))[0] and np.abs(slope @ np.c_[x, np.ones(60)]).max() < 1e-4
