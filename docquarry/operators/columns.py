@@ -105,7 +105,11 @@ def _merged(own: pa.Table) -> pa.Table:
     df = np.add.reduceat(trained[rows].astype(np.int64), _starts(sizes)) if first.size else sizes
     kept = df >= 2
     mine = np.repeat(kept, sizes)
-    return pa.table({"bucket": own.column("bucket")[:1], "slot": pa.array([-1], pa.int64()), "n": pa.array([int(kept.sum())], pa.int32()), "trained": pa.array([_packed(df[kept])], pa.binary()), "keys": pa.array([keys[kept].tobytes()], pa.binary()), "sizes": pa.array([_packed(sizes[kept])], pa.binary()), "rows": pa.array([_packed(rows[mine])], pa.binary()), "tf": pa.array([_packed(tf[mine])], pa.binary())})
+    rows, tf, sizes = rows[mine], tf[mine], sizes[kept]
+    # distances within a column take fewer bytes
+    steps = np.diff(rows, prepend=0)
+    steps[_starts(sizes)] = rows[_starts(sizes)]
+    return pa.table({"bucket": own.column("bucket")[:1], "slot": pa.array([-1], pa.int64()), "n": pa.array([int(kept.sum())], pa.int32()), "trained": pa.array([_packed(df[kept])], pa.binary()), "keys": pa.array([keys[kept].tobytes()], pa.binary()), "sizes": pa.array([_packed(sizes)], pa.binary()), "rows": pa.array([_packed(steps)], pa.binary()), "tf": pa.array([_packed(tf)], pa.binary())})
 
 
 class Columns:
@@ -171,7 +175,7 @@ class Columns:
             given = sent.value
             yield from work((_chunk(b.slice(i, 1), given) for b in batches for i in range(b.num_rows)), given)
 
-        found = self.table.where("bucket >= 0").select("bucket", "trained", "keys", "sizes", "rows", "tf").coalesce(self.tasks).mapInArrow(run, schema).toArrow()
+        found = self.table.where("bucket >= 0").select("bucket", "trained", "sizes", "rows", "tf").coalesce(self.tasks).mapInArrow(run, schema).toArrow()
         sent.destroy()
         return found
 
@@ -205,8 +209,12 @@ class Columns:
 def _chunk(b: pa.RecordBatch, given: dict) -> dict:
     raw = lambda c: memoryview(b.column(c)[0].as_buffer())
     sizes, df = (_unpacked(raw(c)).astype(np.int64) for c in ("sizes", "trained"))
-    idf = np.log((given["n_first"] + 1) / (df + 1))
-    return {"bucket": b.column("bucket")[0].as_py(), "sizes": sizes, "starts": _starts(sizes), "rows": _unpacked(raw("rows")).astype(np.intp), "tf": _unpacked(raw("tf")), "idf": idf}
+    idf, starts = np.log((given["n_first"] + 1) / (df + 1)), _starts(sizes)
+    rows = np.cumsum(_unpacked(raw("rows")), dtype=np.intp)
+    if rows.size:
+        # each column counts from 0
+        rows -= np.repeat(np.append(0, rows[starts[1:] - 1]), sizes)
+    return {"bucket": b.column("bucket")[0].as_py(), "sizes": sizes, "starts": starts, "rows": rows, "tf": _unpacked(raw("tf")), "idf": idf}
 
 
 def _values(c: dict, given: dict, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -241,14 +249,16 @@ def _images(c: dict, given: dict, total: np.ndarray) -> None:
     if not rows.size:
         return
     starts, sizes, m, n = c["starts"], c["sizes"], max(1, given["trained"].sum()), total.shape[1]
-    own = np.where(given["trained"][rows], x, 0.0)
+    own = x * given["trained"][rows]
     mean = np.add.reduceat(own, starts) / m
-    variance = (np.add.reduceat(own * own, starts) - m * mean * mean) / max(1, m - 1)
-    del own
+    own *= x
+    variance = (np.add.reduceat(own, starts) - m * mean * mean) / max(1, m - 1)
     scale = np.divide(1.0, variance, out=np.zeros_like(variance), where=variance > 1e-15)
     for i, r in enumerate(given["r"]):
-        q = (np.add.reduceat(x * r[rows], starts) - mean * r.sum()) * scale
-        total[i] += np.bincount(rows, x * np.repeat(q, sizes), n) - mean @ q
+        np.multiply(x, r[rows], out=own)
+        q = (np.add.reduceat(own, starts) - mean * r.sum()) * scale
+        np.multiply(x, np.repeat(q, sizes), out=own)
+        total[i] += np.bincount(rows, own, n) - mean @ q
 
 
 def hinge(y: np.ndarray, trained: np.ndarray) -> Callable:

@@ -56,9 +56,20 @@ def classify(train: DataFrame, test: DataFrame, text: str, label: str, model: st
     """(row_id, label, predicted) of the test rows by words and word pairs; everything is fitted on the train rows."""
     if model == "bayes":
         return bayes_of_terms(train, test, text, label, row_id)
-    tr, te = (d.withColumn("grams", grams(F.col(text))) for d in (train, test))
-    features = text_features().fit(tr)
-    return classify_features(features.transform(tr), features.transform(te), label, model, row_id)
+    rows = train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1)), allowMissingColumns=True)
+    return classify_all(rows, "part", text, label, (model,), row_id)[model]
+
+
+def classify_all(df: DataFrame, part: str, text: str, label: str, models: Sequence[str], row_id: str = "doc_id") -> dict[str, DataFrame]:
+    """(row_id, label, predicted) of the rows of part 1 by each model of words and word pairs, fitted on part 0; the columns of grams are made once."""
+    from docquarry.operators import columns as C
+
+    held = C.Columns(df, part, text, label, row_id)
+    if not held.labels:
+        return {m: held.guesses(1, np.zeros(held.n)) for m in models}
+    values = C.lines(held, [m for m in models if m in ("svm", "logistic")])
+    values |= {m: {"bayes": C.bayes, "forest": C.forest}[m](held) for m in models if m not in values}
+    return {m: held.guesses(1, np.argmax(values[m], axis=0)) for m in models}
 
 
 def classify_features(train: DataFrame, test: DataFrame, label: str, model: str = "logistic", row_id: str = "doc_id") -> DataFrame:
@@ -255,36 +266,95 @@ def leave_one_group_out(df: DataFrame, row_id: str, text: str, label: str, group
     return scored.select(F.col("id").alias(row_id), "group", F.col("truth").alias("label"), best.alias("predicted"))
 
 
-def lsa(train: DataFrame, *others: DataFrame, text: str, components: int = 50, buckets: int = 1 << 13) -> list[DataFrame]:
-    """train and others with x, their latent vectors of length 1: hashed weighted terms on the leading right singular vectors of train.
+def _sparse(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, x) of the vectors x of a batch, all of which are sparse."""
+    x = b.column("x")
+    places, values = x.field("indices"), x.field("values")
+    row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False))
+    return row, places.flatten().to_numpy(), values.flatten().to_numpy()
+
+
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows, the sums of the rows of each number; numbers ascend."""
+    out = np.zeros((n, rows.shape[1]), np.float64)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if at.size else at
+    if at.size:
+        out[at[first]] = np.add.reduceat(rows, first, axis=0)
+    return out
+
 
-    The vectors that reach the driver are buckets by components, whatever the number of rows.
+def _right_vectors(df: DataFrame, width: int, k: int, block: int = 64, passes: int = 16, tolerance: float = 1e-5) -> np.ndarray:
+    """The k leading right singular vectors of the rows x, as columns, from a Krylov space of blocks: width by block is all that a task sends.
+
+    The library would hold all inner products of columns in every task and in the driver. Each pass multiplies a block by
+    the rows and their transpose; it ends when a pass changes none of the k values by more than tolerance of itself.
     """
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    spark = df.sparkSession
+    rows = df.select("x").coalesce(spark.sparkContext.defaultParallelism)
+
+    def product(q: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(q.astype(np.float32))
+
+        def run(batches):
+            asked = sent.value
+            z = np.zeros((width, asked.shape[1]))
+            for whole in batches:
+                for low in range(0, whole.num_rows, 2048):
+                    row, place, x = _sparse(whole.slice(low, 2048))
+                    x = x.astype(np.float32)[:, None]
+                    y = _summed(row, asked[place] * x, min(2048, whole.num_rows - low)).astype(np.float32)
+                    order = np.argsort(place, kind="stable")
+                    z += _summed(place[order], (y[row] * x)[order], width)
+            yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary())], names=["z"])
+
+        found = rows.mapInArrow(run, "z binary").toArrow().column("z")
+        sent.destroy()
+        return sum((np.frombuffer(z.as_buffer()).reshape(q.shape) for z in found), np.zeros(q.shape))
+
+    q = np.linalg.qr(np.random.default_rng(7).normal(size=(width, min(block, width))))[0]
+    basis, images, last, v = np.zeros((width, 0)), np.zeros((width, 0)), None, q[:, :k]
+    for _ in range(passes):
+        z = product(q)
+        basis, images = np.concatenate([basis, q], axis=1), np.concatenate([images, z], axis=1)
+        inner = basis.T @ images
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        values, v = values[::-1][:k], basis @ vectors[:, ::-1][:, :k]
+        if last is not None and np.all(np.abs(values - last) <= tolerance * np.maximum(values, 1e-12 * max(values[0], 1e-300))) or basis.shape[1] + q.shape[1] > width:
+            break
+        last = values
+        for _ in range(2):
+            z = z - basis @ (basis.T @ z)
+        q = np.linalg.qr(z)[0]
+        q -= basis @ (basis.T @ q)
+        q = np.linalg.qr(q)[0]
+    return v
+
+
+def lsa(train: DataFrame, *others: DataFrame, text: str, components: int = 50, buckets: int = 1 << 13) -> list[DataFrame]:
+    """train and others without their text, with latent, vectors of length 1: hashed weighted terms on the leading right singular vectors of train.
 
+    The vectors that reach the driver are buckets by a few hundred, whatever the number of rows.
+    """
     named = [d.withColumn("grams", grams(F.col(text), 1)) for d in (train, *others)]
     features = text_features("hashed", buckets).fit(named[0])
-    weighed = [features.transform(d).drop("grams", "tf", "w") for d in named]
-    k = min(components, buckets)
-    v = RowMatrix(weighed[0].select("x").rdd.map(lambda r: Old.fromML(r[0]))).computeSVD(k).V.toArray().astype(np.float32)
-
-    def project(parts):
-        for part in parts:
-            out = np.stack([v[np.array(x["indices"])].T @ np.array(x["values"], np.float32) if x["values"] is not None and len(x["values"]) else np.zeros(v.shape[1], np.float32) for x in part["sparse"]]) if len(part) else np.zeros((0, v.shape[1]))
-            norm = np.linalg.norm(out, axis=1, keepdims=True)
-            part["latent"] = list((out / np.where(norm > 0, norm, 1)).astype(np.float64))
-            yield part.drop(columns="sparse")
+    weighed = [materialise(features.transform(d).drop(text, "grams", "tf", "w"), "weighed") for d in named]
+    v = _right_vectors(weighed[0], buckets, min(components, buckets)).astype(np.float32)
+
+    def project(batches):
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2048):
+                b = whole.slice(low, 2048)
+                row, place, x = _sparse(b)
+                out = _summed(row, v[place] * x.astype(np.float32)[:, None], b.num_rows)
+                norm = np.linalg.norm(out, axis=1, keepdims=True)
+                out /= np.where(norm > 0, norm, 1)
+                latent = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * out.shape[1], pa.array(out.ravel()))
+                t = pa.Table.from_batches([b]).drop_columns(["x"]).append_column("latent", latent)
+                yield from t.combine_chunks().to_batches()
 
     def latent(d: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        # indices and values of what isn't zero
-        dense = vector_to_array("x", "float32")
-        spots = F.filter(F.transform(dense, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != 0)
-        kept = d.withColumn("sparse", F.struct(F.transform(spots, lambda s: s["i"]).alias("indices"), F.transform(spots, lambda s: s["x"]).alias("values"))).drop("x")
-        schema = ", ".join(f"`{c}` {t}" for c, t in kept.drop("sparse").dtypes) + ", latent array<double>"
-        return kept.mapInPandas(project, schema)
+        schema = ", ".join(f"`{c}` {t}" for c, t in d.drop("x").dtypes) + ", latent array<double>"
+        return d.mapInArrow(project, schema)
 
     return [latent(d) for d in weighed]
 

@@ -264,7 +264,8 @@ def batched_search(queries: DataFrame, points: DataFrame, k: int, dimension: int
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def scan(parts, ids=ids, q=q):
-            best_id, best = np.zeros((ids.size, 0), np.int64), np.zeros((ids.size, 0))
+            at, names, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            least = np.full(ids.size, -np.inf)  # the cosine of each question's k-th candidate so far
             for part in parts:
                 usable = part["vector"].map(lambda v: v is not None and len(v) == dimension and np.isfinite(v).all() and np.any(v))
                 part = part[usable.astype(bool)]
@@ -272,12 +273,23 @@ def batched_search(queries: DataFrame, points: DataFrame, k: int, dimension: int
                     x = np.stack(part["vector"].iloc[low : low + 2048]).astype(np.float64)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     own = part["point_id"].iloc[low : low + 2048].to_numpy()
-                    c = np.concatenate([best, np.round(q @ x.T, 12)], axis=1)
-                    names = np.concatenate([best_id, np.broadcast_to(own, (ids.size, own.size))], axis=1)
-                    order = np.lexsort((names, -c), axis=1)[:, :k]
-                    best, best_id = np.take_along_axis(c, order, 1), np.take_along_axis(names, order, 1)
-            if best.shape[1] and ids.size:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "point_id": best_id.ravel(), "cosine": best.ravel()})
+                    met = [(at, names, best)]
+                    for first in range(0, ids.size, 1024):
+                        c = q[first : first + 1024] @ x.T
+                        bar = least[first : first + 1024]
+                        if own.size > k:
+                            bar = np.maximum(bar, np.partition(c, own.size - k, axis=1)[:, own.size - k] if np.isneginf(bar).any() else bar)
+                        i, j = np.nonzero(c >= bar[:, None] - 1e-11)
+                        met.append((i + first, own[j], np.round(c[i, j], 12)))
+                    at, names, best = (np.concatenate(m) for m in zip(*met))
+                    order = np.lexsort((names, -best, at))
+                    at, names, best = at[order], names[order], best[order]
+                    place = np.arange(at.size) - np.searchsorted(at, at)
+                    at, names, best = at[place < k], names[place < k], best[place < k]
+                    full = place[place < k] == k - 1
+                    least[at[full]] = best[full]
+            if at.size:
+                yield pd.DataFrame({"query_id": ids[at], "point_id": names, "cosine": best})
 
         found = points.select(F.col("point_id").cast("long"), "vector").mapInPandas(scan, "query_id bigint, point_id bigint, cosine double")
         out = found if out is None else out.unionByName(found)

@@ -486,3 +486,24 @@ def test_descent_comes_to_the_least_value():
     except StopIteration as end:
         value, slope = loss(end.value)
     assert value < loss(np.zeros((3, 60)))[0] and np.abs(slope @ np.c_[x, np.ones(60)]).max() < 1e-4
+
+
+def test_classify_by_any_model_needs_no_vocabulary_in_the_driver(spark, monkeypatch):
+    df = _two_parts(spark)
+    bayes = {r["doc_id"]: r["predicted"] for r in learning.bayes_of_terms(df.where("part = 0"), df.where("part = 1"), "text", "label").collect()}
+    monkeypatch.setattr(learning, "text_features", None)
+    found = learning.classify_all(df, "part", "text", "label", ("bayes", "logistic", "svm", "forest"))
+    got = {m: {r["doc_id"]: (r["label"], r["predicted"]) for r in f.collect()} for m, f in found.items()}
+    assert {i: p for i, (_, p) in got["bayes"].items()} == bayes
+    for m in ("logistic", "svm", "forest"):
+        assert set(got[m]) == set(bayes) and sum(x == y for x, y in got[m].values()) >= 10
+
+
+def test_right_vectors_are_those_of_all_rows(spark):
+    from pyspark.ml.linalg import SparseVector
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(80, 30)) * np.linspace(3, 0.1, 30) * (draw.random((80, 30)) < 0.5)
+    df = spark.createDataFrame([(SparseVector(30, {j: float(v) for j, v in enumerate(r) if v}),) for r in x], ["x"])
+    v = learning._right_vectors(df, 30, 4, block=6)
+    assert np.linalg.svd(v.T @ np.linalg.svd(x)[2][:4].T)[1].min() > 0.9999
